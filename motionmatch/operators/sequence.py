@@ -146,9 +146,8 @@ def assemble_frame(left: Column, right: Column, pose: Column, face: Column) -> C
                         1, count)
         return F.concat(found, F.array_repeat(zero, F.lit(count) - F.size(found)))
 
-    lips = F.transform(
-        F.array(*[F.lit(i) for i in LIP_LANDMARKS]),
-        lambda i: F.when(face.isNull(), zero).otherwise(F.get(face, i)))
+    lips = F.when(face.isNull(), F.array_repeat(zero, len(LIP_LANDMARKS))).otherwise(
+        F.array(*[F.get(face, F.lit(i)) for i in LIP_LANDMARKS]))
     return F.concat(part(left, LEFT_HAND), part(right, RIGHT_HAND), part(pose, POSE), lips)
 
 
