@@ -57,21 +57,28 @@ def admission_reason(target_known: Column, payload: Column) -> Column:
                   F.lit("invalid_image")))
 
 
+def _marked(events: DataFrame, key: str, ts: str, event: str, target: str, final: str) -> DataFrame:
+    """Events with their attempt's ``first_target`` and ``end`` (null while open).
+
+    The first target owns the key; its first final frame ends the attempt. Both are
+    combining aggregates, one row per key, joined back.
+    """
+    order = F.struct(F.col(ts), F.col(event))
+    first = events.groupBy(key).agg(F.min_by(target, order).alias("first_target"))
+    ends = events.where(F.col(final)).groupBy(key, target).agg(F.min(order).alias("end"))
+    marks = first.join(ends.withColumnRenamed(target, "first_target"), [key, "first_target"], "left")
+    return events.join(marks, key)
+
+
 def outcomes(events: DataFrame, key: str = "attempt_id", ts: str = "ts", event: str = "event_id",
              target: str = "target", final: str = "final") -> DataFrame:
     """Per key: first target, terminal event, frames used, and what was turned away.
 
-    The first target owns the key; other targets are conflicts. The first final
-    frame of that target ends the attempt: later ordinary frames are dropped, later
+    Other targets are conflicts. After the end, ordinary frames are dropped and
     finals repeat the result.
     """
     order = F.struct(F.col(ts), F.col(event))
-    first = events.groupBy(key).agg(F.min_by(target, order).alias("first_target"))
-    ends = events.join(first, key).where(
-        (F.col(target) == F.col("first_target")) & F.col(final)
-    ).groupBy(key).agg(F.min(order).alias("end"))
-    marks = first.join(ends, key, "left")
-    rows = events.join(marks, key)
+    rows = _marked(events, key, ts, event, target, final)
     own = F.col(target) == F.col("first_target")
     late = F.col("end").isNotNull() & (order > F.col("end"))
     return rows.groupBy(key).agg(
@@ -88,12 +95,9 @@ def used_frames(events: DataFrame, key: str = "attempt_id", ts: str = "ts", even
                 target: str = "target", final: str = "final") -> DataFrame:
     """The frames each finished attempt is scored on: the last 48 up to its final."""
     order = F.struct(F.col(ts), F.col(event))
-    marks = outcomes(events, key, ts, event, target, final).where("terminal_event is not null")
-    marks = marks.select(key, F.col("target").alias("_t"), F.col("terminal_event").alias("_e"))
-    ends = events.join(marks, (events[event] == marks["_e"])).select(
-        marks[key], "_t", order.alias("_end"))
-    kept = events.join(ends, key).where((F.col(target) == F.col("_t")) & (order <= F.col("_end")))
-    return last_frames(kept.drop("_t", "_end"), key, ts, event)
+    rows = _marked(events, key, ts, event, target, final)
+    kept = rows.where((F.col(target) == F.col("first_target")) & (order <= F.col("end")))
+    return last_frames(kept.drop("first_target", "end"), key, ts, event)
 
 
 def thin(events: DataFrame, key: str = "attempt_id", ts: str = "ts", event: str = "event_id", *,

@@ -9,10 +9,15 @@ from motionmatch.operators.manifest import manifest_order
 from motionmatch.schemas import MANIFEST_COLUMNS, RESULT_COLUMNS
 
 
+# Text goes out and comes back as it is.
+CSV = {"header": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False}
+
+
 def write_manifest(rows: DataFrame, path: str) -> int:
     """Write the manifest in its order; returns the row count of what was written."""
     ordered = rows.select(*MANIFEST_COLUMNS).orderBy(*manifest_order())
-    ordered.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    ordered.write.mode("overwrite").options(**CSV).csv(path)
     return rows.sparkSession.read.option("header", True).csv(path).count()
 
 
@@ -20,7 +25,7 @@ def write_result_csv(results: DataFrame, path: str) -> None:
     """Result rows sorted by sample and repeat; booleans lower case, null blank."""
     rows = results.withColumn("score", F.coalesce("score", F.lit(0)))
     rows.select(*RESULT_COLUMNS).orderBy("sample_id", "repeat_index").write.mode(
-        "overwrite").option("header", True).option("emptyValue", "").csv(path)
+        "overwrite").options(**CSV).csv(path)
 
 
 def write_small(report: DataFrame, path: str, kind: str = "json") -> None:

@@ -171,11 +171,11 @@ def ts14(spark, folder):
         cells = F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("n", point.alias("p"))))
         return F.transform(F.sort_array(cells), lambda c: c["p"]).alias(flag)
 
-    parts = seen.groupBy("l_orderkey").agg(part("A"), part("N"), part("R"))
     shown = F.struct((F.col("l_orderkey") % 7).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"))
-    face = F.when(F.col("l_orderkey") % 2 == 0, F.array_repeat(shown, 468))
+    face = F.first(F.when(F.col("l_orderkey") % 2 == 0, F.array_repeat(shown, 468))).alias("face")
+    parts = seen.groupBy("l_orderkey").agg(part("A"), part("N"), part("R"), face)
     frames = parts.select("l_orderkey", assemble_frame(
-        F.col("A"), F.when(F.size("N") > 0, F.col("N")), F.col("R"), face).alias("points"))
+        F.col("A"), F.when(F.size("N") > 0, F.col("N")), F.col("R"), F.col("face")).alias("points"))
     return explode_frame(frames, "points", ["l_orderkey"]).groupBy("l_orderkey").agg(
         F.count("*").alias("landmarks"), F.round(F.sum(F.col("x") * F.col("landmark")), 4).alias("mark"))
 
@@ -189,6 +189,16 @@ TS14_SQL = (
     f"FILTER ({_ROOM}), 0) + {_FACE.format('(l_orderkey % 7) * (40 * 75 + 780)')}, 4) AS mark FROM placed GROUP BY 1")
 
 
+def jn4(spark, folder):
+    """Orders as recordings that share keypoint sequences; each is measured once."""
+    orders = table(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("sequence_id"))
+    return orders.join(measured(spark, folder), "sequence_id").select("o_orderkey", "sequence_id", "frames", rounded("motion_span"))
+
+
+JN4_SQL = (f"WITH {MEASURED_SQL} SELECT o_orderkey, o_custkey % 150 AS sequence_id, frames, {r6('motion_span')} AS motion_span "
+           "FROM orders JOIN measured ON sequence_id = o_custkey % 150")
+
+
 def win3(spark, folder):
     """Previous step of each landmark track, after resampling (at most 32 rows a track)."""
     track = Window.partitionBy("sequence_id", "landmark").orderBy("step")
@@ -201,11 +211,14 @@ WIN3_SQL = (f"WITH {PREPARED_SQL} SELECT sequence_id, landmark, step, lag(step)
 
 
 def src1(spark, folder):
-    """Keypoints written as CSV, one file per sequence, and scanned strictly."""
+    """Keypoints written as CSV, a folder per sequence, and scanned strictly.
+
+    The frame takes part in the split, so a long sequence is written by many tasks.
+    """
     path = scratch_path(spark, "keypoints")
     rows = points(spark, folder).select(
         "sequence_id", "frame", F.col("landmark").alias("landmark_index"), "x", "y", "z")
-    rows.repartition("sequence_id").write.partitionBy("sequence_id").option("header", True).csv(path)
+    rows.repartition("sequence_id", F.pmod("frame", F.lit(16))).write.partitionBy("sequence_id").option("header", True).csv(path)
     user = F.regexp_extract("sequence_id", "sequence_id=([0-9]+)/", 1).cast("long")
     found = scan_keypoints(spark, f"{path}/*/*.csv")
     return valid_points(found).select(user.alias("sequence_id"), "frame", "landmark", "x", "y", "z")
@@ -231,6 +244,7 @@ QUERIES = {
     "ts14_assemble_frame": (ts14, TS14_SQL),
     "win1_frame_index": (lambda s, f: frame_index(points(s, f)).select("sequence_id", "frame", "idx"),
                          f"WITH {DENSE_SQL} SELECT sequence_id, frame, idx FROM frames"),
+    "jn4_shared_sequences": (jn4, JN4_SQL),
     "win3_previous_step": (win3, WIN3_SQL),
     "src1_scan_keypoints": (src1, SRC1_SQL),
 }
