@@ -71,9 +71,11 @@ def scan_manifest(spark: SparkSession, path: str) -> tuple[DataFrame | None, Dat
         F.lit("empty").alias("code"), F.lit(None).cast("long").alias("row_number"),
         F.lit(None).cast("string").alias("column"),
         F.lit("manifest contains no sample rows").alias("message"))
-    broken = rows.where(f"{CORRUPT} is not null").select(
+    # A CSV read may not look at the corrupt column alone.
+    broken = rows.where(f"{CORRUPT} is not null and coalesce(length(sample_id), 0) >= 0").select(
         F.lit("manifest_read").alias("code"), "row_number",
-        F.lit(None).cast("string").alias("column"), F.col(CORRUPT).alias("message"))
+        F.lit(None).cast("string").alias("column"),
+        F.concat(F.lit("malformed row of sample "), F.coalesce("sample_id", F.lit(""))).alias("message"))
     return rows.drop(CORRUPT), empty.unionByName(broken)
 
 
