@@ -7,58 +7,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionmatch.operators.sequence import velocity
 from motionmatch.schemas import LANDMARKS, STEPS
 
 # Rows densified at a time: 256 x 22,080 x 4 bytes = 23 MB.
 SLICE = 256
 
 
-def sparse_vectors(prepared: DataFrame, sequence: str = "sequence_id", *, steps: int = STEPS,
-                   landmarks: int = LANDMARKS) -> DataFrame:
-    """Nonzero vector entries (sequence, position, value).
+def embed(prepared: DataFrame, sequence: str = "sequence_id", *, steps: int = STEPS,
+          landmarks: int = LANDMARKS) -> DataFrame:
+    """Unit vector per sequence as ARRAY<FLOAT>; a vector below 1e-8 stays as it is.
 
     Layout: all positions, then all velocities; step by step, landmark by landmark.
+    A sequence brings at most steps x landmarks rows to its one shuffle; the dense
+    form and its differences exist only in the task.
     """
-    block = steps * landmarks * 3
-
-    def entries(rows: DataFrame, offset: int) -> DataFrame:
-        at = offset + (F.col("step") * landmarks + F.col("landmark")) * 3
-        cells = F.array(*[F.struct((at + i).cast("int").alias("position"), F.col(a).alias("value"))
-                          for i, a in enumerate(("x", "y", "z"))])
-        return rows.select(sequence, F.explode(cells).alias("c")).select(sequence, "c.*")
-
-    both = entries(prepared, 0).unionByName(entries(velocity(prepared, sequence, steps), block))
-    return both.where("value <> 0")
-
-
-def embed(prepared: DataFrame, sequence: str = "sequence_id", *, steps: int = STEPS,
-          landmarks: int = LANDMARKS) -> DataFrame:
-    """Unit vector per sequence as ARRAY<FLOAT>; a vector below 1e-8 stays as it is."""
-    size = 2 * steps * landmarks * 3
-    # At most ``size`` entries per sequence.
-    sparse = sparse_vectors(prepared, sequence, steps=steps, landmarks=landmarks)
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")))
-    packed = sparse.groupBy(sequence).agg(
-        F.collect_list(F.struct("position", "value")).alias("cells"), norm.alias("norm"))
-    packed = packed.select(
-        sequence, F.col("cells.position").alias("at"), F.col("cells.value").alias("value"), "norm")
+    cells, size = steps * landmarks, 2 * steps * landmarks * 3
+    cell = (F.col("step") * landmarks + F.col("landmark")).cast("int").alias("cell")
+    packed = prepared.groupBy(sequence).agg(F.collect_list(F.struct(cell, "x", "y", "z")).alias("c"))
+    packed = packed.select(sequence, *[F.col(f"c.{n}").alias(n) for n in ("cell", "x", "y", "z")])
 
-    def scatter(batches):
+    def densify(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                at, value = part.column("at"), part.column("value")
-                rows = np.repeat(np.arange(part.num_rows), at.value_lengths().to_numpy())
-                norms = part.column("norm").to_numpy()
-                dense = np.zeros((part.num_rows, size), dtype=np.float64)
-                dense[rows, at.flatten().to_numpy()] = value.flatten().to_numpy()
-                dense /= np.where(norms < 1e-8, 1.0, norms)[:, None]
-                vectors = pa.FixedSizeListArray.from_arrays(
-                    pa.array(dense.astype(np.float32).reshape(-1)), size)
+                n, cell = part.num_rows, part.column("cell")
+                rows = np.repeat(np.arange(n), cell.value_lengths().to_numpy())
+                position = np.zeros((n, cells, 3))
+                for axis, name in enumerate(("x", "y", "z")):
+                    position[rows, cell.flatten().to_numpy(), axis] = part.column(name).flatten().to_numpy()
+                position = position.reshape(n, steps, -1)
+                speed = np.diff(position, axis=1, prepend=position[:, :1])
+                vector = np.concatenate([position.reshape(n, -1), speed.reshape(n, -1)], axis=1)
+                norm = np.linalg.norm(vector, axis=1, keepdims=True)
+                vector = (vector / np.where(norm < 1e-8, 1.0, norm)).astype(np.float32)
+                out = pa.FixedSizeListArray.from_arrays(pa.array(vector.reshape(-1)), size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(sequence), vectors.cast(pa.list_(pa.float32()))],
+                    [part.column(sequence), out.cast(pa.list_(pa.float32()))],
                     names=[sequence, "embedding"])
 
     kind = packed.schema[sequence].dataType.simpleString()
-    return packed.mapInArrow(scatter, f"{sequence} {kind}, embedding array<float>")
+    return packed.mapInArrow(densify, f"{sequence} {kind}, embedding array<float>")

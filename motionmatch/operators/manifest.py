@@ -31,10 +31,11 @@ def source_sample_id(path: Column) -> Column:
 
 def split_path(listing: DataFrame, path: str = "rel_path") -> DataFrame:
     """videos/category/split/slug/rest to columns; other paths are dropped."""
-    pattern = r"^videos/([^/]+)/([^/]+)/([^/]+)/(.+)$"
-    parts = {name: F.regexp_extract(path, pattern, i + 1)
+    parts = F.split(path, "/", 5)
+    named = {name: F.get("_parts", F.lit(i + 1))
              for i, name in enumerate(("category", "split", "slug", "below"))}
-    return listing.where(F.col(path).rlike(pattern)).withColumns(parts)
+    whole = (F.get("_parts", F.lit(0)) == "videos") & (F.size("_parts") == 5) & (F.col("below") != "")
+    return listing.withColumn("_parts", parts).withColumns(named).where(whole).drop("_parts")
 
 
 def signer(below: Column, slug: Column) -> Column:

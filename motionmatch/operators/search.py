@@ -95,7 +95,26 @@ def _library(library: DataFrame) -> DataFrame:
         .alias("slug_key"), F.col("embedding").alias("vector"))
 
 
-def search(queries: DataFrame, library: DataFrame, *, skip_same_id: bool = False,
+class LoadedLibrary:
+    """A library whose size has been checked; broadcast if it is within the bound.
+
+    Load once and search many times, as a stream does with every batch.
+    """
+
+    def __init__(self, library: DataFrame, precision: str = "double",
+                 broadcast_bytes: int = BROADCAST_BYTES):
+        self.dtype = {"double": np.float64, "single": np.float32}[precision]
+        self.refs = _library(library)
+        size = self.refs.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+        self.row_bytes = (size["d"] or 1) * np.dtype(self.dtype).itemsize
+        self.total_bytes = size["n"] * self.row_bytes
+        self.shared = None
+        if self.total_bytes <= broadcast_bytes:
+            context = library.sparkSession.sparkContext
+            self.shared = context.broadcast(_block(self.refs.toArrow(), self.dtype))
+
+
+def search(queries: DataFrame, library: DataFrame | LoadedLibrary, *, skip_same_id: bool = False,
            precision: str = "double", broadcast_bytes: int = BROADCAST_BYTES,
            tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Per query: best target and best other similarity, the other's id and word, margin.
@@ -105,58 +124,63 @@ def search(queries: DataFrame, library: DataFrame, *, skip_same_id: bool = False
     is not compared with the library row of its own id. A target that the library
     lacks gives a null similarity; see ``unknown_targets``. Ties go to the lowest id.
     """
-    dtype = {"double": np.float64, "single": np.float32}[precision]
-    refs = _library(library)
+    if not isinstance(library, LoadedLibrary):
+        library = LoadedLibrary(library, precision, broadcast_bytes)
     asked = queries.select("query_id", normalize_key(F.col("target")).alias("target_key"),
                            F.col("embedding").alias("vector"))
-    kind = asked.schema["query_id"].dataType.simpleString()
-    result = RESULT.format(kind=kind)
-    size = refs.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    row_bytes = (size["d"] or 1) * np.dtype(dtype).itemsize
-    if size["n"] * row_bytes <= broadcast_bytes:
-        shared = queries.sparkSession.sparkContext.broadcast(_block(refs.toArrow(), dtype))
-
-        def score(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    yield from _maxima(batch, shared.value, dtype, skip_same_id)
-
-        found = asked.mapInArrow(score, result)
-    else:
-        count = asked.count()
-        blocks = math.ceil(size["n"] * row_bytes / tile_bytes)
-        tiles = max(1, math.ceil(count * row_bytes / tile_bytes))
-
-        def spread(df: DataFrame, own: str, id_column: str, parts: int, other: str, copies: int):
-            every = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
-            return (df.withColumn(own, F.pmod(F.xxhash64(id_column), F.lit(parts)))
-                    .withColumn(other, F.explode(every)))
-
-        left = spread(asked, "tile", "query_id", tiles, "block", blocks)
-        right = spread(refs, "block", "ref_id", blocks, "tile", tiles)
-
-        def meet(part: pa.Table, block: pa.Table) -> pa.Table:
-            if not part.num_rows or not block.num_rows:
-                return pa.table({n: pa.array([], t) for n, t in (
-                    ("query_id", part.schema.field("query_id").type),
-                    ("target_similarity", pa.float64()), ("best_other_similarity", pa.float64()),
-                    ("best_other_id", pa.int64()), ("best_other_word", pa.string()))})
-            return pa.Table.from_batches(
-                _maxima(part, _block(block, dtype), dtype, skip_same_id))
-
-        partial = left.groupBy("tile", "block").cogroup(
-            right.groupBy("tile", "block")).applyInArrow(meet, result)
-        rank = F.struct("best_other_similarity", -F.col("best_other_id"))
-        found = partial.groupBy("query_id").agg(
-            F.max("target_similarity").alias("target_similarity"),
-            F.max("best_other_similarity").alias("best_other_similarity"),
-            F.max_by(F.struct("best_other_id", "best_other_word"),
-                     F.when(F.col("best_other_id").isNotNull(), rank)).alias("_o"),
-        ).select("query_id", "target_similarity", "best_other_similarity", "_o.*")
+    result = RESULT.format(kind=asked.schema["query_id"].dataType.simpleString())
+    found = (_search_shared(asked, library, result, skip_same_id) if library.shared is not None
+             else _search_tiles(asked, library, result, skip_same_id, tile_bytes))
     return found.withColumn(
         "similarity_margin", F.col("target_similarity") - F.col("best_other_similarity"))
 
 
+def _search_shared(asked: DataFrame, library: LoadedLibrary, result: str,
+                   skip_same_id: bool) -> DataFrame:
+    shared, dtype = library.shared, library.dtype
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _maxima(batch, shared.value, dtype, skip_same_id)
+
+    return asked.mapInArrow(score, result)
+
+
+def _search_tiles(asked: DataFrame, library: LoadedLibrary, result: str, skip_same_id: bool,
+                  tile_bytes: int) -> DataFrame:
+    """Query tiles meet library blocks by key; tile numbers are hashes of unique ids."""
+    dtype = library.dtype
+    blocks = max(1, math.ceil(library.total_bytes / tile_bytes))
+    tiles = max(1, math.ceil(asked.count() * library.row_bytes / tile_bytes))
+
+    def spread(df: DataFrame, own: str, id_column: str, parts: int, other: str, copies: int):
+        every = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
+        return (df.withColumn(own, F.pmod(F.xxhash64(id_column), F.lit(parts)))
+                .withColumn(other, F.explode(every)))
+
+    left = spread(asked, "tile", "query_id", tiles, "block", blocks)
+    right = spread(library.refs, "block", "ref_id", blocks, "tile", tiles)
+
+    def meet(part: pa.Table, block: pa.Table) -> pa.Table:
+        if not part.num_rows or not block.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (
+                ("query_id", part.schema.field("query_id").type),
+                ("target_similarity", pa.float64()), ("best_other_similarity", pa.float64()),
+                ("best_other_id", pa.int64()), ("best_other_word", pa.string()))})
+        return pa.Table.from_batches(_maxima(part, _block(block, dtype), dtype, skip_same_id))
+
+    partial = left.groupBy("tile", "block").cogroup(
+        right.groupBy("tile", "block")).applyInArrow(meet, result)
+    rank = F.struct("best_other_similarity", -F.col("best_other_id"))
+    return partial.groupBy("query_id").agg(
+        F.max("target_similarity").alias("target_similarity"),
+        F.max("best_other_similarity").alias("best_other_similarity"),
+        F.max_by(F.struct("best_other_id", "best_other_word"),
+                 F.when(F.col("best_other_id").isNotNull(), rank)).alias("_o"),
+    ).select("query_id", "target_similarity", "best_other_similarity", "_o.*")
+
+
 def library_keys(library: DataFrame) -> DataFrame:
     """(match_key, ref_id): normalised word and slug, an entry counted once per key."""
     slug = F.col("slug") if "slug" in library.columns else F.col("word")

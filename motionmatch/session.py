@@ -20,6 +20,13 @@ SETTINGS = {
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session made elsewhere; all can change at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app_name: str = "motionmatch", master: str | None = None,
                   **overrides: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

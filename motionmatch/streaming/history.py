@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionmatch.operators.sequence import explode_frame
+from motionmatch.operators.search import LoadedLibrary
+from motionmatch.operators.sequence import explode_frame, visible
 from motionmatch.plans.match import Prepared, match_recordings
 from motionmatch.schemas import LANDMARKS, MEASUREMENTS
 from motionmatch.sources.sinks import append_attempts
@@ -43,29 +44,28 @@ def recent(attempts: DataFrame, limit: int = 20, created: str = "created_at",
     return attempts.orderBy(F.col(created).desc(), F.col(key)).limit(limit)
 
 
-def score_finished(frames: DataFrame, library: DataFrame, vocab: DataFrame, **options) -> DataFrame:
-    """Attempt records of the kept frames of finished attempts (kind ``frame``).
+def finished_recordings(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keypoints, recordings) of the kept frames of finished attempts (kind ``frame``).
 
-    ``landmarks`` holds a frame flattened to x, y, z per landmark.
+    ``landmarks`` holds a frame flattened to x, y, z per landmark. A frame with
+    nothing visible still counts towards the length of its recording.
     """
     triples = F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda i: F.struct(
-        F.get("landmarks", 3 * i).alias("x"), F.get("landmarks", 3 * i + 1).alias("y"),
-        F.get("landmarks", 3 * i + 2).alias("z")))
+        *[F.get("landmarks", 3 * i + j).alias(axis) for j, axis in enumerate(("x", "y", "z"))]))
     rows = frames.where("kind = 'frame'").select(
         F.col("attempt_id").alias("sequence_id"), F.col("position").alias("frame"), "target",
         triples.alias("points"))
     points = explode_frame(rows, "points", ["sequence_id", "frame"])
-    asked = rows.groupBy("sequence_id").agg(F.first("target").alias("target_word"),
-                                            F.count("*").alias("_frames"))
-    # Frames with nothing visible still count towards the length of the recording.
-    blank = rows.select("sequence_id", "frame", F.lit(0).alias("landmark"),
-                        *[F.lit(0.0).alias(a) for a in ("x", "y", "z")])
-    unseen = blank.join(points.select("sequence_id", "frame").distinct(),
-                        ["sequence_id", "frame"], "left_anti")
-    prepared = Prepared(points.unionByName(unseen))
-    results = match_recordings(
-        prepared, asked.select("sequence_id", F.col("sequence_id").alias("recording_id"),
-                               "target_word"), library, vocab, **options)
+    blank = rows.where(~F.exists("points", lambda p: visible(p["x"], p["y"]))).select(
+        "sequence_id", "frame", F.lit(0).alias("landmark"),
+        *[F.lit(0.0).alias(a) for a in ("x", "y", "z")])
+    recordings = rows.select("sequence_id", F.col("sequence_id").alias("recording_id"),
+                             F.col("target").alias("target_word")).distinct()
+    return points.unionByName(blank), recordings
+
+
+def attempt_records(results: DataFrame) -> DataFrame:
+    """Matched results as history rows."""
     return results.select(
         F.col("recording_id").alias("attempt_id"), "target_word", "decision", "score",
         "quality_valid", "diagnostics", "nearest_confusion",
@@ -75,13 +75,24 @@ def score_finished(frames: DataFrame, library: DataFrame, vocab: DataFrame, **op
 
 def on_finished(library: DataFrame, vocab: DataFrame, table: str,
                 **options) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: score what finished, store each attempt once."""
+    """``foreachBatch`` function: score what finished, store each attempt once.
+
+    The library is read and checked once, before the stream starts.
+    """
+    library = LoadedLibrary(library, options.get("precision", "double"))
+
     def run(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch = batch.persist()
+        finished = batch.where("kind = 'frame'").persist()
         try:
-            append_attempts(spark, score_finished(batch, library, vocab, **options), table)
+            if finished.isEmpty():
+                return
+            points, recordings = finished_recordings(finished)
+            prepared = Prepared(points)
+            results = match_recordings(prepared, recordings, library, vocab, **options)
+            append_attempts(spark, attempt_records(results), table)
+            prepared.release()
         finally:
-            batch.unpersist()
+            finished.unpersist()
 
     return run

@@ -93,7 +93,10 @@ def str7_stream(spark, folder):
     points = events.select(F.col("user_id").alias("sequence_id"), F.col("event_id").alias("frame"), F.lit(0).alias("landmark"),
                            (F.col("value") / 500).alias("x"), (k / 100).alias("y"), F.lit(0.0).alias("z"))
     words = F.element_at(F.array(*[F.lit(LOOKUP_OVERRIDES.get(w, w)) for w in WORDS]), (F.col("sequence_id") % 30 + 1).cast("int"))
-    library = Prepared(points).embeddings().select(F.col("sequence_id").alias("ref_id"), words.alias("word"), "embedding")
+    prepared, shelf = Prepared(points), scratch_path(spark, "shelf")
+    prepared.embeddings().select(F.col("sequence_id").alias("ref_id"), words.alias("word"), "embedding").write.parquet(shelf)
+    prepared.release()
+    library = spark.read.schema("ref_id long, word string, embedding array<float>").parquet(shelf)
     table_path, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
     stream_ = attempts(frames, idle_seconds=NEVER, timers=False)
     query = (stream_.writeStream.option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
