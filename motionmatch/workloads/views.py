@@ -23,13 +23,16 @@ class View:
     source: str
     columns: dict[str, str]
     where: str = "true"
+    settled: bool = False
 
     def select(self, spark: SparkSession, folder: str) -> DataFrame:
-        """Each row is built once by a generator, so that no rule that reads a
-        column is compiled with the column's whole expression in it."""
-        built = F.struct(*[F.expr(e).alias(c) for c, e in self.columns.items()])
-        return table(spark, folder, self.source).where(self.where).select(
-            F.explode(F.array(built)).alias("row")).select("row.*")
+        """With ``settled``, a generator builds each row once, so that the many rules
+        reading a long expression are not each compiled with all of it."""
+        rows = table(spark, folder, self.source).where(self.where)
+        columns = [F.expr(e).alias(c) for c, e in self.columns.items()]
+        if not self.settled:
+            return rows.select(*columns)
+        return rows.select(F.explode(F.array(F.struct(*columns))).alias("row")).select("row.*")
 
     @property
     def text(self) -> str:
@@ -99,7 +102,7 @@ LISTING = View("orders", {
         f"CASE WHEN o_orderkey % 43 = 0 THEN 'other' ELSE {_SLUG} END, "
         "'-2023_01_25_18_26_35.', CAST(o_orderkey AS STRING), '-0', "
         "CASE WHEN o_orderkey % 47 = 0 THEN '.MP4' WHEN o_orderkey % 53 = 0 THEN '.txt' ELSE '.mp4' END)"),
-})
+}, settled=True)
 
 # Events as raw keypoint text rows; residues of the id break one rule each.
 RAW_POINTS = View("events", {
