@@ -53,24 +53,24 @@ class Disclosure:
     remove_at: float = 0.98
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it in inner functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def placed(text: Column, pattern: str) -> Column:
     """Matches as array of (start, end, value); running sums in blocks, so that long arrays stay linear."""
-    found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(
-        F.char_length(F.get(rest, i)).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("size"),
-        m.alias("value")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")),
-                         lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
-    totals = F.transform(blocks, lambda block: F.aggregate(
-        block, F.lit(0).cast("bigint"), lambda at, s: at + s["gap"] + s["size"]))
-    begins = F.aggregate(
-        totals, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"])
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    # Text before each match and the match; behind the last match there is none.
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(
+        text, F.lit(pattern), F.lit(0)).alias("value"))
+    steps = F.transform(pieces, lambda z: F.struct(
+        F.char_length(z["gap"]).cast("bigint").alias("gap"),
+        F.coalesce(F.char_length(z["value"]), F.lit(0)).cast("bigint").alias("size"), z["value"].alias("value")))
 
     def inside(block, begin):
         return F.aggregate(
-            block, F.struct(begin.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out")),
+            block, F.struct(begin.alias("at"), none.alias("out")),
             lambda acc, s: F.struct(
                 (acc["at"] + s["gap"] + s["size"]).alias("at"),
                 F.concat(acc["out"], F.array(F.struct(
@@ -78,9 +78,22 @@ def placed(text: Column, pattern: str) -> Column:
                     s["value"].alias("value")))).alias("out")),
             lambda acc: acc["out"])
 
-    return F.when(F.size(found) > 0, F.flatten(F.transform(
-        F.arrays_zip(blocks.alias("block"), begins.alias("begin")), lambda z: inside(z["block"], z["begin"])))).otherwise(
-        F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+    def running(blocks):
+        totals = F.transform(blocks, lambda block: F.aggregate(
+            block, F.lit(0).cast("bigint"), lambda at, s: at + s["gap"] + s["size"]))
+        begins = F.aggregate(
+            totals, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda acc, t: F.struct((acc["at"] + t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), begins.alias("begin")),
+                                     lambda z: inside(z["block"], z["begin"])))
+
+    def in_blocks(all_steps):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / BLOCK).cast("int")),
+                           lambda b: F.slice(all_steps, b * BLOCK + 1, F.lit(BLOCK)))
+
+    found = let(steps, lambda s: F.when(F.size(s) > 1, let(in_blocks(s), running)).otherwise(none))
+    return F.filter(found, lambda m: m["value"].isNotNull())
 
 
 def accepted(kind: str, value: Column) -> Column:
@@ -135,7 +148,7 @@ def contexts(private: DataFrame, window: int) -> DataFrame:
     left, right = words(F.col("before"), F.col("span.start")), words(F.col("span.end"), F.col("after"))
     near = near.select(
         entity(F.col("span")).alias("entity"),
-        F.slice(left, F.greatest(F.size(left) - window + 1, F.lit(1)), F.lit(window)).alias("left"),
+        F.reverse(F.slice(F.reverse(left), F.lit(1), F.lit(window))).alias("left"),
         F.slice(right, F.lit(1), F.lit(window)).alias("right"))
     return near.select("entity", F.xxhash64("left", "right").alias("context"),
                        F.explode(F.concat("left", "right")).alias("term"))
