@@ -14,6 +14,10 @@ from motionmatch.operators.search import search
 from motionmatch.operators.sizing import SPREAD_BYTES
 
 
+# How far similarities of equal vectors may lie apart.
+TOLERANCE = {"double": 1e-9, "single": 1e-5}
+
+
 def filter_words(library: DataFrame, allowed: DataFrame, *, order: str = "position",
                  word: str = "lookup_word", spread_bytes: int = SPREAD_BYTES) -> DataFrame:
     """Entries of the allowed words, renumbered 0..n-1 in entry order.
@@ -109,8 +113,12 @@ def export_differences(queries: DataFrame, targets: Sequence[str], before: DataF
                        after: DataFrame, *, precision: str = "double", **sizes) -> DataFrame:
     """Searches and scores that changed between two libraries; empty when equal.
 
-    Every query (query_id, embedding) is asked for every word of ``targets``.
+    Every query (query_id, embedding) is asked for every word of ``targets``. Similarities
+    differ when they are more than ``TOLERANCE`` of the precision apart, or one is null:
+    the last bits of a product depend on the shape of the matrices. Score and best other
+    word follow from the similarities; another word at the same similarity is a tie.
     """
+    tolerance = TOLERANCE[precision]
     every = F.array(*[F.lit(t) for t in dict.fromkeys(targets)])
     asked = queries.withColumn("target", F.explode(every)).select(
         F.to_json(F.struct("query_id", "target")).alias("query_id"), "target", "embedding")
@@ -122,5 +130,9 @@ def export_differences(queries: DataFrame, targets: Sequence[str], before: DataF
             "target_similarity", "best_other_similarity", "best_other_word",
             score.alias("score")).alias(side))
 
+    def moved(field):
+        a, b = F.col(f"before.{field}"), F.col(f"after.{field}")
+        return F.coalesce(F.abs(a - b) > tolerance, a.isNull() != b.isNull())
+
     both = outcome(before, "before").join(outcome(after, "after"), "query_id", "full")
-    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+    return both.where(moved("target_similarity") | moved("best_other_similarity"))

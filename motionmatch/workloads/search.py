@@ -302,7 +302,9 @@ JN9_SQL = (
     "CAST(r.embedding AS DOUBLE[])))) AS s FROM embeddings q CROSS JOIN embeddings r), "
     f"{_jn9_side('b', 'true')}, {_jn9_side('a', 'ref_id % 10 <> 0')} "
     f"SELECT query_id, target, {r6('b.t')} AS target_before, {r6('a.t')} AS target_after, b.w AS other_before, "
-    "a.w AS other_after FROM b JOIN a USING (query_id, target) WHERE b.t <> a.t OR b.o <> a.o OR b.w <> a.w")
+    "a.w AS other_after FROM b JOIN a USING (query_id, target) "
+    "WHERE coalesce(abs(b.t - a.t) > 1e-9, (b.t IS NULL) <> (a.t IS NULL)) "
+    "OR coalesce(abs(b.o - a.o) > 1e-9, (b.o IS NULL) <> (a.o IS NULL))")
 
 
 def src5(spark, folder):
