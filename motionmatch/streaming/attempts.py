@@ -21,7 +21,7 @@ class AttemptProcessor(StatefulProcessor):
     Kinds of output: ``frame`` (the kept frames of a finished attempt, in order),
     ``conflict`` (another target), ``late`` (ordinary frame after the end) and
     ``repeat`` (final frame after the end; the stored result stands). Frames count
-    in arrival order. An attempt idle for longer than the limit starts afresh,
+    in the order of the micro-batches, and within one by time and event id. An attempt idle for longer than the limit starts afresh,
     whichever target comes next; an ended attempt never reopens.
     """
 
@@ -38,7 +38,10 @@ class AttemptProcessor(StatefulProcessor):
         head = self.head.get() if self.head.exists() else None
         target, last_seen, terminal, seen = head if head else (None, None, None, 0)
         kept = [tuple(f) for f in self.frames.get()] if self.frames.exists() else []
-        for chunk in rows:
+        # A key's rows of a micro-batch come in the order of the shuffle.
+        chunks = [c for c in rows if len(c)]
+        ordered = pd.concat(chunks, ignore_index=True).sort_values(["ts", "event_id"], kind="stable") if chunks else None
+        for chunk in () if ordered is None else (ordered,):
             out = []
             for row in chunk.itertuples(index=False):
                 ts = row.ts.to_pydatetime() if hasattr(row.ts, "to_pydatetime") else row.ts

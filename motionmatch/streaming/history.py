@@ -89,9 +89,12 @@ def on_finished(library: DataFrame, vocab: DataFrame, table: str,
                 return
             points, recordings = finished_recordings(finished)
             prepared = Prepared(points)
-            results = match_recordings(prepared, recordings, library, vocab, **options)
-            append_attempts(spark, attempt_records(results), table)
-            prepared.release()
+            try:
+                # One bad attempt must not end the stream.
+                results = match_recordings(prepared, recordings, library, vocab, **{"strict": False, **options})
+                append_attempts(spark, attempt_records(results), table)
+            finally:
+                prepared.release()
         finally:
             finished.unpersist()
 
