@@ -36,6 +36,15 @@ DIAGNOSTIC_TEXTS = {
 }
 
 
+# White space at the ends of a value, as Unicode has it; SQL's trim takes off blanks only.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+               + "".join(map(chr, range(0x2000, 0x200B))))
+
+
+def stripped(column: Column | str) -> Column:
+    return F.btrim(column, F.lit(WHITE_SPACE))
+
+
 def lookup(key: Column, table: Mapping[str, str], default: Column) -> Column:
     """``table[key]``, else ``default``."""
     pairs = [F.lit(part) for item in table.items() for part in item]

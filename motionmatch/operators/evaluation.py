@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionmatch.functions.scoring import safe_rate
+from motionmatch.functions.text import stripped
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.percentiles import exact_percentile
 from motionmatch.operators.sizing import SPREAD_BYTES
@@ -17,7 +18,7 @@ from motionmatch.schemas import SAMPLE_TYPES, SEMANTIC_TYPES
 def is_truth_labelled() -> Column:
     """Reviewed and labelled manifest text rows take part in an evaluation."""
     return (F.col("variant_status") != "unreviewed") & (
-        F.trim(F.coalesce("expected_pass", F.lit(""))) != "")
+        stripped(F.coalesce("expected_pass", F.lit(""))) != "")
 
 
 def split_truth(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionmatch.functions.text import stripped
+
 
 def select_words(vocab: DataFrame, requested: DataFrame, *, word: str = "word",
                  position: str = "position", target: str = "target_word") -> DataFrame:
     """Requested vocabulary words, once each, with the position first asked at."""
-    asked = requested.groupBy(F.upper(F.trim(F.col(word))).alias(target)).agg(
+    asked = requested.groupBy(F.upper(stripped(F.col(word))).alias(target)).agg(
         F.min(position).alias("position"))
     return asked.join(F.broadcast(vocab), target)
 
 
 def unsupported_words(vocab: DataFrame, requested: DataFrame, *, word: str = "word",
                       target: str = "target_word") -> DataFrame:
-    asked = requested.select(F.upper(F.trim(F.col(word))).alias(target)).distinct()
+    asked = requested.select(F.upper(stripped(F.col(word))).alias(target)).distinct()
     return asked.join(F.broadcast(vocab.select(target)), target, "left_anti")
 
 
@@ -48,7 +50,7 @@ def digest_status(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
     ``expected``: key, expected_digest (text of a checksum line). ``actual``: key,
     actual_digest.
     """
-    text = F.lower(F.get(F.split(F.trim("expected_digest"), r"\s+"), F.lit(0)))
+    text = F.lower(F.get(F.split(stripped("expected_digest"), r"\s+"), F.lit(0)))
     joined = expected.withColumn("_want", text).join(
         actual.withColumn("_there", F.lit(True)), key, "left")
     status = (F.when(F.col("_there").isNull(), F.lit("missing"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motionmatch.functions.features import BOUNDS, within
 from motionmatch.functions.scoring import finite
+from motionmatch.functions.text import stripped
 from motionmatch.operators.rules import Rule, blank, duplicates, leakage, row_issues
 from motionmatch.schemas import FEATURES, LANDMARKS, SAMPLE_TYPES, SEMANTIC_TYPES, VARIANT_STATUSES
 from motionmatch.vocabulary import SPLITS
@@ -16,9 +17,9 @@ def typed_keypoints(raw: DataFrame) -> DataFrame:
     """Text columns to numbers; what does not parse becomes null."""
     return raw.select(
         *[c for c in raw.columns if c not in ("frame", "landmark_index", "x", "y", "z")],
-        F.trim("frame").try_cast("int").alias("frame"),
-        F.trim("landmark_index").try_cast("int").alias("landmark"),
-        *[F.trim(a).try_cast("double").alias(a) for a in ("x", "y", "z")])
+        stripped("frame").try_cast("int").alias("frame"),
+        stripped("landmark_index").try_cast("int").alias("landmark"),
+        *[stripped(a).try_cast("double").alias(a) for a in ("x", "y", "z")])
 
 
 def keypoint_issues(points: DataFrame, sequence: str = "sequence_id", *,
@@ -73,7 +74,7 @@ def typed_results(raw: DataFrame) -> DataFrame:
     return raw.select(
         *texts, F.col("repeat_index").try_cast("long").alias("repeat_index"),
         *[boolean(c) for c in ("quality_valid", "expected_pass", "accepted")],
-        *[F.nullif(F.trim(c), F.lit("")).try_cast("double").alias(c) for c in ("score", *FEATURES)])
+        *[F.nullif(stripped(c), F.lit("")).try_cast("double").alias(c) for c in ("score", *FEATURES)])
 
 
 def result_issues(raw: DataFrame, vocab: DataFrame, splits=SPLITS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionmatch.functions.text import stripped
 from motionmatch.operators.rules import Rule, blank, duplicates, leakage, row_issues
 from motionmatch.schemas import (
     LABEL_OF_VARIANT, MANIFEST_COLUMNS, MANIFEST_REQUIRED, SAMPLE_TYPES, VARIANT_STATUSES,
@@ -105,7 +106,7 @@ def manifest_issues(rows: DataFrame, vocab: DataFrame, source: str, *,
     ``files`` (path) lists what exists; without it file rules are left out.
     """
     rows = rows.select("row_number", *[
-        F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in MANIFEST_COLUMNS])
+        stripped(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in MANIFEST_COLUMNS])
     words = F.broadcast(vocab.select(F.col("target_word").alias("_word")))
     known = rows.join(words, F.col("target_word") == F.col("_word"), "left")
     performed = F.broadcast(vocab.select(F.col("target_word").alias("_performed")))
@@ -159,7 +160,7 @@ def manifest_issues(rows: DataFrame, vocab: DataFrame, source: str, *,
 def missing_files(rows: DataFrame, files: DataFrame, folder: str = "") -> DataFrame:
     """Clip and keypoint paths that no listed file has."""
     paths = rows.select("row_number", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("code"), F.trim(F.coalesce(c, F.lit(""))).alias("value"))
+        F.struct(F.lit(c).alias("code"), stripped(F.coalesce(c, F.lit(""))).alias("value"))
         for c in ("video_path", "keypoints_path")])).alias("p")).select("row_number", "p.*")
     asked = paths.where("value <> ''").withColumn(
         "_path", resolve_path(F.col("value"), folder) if folder else F.col("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionmatch.functions.scoring import GATE_RULE, GateRule, quality_reasons
+from motionmatch.functions.scoring import GATE_RULE, GateRule, finite, quality_reasons
 from motionmatch.operators.sequence import visible
 from motionmatch.schemas import HAND_LANDMARKS, STEPS
 
@@ -47,8 +47,11 @@ def measure(prepared: DataFrame, frame_counts: DataFrame, sequence: str = "seque
 
 
 def gate(measured: DataFrame, rule: GateRule = GATE_RULE) -> DataFrame:
-    """Add ``reasons`` and ``quality_valid``."""
-    reasons = quality_reasons(F.col("hand_visibility"), F.col("motion_energy"),
+    """Add ``reasons`` and ``quality_valid``. A measurement that is not a number is an error."""
+    sound = finite(F.col("hand_visibility")) & finite(F.col("motion_energy")) & finite(
+        F.col("motion_span")) & finite(F.col("sequence_completeness"))
+    found = quality_reasons(F.col("hand_visibility"), F.col("motion_energy"),
                               F.col("motion_span"), F.col("sequence_completeness"), rule)
+    reasons = F.when(~sound, F.raise_error(F.lit("a quality measurement is not finite"))).otherwise(found)
     return measured.withColumn("reasons", reasons).withColumn(
         "quality_valid", F.size("reasons") == 0)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionmatch.functions.text import stripped
+
 ISSUE = "struct<code:string,row_number:bigint,column:string,message:string>"
 
 
@@ -20,7 +22,7 @@ class Rule:
 
 
 def blank(column: str) -> Column:
-    return F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    return stripped(F.coalesce(F.col(column), F.lit(""))) == ""
 
 
 def row_issues(df: DataFrame, rules: Sequence[Rule], row_number: str = "row_number") -> DataFrame:

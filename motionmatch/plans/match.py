@@ -80,11 +80,13 @@ class Prepared:
 
 def match_recordings(prepared: Prepared, recordings: DataFrame, library: DataFrame,
                      vocab: DataFrame, *, gate_rule=GATE_RULE, score_rule=SCORE_RULE,
-                     skip_same_id: bool = False, precision: str = "double", **sizes) -> DataFrame:
+                     skip_same_id: bool = False, precision: str = "double", strict: bool = True,
+                     **sizes) -> DataFrame:
     """One result row per recording (recording_id, sequence_id, target_word, ...).
 
     Several recordings may ask for one sequence; it is prepared once. Sequences
-    that fail the gate are neither embedded nor searched.
+    that fail the gate are neither embedded nor searched. A word that the library lacks, and a
+    library without any other word, are errors unless ``strict`` is off; then the score is null.
     """
     quality = prepared.quality(gate_rule)
     usable = quality.where("quality_valid")
@@ -92,6 +94,11 @@ def match_recordings(prepared: Prepared, recordings: DataFrame, library: DataFra
     queries = asked.join(prepared.embeddings(usable), "sequence_id").select(
         F.col("recording_id").alias("query_id"), F.col("lookup_word").alias("target"), "embedding")
     found = search(queries, library, skip_same_id=skip_same_id, precision=precision, **sizes)
+    if strict:
+        found = found.where(F.when(F.col("target_similarity").isNotNull() & F.col("best_other_similarity").isNotNull(), True)
+                            .otherwise(F.raise_error(F.concat(
+                                F.lit("no entry for the word, or none for another word, of recording "),
+                                F.col("query_id").cast("string"))).cast("boolean")))
     found = to_product_word(found, vocab, "best_other_word", "nearest_confusion")
     rows = asked.join(quality, "sequence_id").join(
         found.withColumnRenamed("query_id", "recording_id"), "recording_id", "left")

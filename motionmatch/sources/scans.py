@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionmatch.operators.keypoint_rules import typed_keypoints
@@ -17,15 +17,34 @@ CORRUPT = "_corrupt"
 def strict_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Text columns of CSV files whose header must be exactly ``columns``.
 
-    Rows with too few or too many fields keep their line in ``_corrupt``. A wrong
+    Rows with too few or too many fields keep their line in ``_corrupt``, whichever
+    columns are read: with pruning the parser would not count the fields. A wrong
     header fails the read.
     """
     schema = ", ".join(f"`{c}` STRING" for c in (*columns, CORRUPT))
     return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("columnPruning", False)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
             .option("nullValue", "\u0000").option("emptyValue", "").csv(paths))
 
 
+def numbered(rows: DataFrame, first: int = 2) -> DataFrame:
+    """Add ``row_number``: the place of a row in its file, from ``first``.
+
+    Rows are counted per split of a file, and the counts before each split added up; there is
+    one small row per split.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_split"),
+                         F.monotonically_increasing_id().alias("_at"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_least")).select(
+        "_file", "_split", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(splits, ["_file", "_split"]).withColumn(
+        "row_number", F.col("_at") - F.col("_least") + F.col("_before") + first).drop(
+        "_file", "_split", "_at", "_least", "_before")
+
+
 def plain_path(column: Column) -> Column:
     """Local file URIs as plain paths; other schemes stay."""
     return F.regexp_replace(F.url_decode(column), "^file:/+", "/")
@@ -65,8 +84,7 @@ def scan_manifest(spark: SparkSession, path: str) -> tuple[DataFrame | None, Dat
     found = (header["value"].lstrip("﻿") if header else "").split(",")
     if tuple(found) != MANIFEST_COLUMNS:
         return None, issue("columns", f"expected {list(MANIFEST_COLUMNS)}, found {found}")
-    rows = strict_csv(spark, path, MANIFEST_COLUMNS).withColumn(
-        "row_number", F.monotonically_increasing_id() + 2)
+    rows = numbered(strict_csv(spark, path, MANIFEST_COLUMNS))
     empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(
         F.lit("empty").alias("code"), F.lit(None).cast("long").alias("row_number"),
         F.lit(None).cast("string").alias("column"),
@@ -86,12 +104,11 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in CALIBRATION_COLUMNS if c not in columns]
     if missing or len(set(columns)) != len(columns):
         raise ValueError(f"missing or repeated columns: {missing or columns}")
-    rows = strict_csv(spark, path, columns)
-    bad = F.when(F.col(CORRUPT).isNotNull(), F.raise_error(F.concat(
-        F.lit("malformed row: "), F.col(CORRUPT)))).otherwise(F.col("sample_id"))
-    return rows.select(
-        (F.monotonically_increasing_id() + 2).alias("row_number"), bad.cast("string").alias("sample_id"),
-        *[c for c in CALIBRATION_COLUMNS if c != "sample_id"])
+    # A filter is evaluated whichever columns are asked for; it must look at one beside the line.
+    sound = F.when(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length("sample_id"), F.lit(0)) >= 0), F.raise_error(
+        F.concat(F.lit("malformed row: "), F.col(CORRUPT))).cast("boolean")).otherwise(True)
+    rows = numbered(strict_csv(spark, path, columns).where(sound))
+    return rows.select("row_number", *CALIBRATION_COLUMNS)
 
 
 LIBRARY_SCHEMA = ("ref_id LONG, word STRING, slug STRING, path STRING, lecture STRING, "

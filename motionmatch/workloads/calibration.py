@@ -95,7 +95,7 @@ def sink3(spark, folder):
     """Predictions written in order and read back."""
     _, _, predictions = calibrate(rows(spark, folder), scratch_path(spark, "calibrator"), source=SOURCE)
     path = scratch_path(spark, "predictions")
-    write_small(predictions, path, "parquet")
+    predictions.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -164,7 +164,7 @@ def ts14(spark, folder):
     """Orders as detections: lines by return flag are hands and pose; even orders show a face."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_quantity")
     place = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_quantity")
-    seen = lines.withColumn("n", F.row_number().over(place)).where("n <= 33")
+    seen = lines.withColumn("n", F.row_number().over(place))
     point = F.struct(F.col("l_quantity").alias("x"), F.col("l_partkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
 
     def part(flag):

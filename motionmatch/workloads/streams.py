@@ -88,8 +88,8 @@ def str7_stream(spark, folder):
     frames = read_files(spark, folder, "events.parquet", schema).select(
         F.col("user_id").alias("attempt_id"), F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("user_id") % 30 + 1).cast("int")).alias("target"),
         "ts", "event_id", (F.col("event_type") == "purchase").alias("final"), marks.alias("landmarks"))
-    # The library: each user's events up to the tenth day, prepared and embedded.
-    events = table(spark, folder, "events").where("ts < '2024-01-10'")
+    # The library: each user's events, prepared and embedded.
+    events = table(spark, folder, "events")
     points = events.select(F.col("user_id").alias("sequence_id"), F.col("event_id").alias("frame"), F.lit(0).alias("landmark"),
                            (F.col("value") / 500).alias("x"), (k / 100).alias("y"), F.lit(0.0).alias("z"))
     words = F.element_at(F.array(*[F.lit(LOOKUP_OVERRIDES.get(w, w)) for w in WORDS]), (F.col("sequence_id") % 30 + 1).cast("int"))
