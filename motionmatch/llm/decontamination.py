@@ -8,10 +8,12 @@ each passage is a query:
 
 1. WAND's first test, for all passages of a batch at once: the greatest weights of the passage's
    distinct terms must add up to the threshold. Otherwise there is no pivot, and no result.
-2. For the others, block-max WAND finds all units at or above the threshold: cursors in unit order,
+2. For the others the same by groups of units (at most ``groups`` of them): the terms' greatest
+   weights in some group must add up to the threshold.
+3. For what is left, block-max WAND finds all units at or above the threshold: cursors in unit order,
    a pivot by greatest weights, a test by the blocks' greatest weights with jumps past blocks that
    cannot reach it, then the full score.
-3. Of each item found, question and answer are verified on the text around the passage: the share of
+4. Of each item found, question and answer are verified on the text around the passage: the share of
    the question's word n-grams and of the answer's.
 
 The index is broadcast in shards whose size is counted first (``shard_words``); more test items are
@@ -53,9 +55,10 @@ class Search:
     k1: float = 1.2
     b: float = 0.75
     block: int = 16              # postings in a block
-    size: int = 5                # words in a verified n-gram
-    question: float = 0.6        # shares to be found
-    answer: float = 0.6
+    groups: int = 64             # stretches of units with greatest weights of their own
+    size: int = 5                # words in a verified n-gram; 2 in parts of less than twice as many words
+    question: float = 0.5        # shares to be found
+    answer: float = 0.5
     shard_words: int = 2_000_000 # words of test items in one broadcast index
 
 
@@ -74,8 +77,6 @@ def question_answer(text: str | None, question: str | None, answer: str | None)
 
 
 def grams(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
-    """n-grams of the words; of fewer words, all of them as one."""
-    size = min(size, len(words))
     return set(zip(*(words[k:] for k in range(size)))) if size else set()
 
 
@@ -103,6 +104,11 @@ class Index:
         self.docs = [[u for u, _ in p] for p in postings.values()]
         self.weights = [[w for _, w in p] for p in postings.values()]
         self.most = np.array([max(w) for w in self.weights] or [0.0])
+        # The same by groups of neighbouring units: at most groups x terms numbers.
+        width = max(1, -(-len(rows) // search.groups))
+        self.by_group = np.zeros((max(1, len(self.docs)), -(-max(1, len(rows)) // width)), np.float32)
+        for t, (docs, weights) in enumerate(zip(self.docs, self.weights)):
+            np.maximum.at(self.by_group[t], np.array(docs) // width, np.array(weights, np.float32))
         self.blocks = [[max(w[at:at + search.block]) for at in range(0, len(w), search.block)] for w in self.weights]
 
     def above(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -155,16 +161,13 @@ class Index:
         """Shares of the item's question and answer found in the words."""
         shares = []
         for part in self.parts[item]:
-            wanted = grams(part, self.search.size)
-            found = grams_of_size(words, min(self.search.size, len(part)))
-            shares.append(len(wanted & found) / len(wanted) if wanted else 1.0)
+            # One changed word of a short answer must not hide all of it.
+            size = min(len(part), self.search.size if len(part) >= 2 * self.search.size else 2)
+            wanted = grams(part, size)
+            shares.append(len(wanted & grams(words, size)) / len(wanted) if wanted else 1.0)
         return shares[0], shares[1]
 
 
-def grams_of_size(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
-    return set(zip(*(words[k:] for k in range(size)))) if size else set()
-
-
 def all_words(question: str, answer: str) -> list[bytes]:
     return words_of(question) if question == answer else words_of(question) + words_of(answer)
 
@@ -203,12 +206,13 @@ def seek(docs: list[int], at: int, target: int) -> int:
     return low
 
 
-def passages_above(ids: np.ndarray, starts: np.ndarray, most: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+def passages_above(ids: np.ndarray, starts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(row, passage number) of the passages whose terms can reach the threshold together.
 
     Passage k of a text has the words from k * unit up to (k + 2) * unit. A word counts in a
     passage if it has not come before in it.
     """
+    search, most = index.search, index.most
     at = np.flatnonzero(ids >= 0)
     row = np.searchsorted(starts, at, side="right") - 1
     place, term = at - starts[row], ids[at]
@@ -219,12 +223,26 @@ def passages_above(ids: np.ndarray, starts: np.ndarray, most: np.ndarray, search
     stretch = place // search.unit
     number = np.maximum(1, -(-np.diff(starts) // search.unit))      # stretches of each row
     offset = np.concatenate([[0], np.cumsum(number)])
-    total = np.zeros(offset[-1])
+    passage, terms = [], []
     for back in (0, 1):                                  # the passage that begins with this stretch, and the one before
         p = stretch - back
         ok = (p >= 0) & (before < p * search.unit)
-        total += np.bincount(offset[row[ok]] + p[ok], most[term[ok]], offset[-1])
-    found = np.flatnonzero(total >= search.threshold - 1e-9)
+        passage.append(offset[row[ok]] + p[ok])
+        terms.append(term[ok])
+    passage, term = np.concatenate(passage), np.concatenate(terms)
+    total = np.bincount(passage, most[term], offset[-1])
+    ok = total[passage] >= search.threshold - 1e-9
+    passage, term = passage[ok], term[ok]
+    order = np.argsort(passage, kind="stable")
+    passage, term = passage[order], term[order]
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
+    found = []
+    for at in range(0, len(first), 1024):                # bounds of the groups, some passages at a time
+        begin = first[at:at + 1024]
+        end = first[at + 1024] if at + 1024 < len(first) else len(passage)
+        bound = np.add.reduceat(index.by_group[term[begin[0]:end]], begin - begin[0], axis=0)
+        found.append(passage[begin[(bound >= search.threshold - 1e-5).any(1)]])
+    found = np.concatenate(found) if found else np.zeros(0, np.int64)
     row = np.searchsorted(offset, found, side="right") - 1
     return row, found - offset[row]
 
@@ -237,7 +255,7 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, float, float
     ids = np.fromiter((index.term.get(k, -1) for k in keys), np.int64, len(keys))[numbers]
     best: dict[tuple[int, int], float] = {}
     places: dict[tuple[int, int], list[int]] = {}
-    for r, k in zip(*(x.tolist() for x in passages_above(ids, starts, index.most, search))):
+    for r, k in zip(*(x.tolist() for x in passages_above(ids, starts, index))):
         begin = starts[r] + k * unit
         terms = np.unique(ids[begin:min(starts[r + 1], begin + 2 * unit)])
         for u, score in index.above(terms[terms >= 0].tolist()):
