@@ -31,12 +31,23 @@ def first_media_url(html: Column, base: str, patterns: Sequence[str] = CLIP_PATT
     return absolute_url(F.coalesce(*tried), base)
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``; bound as a variable, the value is not computed again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
-    """The entities that occur in attribute values; ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("\\u0026", "&"), ("&amp;", "&")):
+    """Entities of the characters that attribute values escape, by name or number; ampersand last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("\\u0026", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+
+    def by_number(plain: Column) -> Column:
+        done = plain
+        for char in "<>\"'/=?&":
+            done = F.regexp_replace(done, f"(?i)&#(?:0*{ord(char)}|x0*{ord(char):x});", char)
+        return F.when(F.contains(plain, F.lit("&#")), done).otherwise(plain)
+
+    return F.replace(once(text, by_number), F.lit("&amp;"), F.lit("&"))
 
 
 def link_positions(html: Column, pattern: str) -> Column:
@@ -69,19 +80,22 @@ def first_clean_image(html: Column, pattern: str, *, suffix: str = "",
 
     Only a link's first occurrence is judged; later copies are ignored.
     """
-    found = link_positions(html, pattern)
-    urls = F.transform(found, lambda f: f["url"])
-
-    def clean(link: Column, i: Column) -> Column:
+    def clean(urls: Column, link: Column, i: Column) -> Column:
         start = F.greatest(link["start"] - before, F.lit(0))
         end = F.least(link["end"] + after, F.length(html))
-        around = F.lower(unescape(F.substring(html, start + 1, end - start)))
         ok = F.array_position(urls, link["url"]) == i + 1
-        for marker in markers:
-            ok = ok & ~F.contains(around, F.lit(marker))
         for part in skip:
             ok = ok & ~F.contains(link["url"], F.lit(part))
-        return ok
 
-    first = F.try_element_at(F.filter(found, clean), F.lit(1))
+        def unmarked(around: Column) -> Column:
+            fine = F.lit(True)
+            for marker in markers:
+                fine = fine & ~F.contains(around, F.lit(marker))
+            return fine
+
+        return ok & once(F.lower(unescape(F.substring(html, start + 1, end - start))), unmarked)
+
+    first = once(link_positions(html, pattern), lambda found: once(
+        F.transform(found, lambda f: f["url"]), lambda urls: F.try_element_at(
+            F.filter(found, lambda link, i: clean(urls, link, i)), F.lit(1))))
     return F.concat(first["url"], F.lit(suffix))

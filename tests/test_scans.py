@@ -72,3 +72,17 @@ def test_gate_refuses_what_is_not_a_number(spark):
                                 "hand_visibility double, motion_energy double, motion_span double, sequence_completeness double")
     with pytest.raises(Exception, match="not finite"):
         gate(row).collect()
+
+
+def test_a_page_of_many_links_is_read_in_time(spark):
+    import time
+
+    from motionmatch.functions.media import first_clean_image, unescape
+
+    links = "".join(f'<img src="https://img.example.com/p{k}.jpg?w=1">' for k in range(3000))
+    page = spark.createDataFrame([(links + "Getty Images " + " " * 3000 + '<img src="https://img.example.com/last.jpg">',)], "html string")
+    begin = time.time()
+    got = page.select(first_clean_image(F.col("html"), r"https://img\.example\.com/[^\"?]+\.jpg")).first()[0]
+    assert got == "https://img.example.com/p0.jpg" and time.time() - begin < 40
+    row = spark.createDataFrame([("a&amp;b&#38;c&#x2F;d&#039;e&lt;",)], "v string").select(unescape(F.col("v"))).first()
+    assert row[0] == "a&b&c/d'e<"
