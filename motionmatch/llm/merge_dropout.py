@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,15 @@ class Vocabulary:
         return Vocabulary({c: i for c, i in symbols.items() if len(c) == 1}, np.array([k for k, _ in pairs]),
                           np.array([i for _, i in pairs]), score, np.array(byte), text, n)
 
+    def table(self) -> np.ndarray:
+        """Symbol of every code point; a space is the mark, the mark itself has none."""
+        if not hasattr(self, "_table"):
+            table = np.full(0x110000, -1, np.int64)
+            table[[ord(c) for c in self.chars]] = list(self.chars.values())
+            table[ord(" ")], table[ord(MARK)] = self.chars.get(MARK, -1), -1
+            object.__setattr__(self, "_table", table)
+        return self._table
+
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Symbol of each pair, -1 if it does not merge."""
         keys = left.astype(np.int64) << 32 | right
@@ -110,9 +120,11 @@ def skipped(key, start, middle, end, rate: float) -> np.ndarray:
     """Whether the merge of [start, middle) and [middle, end) of the word with this key is dropped."""
     if rate <= 0:
         return np.zeros(np.broadcast(key, start).shape, bool)
+    if rate >= 1:
+        return np.ones(np.broadcast(key, start).shape, bool)
     place = (np.asarray(start, np.uint64) << np.uint64(42)) ^ (np.asarray(middle, np.uint64) << np.uint64(21)) \
         ^ np.asarray(end, np.uint64)
-    return mixed(np.asarray(key, np.uint64) ^ mixed(place + np.uint64(1))) < np.uint64(min(rate, 1) * MASK)
+    return mixed(np.asarray(key, np.uint64) ^ mixed(place + np.uint64(1))) < np.uint64(int(rate * MASK))
 
 
 def symbols_of(word: str, vocabulary: Vocabulary) -> list[int]:
@@ -154,69 +166,65 @@ def encode_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
 
 
 def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[list[int]]:
-    n, width = len(words), max(len(w) for w, _ in words)
+    """Symbols of a word are a linked list over its characters' places, so a merge moves nothing."""
+    n, size = len(words), np.array([len(w) for w, _ in words])
+    width = int(size.max())
+    points = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le"), np.uint32)
     sym = np.full((n, width), -1, np.int64)
-    for r, (w, _) in enumerate(words):
-        sym[r, :len(w)] = symbols_of(w, vocabulary)
-    size = np.array([len(w) for w, _ in words])
-    start = np.tile(np.arange(width + 1), (n, 1))        # of each symbol; [.., count] is the word's end
+    sym[np.arange(width) < size[:, None]] = vocabulary.table()[points]
+    after = np.tile(np.arange(1, width + 1), (n, 1))     # where the next symbol begins; the word's size at its end
+    before = np.tile(np.arange(-1, width - 1), (n, 1))
+    alive = np.arange(width) < size[:, None]
     key = np.array([word_key(w, v, dropout.seed) for w, v in words], np.uint64)
-    final_sym, final_start, final_size = sym.copy(), start.copy(), size.copy()
+    merged, cost = np.full((n, width), -1, np.int64), np.full((n, width), np.inf)
+
+    def judge(rows, lefts, costs, at):
+        """Merge and cost of the candidates that begin at (row, left), into row ``at`` of the costs."""
+        rights = after[rows, lefts]
+        inner = rights < size[rows]
+        costs[at[~inner], lefts[~inner]] = np.inf
+        rows, lefts, rights, at = rows[inner], lefts[inner], rights[inner], at[inner]
+        to = vocabulary.merge_of(sym[rows, lefts], sym[rows, rights])
+        merged[rows, lefts] = to
+        costs[at, lefts] = np.where(
+            (to >= 0) & ~skipped(key[rows], lefts, rights, after[rows, rights], dropout.rate), vocabulary.score[to], np.inf)
+
+    rows, lefts = np.nonzero(alive)
+    judge(rows, lefts, cost, rows)
     live = np.arange(n)
-    cand = cost = None
     while len(live):
-        if cand is None:
-            rows, cols = np.nonzero(np.arange(width - 1) < (size - 1)[:, None]) if width > 1 else (np.zeros(0, int),) * 2
-            cand, cost = np.full((len(live), max(1, width - 1)), -1), np.full((len(live), max(1, width - 1)), np.inf)
-            judge(rows, cols, sym, start, key, cand, cost, vocabulary, dropout)
         best = cost.argmin(1)
-        found = np.isfinite(cost[np.arange(len(live)), best])
-        if not found.all():
-            done = np.flatnonzero(~found)
-            rows = live[done]
-            final_sym[rows, :sym.shape[1]], final_start[rows, :start.shape[1]] = sym[done], start[done]
-            final_size[rows] = size[done]
-            keep = np.flatnonzero(found)
-            live, sym, start, size, key = live[keep], sym[keep], start[keep], size[keep], key[keep]
-            cand, cost, best = cand[keep], cost[keep], best[keep]
-            if not len(live):
-                break
-        r = np.arange(len(live))
-        sym[r, best] = cand[r, best]
-        for x, fill in ((sym, -1), (start, 0)):          # close the gap right of the merged symbol
-            cols = np.arange(x.shape[1] - 1)
-            move = cols >= (best + 1)[:, None]
-            x[:, :-1] = np.where(move, x[:, 1:], x[:, :-1])
-        for x, fill in ((cand, -1), (cost, np.inf)):
-            cols = np.arange(x.shape[1] - 1)
-            x[:, :-1] = np.where(cols >= (best + 1)[:, None], x[:, 1:], x[:, :-1])
-            x[:, -1] = fill
-        size -= 1
-        for shift in (-1, 0):                            # new neighbours of the merged symbol
-            cols = best + shift
-            ok = np.flatnonzero((cols >= 0) & (cols < size - 1))
-            gone = np.flatnonzero((cols >= 0) & (cols >= size - 1))
-            cost[gone, cols[gone]] = np.inf
-            judge(ok, cols[ok], sym, start, key, cand, cost, vocabulary, dropout)
-    out = []
-    for r, (w, _) in enumerate(words):
-        k = final_size[r]
-        ids = final_sym[r, :k]
-        out.append(ids.tolist() if ((ids >= 0) & (ids < vocabulary.size)).all()
-                   else finished(ids.tolist(), final_start[r, :k].tolist(), w, vocabulary))
+        at = np.flatnonzero(np.isfinite(cost[np.arange(len(live)), best]))
+        if len(at) < 0.8 * len(live):                    # let go of the rows that are done
+            live, cost, best = live[at], cost[at], best[at]
+            at = np.arange(len(live))
+        rows, lefts = live[at], best[at]
+        if not len(rows):
+            break
+        rights = after[rows, lefts]
+        ends = after[rows, rights]
+        sym[rows, lefts] = merged[rows, lefts]
+        after[rows, lefts] = ends
+        alive[rows, rights] = False
+        cost[at, rights] = np.inf
+        inner = ends < size[rows]
+        before[rows[inner], ends[inner]] = lefts[inner]
+        judge(rows, lefts, cost, at)
+        lefts = before[rows, lefts]
+        inner = lefts >= 0
+        judge(rows[inner], lefts[inner], cost, at[inner])
+    rows, places = np.nonzero(alive)
+    flat = sym[rows, places]
+    ends = np.cumsum(np.bincount(rows, minlength=n))
+    other = np.zeros(n, bool)
+    other[rows[(flat < 0) | (flat >= vocabulary.size)]] = True
+    flat, places, at, out = flat.tolist(), places.tolist(), 0, []
+    for (w, _), end, odd in zip(words, ends.tolist(), other.tolist()):
+        out.append(finished(flat[at:end], places[at:end], w, vocabulary) if odd else flat[at:end])
+        at = end
     return out
 
 
-def judge(rows, cols, sym, start, key, cand, cost, vocabulary: Vocabulary, dropout: Dropout) -> None:
-    """Set the merge and cost of the candidates at (row, column)."""
-    if not len(rows):
-        return
-    to = vocabulary.merge_of(sym[rows, cols], sym[rows, cols + 1])
-    drop = skipped(key[rows], start[rows, cols], start[rows, cols + 1], start[rows, cols + 2], dropout.rate)
-    cand[rows, cols] = to
-    cost[rows, cols] = np.where((to >= 0) & ~drop, vocabulary.score[to], np.inf)
-
-
 def encode_long(word: str, variant: int, vocabulary: Vocabulary, dropout: Dropout) -> list[int]:
     """The same for one very long word, with an agenda: time n log n."""
     import heapq
@@ -270,7 +278,7 @@ class Encoder:
         fresh = dict(zip(new, encode_words(new, self.vocabulary, self.dropout)))
         look = {w: fresh[w] if w in fresh else self.known[w] for w in wanted}
         self.known.update((w, ids) for w, ids in fresh.items() if len(w[0]) <= LONG)
-        return [None if r is None else [i for w in r for i in look[w]] for r in rows]
+        return [None if r is None else list(chain.from_iterable(map(look.__getitem__, r))) for r in rows]
 
     def variants_of(self, key: int | None, n: int) -> list[int]:
         """Which segmentation each word of a document takes."""
