@@ -6,7 +6,7 @@ cross from one word into the next, so that words can be encoded apart and rememb
 
 A band per language and measure is laid around the middle half of the corpus (all of it, by a
 mergeable quantile sketch): so many interquartile ranges below and above, at least a share of the
-median. Languages with few texts take the band of the whole corpus. A text is rejected outside a
+median, wider for short texts. Languages with few texts take the band of the whole corpus. A text is rejected outside a
 band; a null language is a language of its own.
 
 Cases: a null, empty or blank text has no words and fails the base rule. Repeated rows are judged
@@ -40,7 +40,8 @@ class Bands:
     """How far a text may lie from the middle half of its language's texts."""
 
     reach: float = 4.0                 # interquartile ranges
-    least: float = 0.12                # of the median, at least
+    least: float = 0.10                # of the median, at least
+    noise_words: float = 40.0          # both grow by the root of this over a text's words: short texts vary more
     least_share: float = 0.05          # same for the fallback share, as a difference
     min_texts: int = 30                # below that, the band of the whole corpus
     accuracy: int = 2000               # of the quantile sketch
@@ -165,7 +166,7 @@ def measures(docs: DataFrame, folder: str = TOKENIZERS, pieces: str = "piece_bpe
 
 
 def bands_of(measured: DataFrame, bands: Bands, keys: list[str]) -> DataFrame:
-    """Per key: n_texts and (low, high) of each measure. Base failures have no part in it."""
+    """Per key: n_texts and (low, high, reach) of each measure. Base failures have no part in it."""
     quantiles = measured.where(~F.col("base_failed")).groupBy(*keys).agg(
         F.count("*").alias("n_texts"),
         *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(bands.accuracy)).alias(m)
@@ -175,7 +176,7 @@ def bands_of(measured: DataFrame, bands: Bands, keys: list[str]) -> DataFrame:
         q = F.col(m)
         least = F.lit(bands.least_share) if m == "fallback_share" else q[1] * bands.least
         reach = F.greatest((q[2] - q[0]) * bands.reach, least)
-        return F.struct((q[0] - reach).alias("low"), (q[2] + reach).alias("high")).alias(m)
+        return F.struct(q[0].alias("low"), q[2].alias("high"), reach.alias("reach")).alias(m)
 
     return quantiles.select(*keys, "n_texts", *(band(m) for m in MEASURES))
 
@@ -189,9 +190,11 @@ def fertility_rules(docs: DataFrame, *, folder: str = TOKENIZERS, bands: Bands =
     every = bands_of(found, bands, []).first()  # one row: limits of the whole corpus
     joined = found.join(language, found["lang"].eqNullSafe(language["_lang"]), "left")
     limits = F.coalesce("_own", F.struct(*(F.struct(*(
-        F.lit(every[m][side]).cast("double").alias(side) for side in ("low", "high"))).alias(m) for m in MEASURES)))
+        F.lit(every[m][side]).cast("double").alias(side) for side in ("low", "high", "reach"))).alias(m) for m in MEASURES)))
+    wider = 1 + F.sqrt(bands.noise_words / F.greatest(F.col("n_words"), F.lit(1)))
     outside = F.array_compact(F.array(*(
-        F.when((F.col(m) < limits[m]["low"]) | (F.col(m) > limits[m]["high"]), F.lit(m)) for m in MEASURES)))
+        F.when(F.greatest(limits[m]["low"] - F.col(m), F.col(m) - limits[m]["high"]) > limits[m]["reach"] * wider, F.lit(m))
+        for m in MEASURES)))
     return joined.withColumn("outside", outside).withColumn(
         "kept", ~F.col("base_failed") & (F.size("outside") == 0)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
