@@ -61,6 +61,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             for piece in slices(batch):
                 yield step(piece)
 
+    # Rows differ a thousandfold in length: batches are bounded by bytes, not by rows.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(run, schema)
 
 
