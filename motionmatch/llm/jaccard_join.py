@@ -341,13 +341,16 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One document of each group with all its columns: the least id (null last), then the least text key."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
     rows = settled(jaccard_groups(docs, join).select("doc_id", "row", "group"), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     best = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(rank).alias("best"))
     lost = rows.join(best, "group").where(~F.col("row").eqNullSafe(F.col("best.row"))).select(
-        F.col("row").alias("_row")).distinct()
-    twice = rows.where(F.col("group").isNotNull()).groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row")
-    left = docs.withColumn("_row", row_key()).join(few(lost), "_row", "left_anti")
+        F.col("row").alias(name)).distinct()
+    twice = rows.where(F.col("group").isNotNull()).groupBy(F.col("row").alias(name)).count().where("count > 1").select(name)
+    left = docs.withColumn(name, row_key()).join(few(lost), name, "left_anti")
     again = few(settled(twice, "repeated"))
-    return left.join(again, "_row", "left_anti").unionByName(
-        left.join(again, "_row", "left_semi").dropDuplicates(["_row"])).drop("_row").select(*docs.columns)
+    return left.join(again, name, "left_anti").unionByName(
+        left.join(again, name, "left_semi").dropDuplicates([name])).drop(name).select(*docs.columns)
