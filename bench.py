@@ -15,7 +15,7 @@ from motionmatch.workloads import registry  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "jn3_target_search", "fn9_manual_score", "jn9_export_differences", "flt6_quality_gate",
     "ts1_densify", "ts3_normalise", "ts5_prepare", "ts7_embed", "ts9_motion_energy",

@@ -8,7 +8,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Joins against one row per key keep their key; AQE splits the hot ones.
+    # Splits hot keys of joins that no aggregate on the same key follows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Local merge lets a hot session key shrink before its shuffle.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",

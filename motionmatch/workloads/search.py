@@ -80,13 +80,24 @@ JN3_SQL = (f"WITH {sims_sql()} SELECT query_id, {r6('target_similarity')} AS tar
            f"{r6('target_similarity - best_other_similarity')} AS similarity_margin FROM best")
 
 
+def judged(found):
+    """Scored search results; all their columns stay."""
+    rows = lifted(found).withColumn("score", manual_score(F.col("t"), F.col("m")))
+    return rows.withColumns({
+        "accepted": is_accepted(F.col("score")),
+        "decision": F.when(is_accepted(F.col("score")), F.lit("pass")).otherwise(F.lit("retry")),
+        "ambiguous": is_ambiguous(F.col("t"), F.col("m"))})
+
+
 def fn9(spark, folder):
-    rows = lifted(leave_one_out(spark, folder))
-    score = manual_score(F.col("t"), F.col("m"))
-    return rows.withColumn("score", score).select(
-        "query_id", "score", is_accepted(F.col("score")).alias("accepted"),
-        F.when(is_accepted(F.col("score")), F.lit("pass")).otherwise(F.lit("retry")).alias("decision"),
-        is_ambiguous(F.col("t"), F.col("m")).alias("ambiguous"))
+    return judged(leave_one_out(spark, folder)).select("query_id", "score", "accepted", "decision", "ambiguous")
+
+
+def searched_and_judged(spark, folder):
+    """One search: what it found and how that scores."""
+    return judged(leave_one_out(spark, folder)).select(
+        "query_id", rounded("target_similarity"), rounded("best_other_similarity"), "best_other_id", "best_other_word",
+        rounded("similarity_margin"), "score", "accepted", "decision", "ambiguous")
 
 
 FN9_SQL = (f"WITH {sims_sql()}, {LIFTED_SQL}, scored AS (SELECT *, {score_sql('t', 'm')} AS score "
