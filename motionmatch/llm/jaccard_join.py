@@ -334,8 +334,10 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     per_class = groups.join(named, "root").select(
         "digest", F.col("root").alias("group"), "class_id", (F.col("size") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"))
     blank = F.col("digest").isNull()
-    return rows.select("doc_id", "row", "digest").join(per_class, "digest", "left").select(
-        "doc_id", "row", "group", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    # Blank texts meet nothing; a longer key of their own keeps them from meeting in one task.
+    return rows.select("doc_id", "row", blank.alias("blank"), F.coalesce(F.col("digest"), F.col("row").cast("binary")).alias(
+        "digest")).join(per_class, "digest", "left").select(
+        "doc_id", "row", "group", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
