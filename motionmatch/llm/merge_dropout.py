@@ -20,8 +20,9 @@ key of its own. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ WORD = re.compile(r" *[^ \n]+| +|\n")
 MEMO_WORDS = 150_000
 LONG = 64                       # longer words are not remembered
 MASK = (1 << 64) - 1
+NONE = np.zeros(0, np.int32)
 
 
 @dataclass(frozen=True)
@@ -144,28 +146,38 @@ def finished(symbols: list[int], starts: list[int], word: str, vocabulary: Vocab
     return out
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def encode_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[list[int]]:
-    """Piece ids of (word, variant) pairs, words of like length together."""
-    out: list[list[int]] = [[]] * len(words)
-    order = sorted(range(len(words)), key=lambda i: len(words[i][0]))
+    """Piece ids of (word, variant) pairs."""
+    return [np.frombuffer(ids, np.int32).tolist() for ids in pack_words(words, vocabulary, dropout)]
+
+
+def pack_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[bytes]:
+    """Piece ids of (word, variant) pairs as 32-bit numbers, words of like length together."""
+    out = [b""] * len(words)
+    size = np.array([len(w) for w, _ in words], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, order = size[order], order.tolist()
     at = 0
     while at < len(order):
-        longest = at                                     # a block of at most 16 k words or 512 k characters
-        while longest < len(order) and longest - at < 16384 and (
-                longest == at or (longest - at + 1) * len(words[order[longest]][0]) <= 1 << 19):
-            longest += 1
-        block = order[at:longest]
-        at = longest
-        if len(words[block[-1]][0]) > 512:
+        end = min(len(order), at + 16384)                # a block of at most 16 k words or 512 k characters
+        fits = np.arange(1, end - at + 1) * size[at:end] <= 1 << 19
+        end = at + max(1, int(fits.sum()))
+        block = order[at:end]
+        if size[end - 1] > 512:
             for i in block:
-                out[i] = encode_long(*words[i], vocabulary, dropout)
-            continue
-        for i, ids in zip(block, encode_block([words[i] for i in block], vocabulary, dropout)):
-            out[i] = ids
+                out[i] = packed(encode_long(*words[i], vocabulary, dropout))
+        else:
+            for i, ids in zip(block, encode_block([words[i] for i in block], vocabulary, dropout)):
+                out[i] = ids
+        at = end
     return out
 
 
-def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[list[int]]:
+def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[bytes]:
     """Symbols of a word are a linked list over its characters' places, so a merge moves nothing."""
     n, size = len(words), np.array([len(w) for w, _ in words])
     width = int(size.max())
@@ -218,9 +230,10 @@ def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
     ends = np.cumsum(np.bincount(rows, minlength=n))
     other = np.zeros(n, bool)
     other[rows[(flat < 0) | (flat >= vocabulary.size)]] = True
-    flat, places, at, out = flat.tolist(), places.tolist(), 0, []
+    data, at, out = flat.astype(np.int32).tobytes(), 0, []
     for (w, _), end, odd in zip(words, ends.tolist(), other.tolist()):
-        out.append(finished(flat[at:end], places[at:end], w, vocabulary) if odd else flat[at:end])
+        out.append(packed(finished(flat[at:end].tolist(), places[at:end].tolist(), w, vocabulary)) if odd
+                   else data[4 * at:4 * end])
         at = end
     return out
 
@@ -262,23 +275,23 @@ def encode_long(word: str, variant: int, vocabulary: Vocabulary, dropout: Dropou
 
 
 class Encoder:
-    """Encodes batches of texts; remembers a bounded number of (word, variant) pairs."""
+    """Encodes batches of texts; remembers a bounded number of words, each with its variant as a last character."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: Dropout):
         self.vocabulary, self.dropout = vocabulary, dropout
-        self.known: dict[tuple[str, int], list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, keys: list[int | None], texts: list[str | None]) -> list[list[int] | None]:
+    def encode(self, keys: list[int | None], texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
         rows = [None if t is None else WORD.findall(" " + t) if t else [] for t in texts]
-        rows = [r and list(zip(r, self.variants_of(k, len(r)))) if r else r for k, r in zip(keys, rows)]
-        wanted: dict[tuple[str, int], list[int] | None] = dict.fromkeys(w for r in rows if r for w in r)
-        new = [w for w in wanted if w not in self.known]
-        fresh = dict(zip(new, encode_words(new, self.vocabulary, self.dropout)))
-        look = {w: fresh[w] if w in fresh else self.known[w] for w in wanted}
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w[0]) <= LONG)
-        return [None if r is None else list(chain.from_iterable(map(look.__getitem__, r))) for r in rows]
+        rows = [r and list(map(add, r, map(chr, self.variants_of(k, len(r))))) for k, r in zip(keys, rows)]
+        new = list(set().union(*(r for r in rows if r)) - self.known.keys())
+        long: dict[str, bytes] = {}
+        for w, ids in zip(new, pack_words([(w[:-1], ord(w[-1])) for w in new], self.vocabulary, self.dropout)):
+            (self.known if len(w) <= LONG else long)[w] = ids
+        look = (lambda w: self.known.get(w) or long[w]) if long else self.known.__getitem__
+        return [None if r is None else np.frombuffer(b"".join(map(look, r)), np.int32) for r in rows]
 
     def variants_of(self, key: int | None, n: int) -> list[int]:
         """Which segmentation each word of a document takes."""
@@ -290,7 +303,7 @@ class Encoder:
                 % np.uint64(self.dropout.variants)).tolist()
 
 
-def decode(ids: list[int], vocabulary: Vocabulary) -> str:
+def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     """The text: pieces joined, the space in front of the first word taken off."""
     data = b"".join(map(vocabulary.text.__getitem__, ids))
     return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
@@ -305,10 +318,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = encoder.encode(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist())
-            back = [None if x is None else decode(x, encoder.vocabulary) for x in ids]
-            return pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text"), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(back, pa.string())], ["doc_id", "text", "ids", "decoded"])
+            back = [None if x is None else decode(x.tolist(), encoder.vocabulary) for x in ids]
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x in (NONE, *ids) if x is not None])),
+                mask=pa.array([x is None for x in ids]))
+            return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), lists, pa.array(back, pa.string())],
+                                              ["doc_id", "text", "ids", "decoded"])
 
         return step
 
