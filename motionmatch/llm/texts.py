@@ -57,12 +57,15 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     """``make()`` runs once per task and gives the step from one batch to one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for piece in slices(batch):
-                yield step(piece)
+        try:
+            for batch in batches:
+                for piece in slices(batch):
+                    yield step(piece)
+        finally:                                 # workers are used again: leave no buffers to the next task
+            pa.default_memory_pool().release_unused()
 
     # Rows differ a thousandfold in length: batches are bounded by bytes, not by rows.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
     return df.mapInArrow(run, schema)
 
 
