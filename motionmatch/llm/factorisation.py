@@ -17,6 +17,7 @@ of label 1 (0.5 without any). Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +80,7 @@ def features(texts: list[str], declared: list[int | None], buckets: Buckets) ->
 
 def statistics(text: str, data: bytes, words: list[bytes], declared: int | None) -> list[float]:
     n, chars = len(words), max(1, len(text))
-    distinct = set(words)
+    counts = Counter(words)
     lines = [x for x in data.split(b"\n") if x.strip()]
     letters = len(data.translate(None, b"0123456789 \n\t\r" + bytes(range(33, 48)) + bytes(range(58, 65))
                                  + bytes(range(91, 97)) + bytes(range(123, 127))))
@@ -87,9 +88,9 @@ def statistics(text: str, data: bytes, words: list[bytes], declared: int | None)
     digits = len(data) - len(data.translate(None, b"0123456789"))
     blanks = len(data) - len(data.translate(None, b" \t\n\x0b\x0c\r"))
     marks = len(data) - letters - digits - blanks
-    top = max(map(words[:2000].count, list(distinct)[:8]), default=0) / max(1, min(n, 2000)) if n else 0.0
+    top = max(counts.values(), default=0) / max(1, n)
     return [np.log1p(n), (len(data) - blanks) / max(1, n), sum(map(text.count, SYMBOLS)) / max(1, n),
-            upper / max(1, letters), digits / chars, marks / max(1, n), len(distinct) / max(1, n),
+            upper / max(1, letters), digits / chars, marks / max(1, n), len(counts) / max(1, n),
             1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))), top,
             sum(map((24).__lt__, map(len, words))) / max(1, n),
             np.log((len(text) if declared is None or declared < 0 else declared) + 1) - np.log(len(text) + 1)]

@@ -238,6 +238,18 @@ def test_the_machine_learns_an_interaction():
     assert np.mean((machine.scores(*rows) >= 0.5) == np.array(labels)) > 0.97
 
 
+def top_word_share(text):
+    values = factorisation.features([text], [len(text)], factorisation.Buckets())[1]
+    return values[-len(factorisation.STATISTICS):][factorisation.STATISTICS.index("top_word_share")]
+
+
+def test_top_word_share_covers_the_whole_text():
+    clean = " ".join(f"w{k}" for k in range(2500))
+    assert top_word_share(clean) == pytest.approx(1 / 2500)
+    assert top_word_share(clean + " spam" * 2500) == pytest.approx(0.5)
+    assert top_word_share("a b c d e f g h i j k k") == pytest.approx(2 / 12) and top_word_share("") == 0
+
+
 @pytest.mark.parametrize("fit", [factorisation.Fit()])
 def test_quality_on_held_out_documents(spark, fit):
     docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
