@@ -2,10 +2,13 @@
 
 A word starts as single characters; adjacent symbols merge while the vocabulary has their union,
 best rank first, leftmost on ties. Each candidate merge (two neighbouring stretches of the word) is
-skipped if a keyed hash of seed, variant, word and stretch falls below the dropout rate; a skipped
-candidate never merges, its neighbours may. Occurrences of a word are dealt over ``variants``
-segmentations by a keyed hash of document and position, so texts vary, reruns agree and words can
-be remembered. Rate 0 is the plain encoding.
+skipped if a keyed hash of seed, occurrence, word and stretch falls below the dropout rate; a skipped
+candidate never merges, its neighbours may. An occurrence is a document and a position in it, so
+every occurrence of a word is dropped from by itself and reruns agree. Rate 0 is the plain encoding.
+
+What is remembered of a word is the order in which its candidates come up: a tree with a candidate in
+each node, a branch for "merged" and one for "skipped", and piece ids in the leaves. Occurrences walk
+the tree by their own hashes, many at a time; only one that leaves the known tree is encoded.
 
 Characters without a piece become their bytes. A literal word mark in a text becomes bytes as well,
 so decoding gives back every text exactly.
@@ -22,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from operator import add
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from motionmatch.llm.texts import carried, TOKENIZERS, column, map_batches, voca
 MARK = "▁"                 # stands for a space in pieces (a fixed value of the format)
 # A word: its spaces and what follows up to the next space or line end. Pieces never cross from one into the next.
 WORD = re.compile(r" *[^ \n]+| +|\n")
-MEMO_WORDS = 150_000
+MEMO_LEAVES = 400_000           # remembered segmentations, of all words together
+WALK = 1 << 19                  # occurrences that walk at a time
 LONG = 64                       # longer words are not remembered
 MASK = (1 << 64) - 1
 NONE = np.zeros(0, np.int32)
@@ -43,7 +47,6 @@ NONE = np.zeros(0, np.int32)
 class Dropout:
     rate: float = 0.1
     seed: int = 2024
-    variants: int = 4
 
 
 @dataclass(frozen=True)
@@ -112,21 +115,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_key(word: str, variant: int, seed: int) -> int:
+def word_hash(word: str, seed: int) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.encode(), (seed * 0x9E3779B97F4A7C15 + variant) & MASK)
+    return xxhash.xxh3_64_intdigest(word.encode(), seed & MASK)
 
 
-def skipped(key, start, middle, end, rate: float) -> np.ndarray:
-    """Whether the merge of [start, middle) and [middle, end) of the word with this key is dropped."""
-    if rate <= 0:
-        return np.zeros(np.broadcast(key, start).shape, bool)
-    if rate >= 1:
-        return np.ones(np.broadcast(key, start).shape, bool)
+def occurrence_keys(hashes: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+    return mixed(hashes ^ mixed(occurrences + np.uint64(1)))
+
+
+def word_key(word: str, occurrence: int, seed: int) -> int:
+    return int(occurrence_keys(np.array([word_hash(word, seed)], np.uint64), np.array([occurrence & MASK], np.uint64))[0])
+
+
+def places(start, middle, end) -> np.ndarray:
+    """Hash of the candidate that merges [start, middle) and [middle, end)."""
     place = (np.asarray(start, np.uint64) << np.uint64(42)) ^ (np.asarray(middle, np.uint64) << np.uint64(21)) \
         ^ np.asarray(end, np.uint64)
-    return mixed(np.asarray(key, np.uint64) ^ mixed(place + np.uint64(1))) < np.uint64(int(rate * MASK))
+    return mixed(place + np.uint64(1))
+
+
+def dropped(key: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
+    if rate <= 0:
+        return np.zeros(np.broadcast(key, place).shape, bool)
+    if rate >= 1:
+        return np.ones(np.broadcast(key, place).shape, bool)
+    return mixed(key ^ place) < np.uint64(int(rate * MASK))
+
+
+def skipped(key, start, middle, end, rate: float) -> np.ndarray:
+    """Whether the merge of [start, middle) and [middle, end) of the word with this key is dropped."""
+    return dropped(np.asarray(key, np.uint64), places(start, middle, end), rate)
 
 
 def symbols_of(word: str, vocabulary: Vocabulary) -> list[int]:
@@ -151,16 +171,21 @@ def packed(ids: list[int]) -> bytes:
 
 
 def encode_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[list[int]]:
-    """Piece ids of (word, variant) pairs."""
-    return [np.frombuffer(ids, np.int32).tolist() for ids in pack_words(words, vocabulary, dropout)]
-
-
-def pack_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[bytes]:
-    """Piece ids of (word, variant) pairs as 32-bit numbers, words of like length together."""
-    out = [b""] * len(words)
-    size = np.array([len(w) for w, _ in words], np.int64)
+    """Piece ids of (word, occurrence) pairs."""
+    occurrences = np.array([n & MASK for _, n in words], np.uint64)
+    return [np.frombuffer(ids, np.int32).tolist()
+            for ids in pack_words([w for w, _ in words], occurrences, vocabulary, dropout)[0]]
+
+
+def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout
+               ) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Piece ids of occurrences of words as 32-bit numbers, words of like length together; and the
+    candidates that came up, in order for each word: (word, place, skipped). Words over 512
+    characters have no candidates listed."""
+    out, paths = [b""] * len(words), []
+    size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
-    size, order = size[order], order.tolist()
+    size = size[order]
     at = 0
     while at < len(order):
         end = min(len(order), at + 16384)                # a block of at most 16 k words or 512 k characters
@@ -168,27 +193,33 @@ def pack_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dr
         end = at + max(1, int(fits.sum()))
         block = order[at:end]
         if size[end - 1] > 512:
-            for i in block:
-                out[i] = packed(encode_long(*words[i], vocabulary, dropout))
+            for i in block.tolist():
+                out[i] = packed(encode_long(words[i], int(occurrences[i]), vocabulary, dropout))
         else:
-            for i, ids in zip(block, encode_block([words[i] for i in block], vocabulary, dropout)):
+            found, path = encode_block([words[i] for i in block.tolist()], occurrences[block], vocabulary, dropout)
+            for i, ids in zip(block.tolist(), found):
                 out[i] = ids
+            paths.append((block[path[0]], *path[1:]))
         at = end
-    return out
+    return out, paths
+
 
+def encode_block(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout
+                 ) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols of a word are a linked list over its characters' places, so a merge moves nothing.
 
-def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout: Dropout) -> list[bytes]:
-    """Symbols of a word are a linked list over its characters' places, so a merge moves nothing."""
-    n, size = len(words), np.array([len(w) for w, _ in words])
+    The best candidate of every word comes up in each round; it merges or is skipped for good."""
+    n, size = len(words), np.array([len(w) for w in words])
+    key = occurrence_keys(np.array([word_hash(w, dropout.seed) for w in words], np.uint64), occurrences)
     width = int(size.max())
-    points = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le"), np.uint32)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     sym = np.full((n, width), -1, np.int64)
     sym[np.arange(width) < size[:, None]] = vocabulary.table()[points]
     after = np.tile(np.arange(1, width + 1), (n, 1))     # where the next symbol begins; the word's size at its end
     before = np.tile(np.arange(-1, width - 1), (n, 1))
     alive = np.arange(width) < size[:, None]
-    key = np.array([word_key(w, v, dropout.seed) for w, v in words], np.uint64)
     merged, cost = np.full((n, width), -1, np.int64), np.full((n, width), np.inf)
+    path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def judge(rows, lefts, costs, at):
         """Merge and cost of the candidates that begin at (row, left), into row ``at`` of the costs."""
@@ -198,8 +229,7 @@ def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
         rows, lefts, rights, at = rows[inner], lefts[inner], rights[inner], at[inner]
         to = vocabulary.merge_of(sym[rows, lefts], sym[rows, rights])
         merged[rows, lefts] = to
-        costs[at, lefts] = np.where(
-            (to >= 0) & ~skipped(key[rows], lefts, rights, after[rows, rights], dropout.rate), vocabulary.score[to], np.inf)
+        costs[at, lefts] = np.where(to >= 0, vocabulary.score[to], np.inf)
 
     rows, lefts = np.nonzero(alive)
     judge(rows, lefts, cost, rows)
@@ -215,6 +245,11 @@ def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
             break
         rights = after[rows, lefts]
         ends = after[rows, rights]
+        place = places(lefts, rights, ends)
+        drop = dropped(key[rows], place, dropout.rate)
+        path.append((rows, place, drop))
+        cost[at[drop], lefts[drop]] = np.inf
+        at, rows, lefts, rights, ends = (x[~drop] for x in (at, rows, lefts, rights, ends))
         sym[rows, lefts] = merged[rows, lefts]
         after[rows, lefts] = ends
         alive[rows, rights] = False
@@ -225,25 +260,27 @@ def encode_block(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
         lefts = before[rows, lefts]
         inner = lefts >= 0
         judge(rows[inner], lefts[inner], cost, at[inner])
-    rows, places = np.nonzero(alive)
-    flat = sym[rows, places]
+    rows, begins = np.nonzero(alive)
+    flat = sym[rows, begins]
     ends = np.cumsum(np.bincount(rows, minlength=n))
     other = np.zeros(n, bool)
     other[rows[(flat < 0) | (flat >= vocabulary.size)]] = True
     data, at, out = flat.astype(np.int32).tobytes(), 0, []
-    for (w, _), end, odd in zip(words, ends.tolist(), other.tolist()):
-        out.append(packed(finished(flat[at:end].tolist(), places[at:end].tolist(), w, vocabulary)) if odd
+    for w, end, odd in zip(words, ends.tolist(), other.tolist()):
+        out.append(packed(finished(flat[at:end].tolist(), begins[at:end].tolist(), w, vocabulary)) if odd
                    else data[4 * at:4 * end])
         at = end
-    return out
+    rows, place, drop = (np.concatenate(x) for x in zip(*path)) if path else (NONE, NONE.astype(np.uint64), NONE.astype(bool))
+    order = np.argsort(rows, kind="stable")
+    return out, (rows[order], place[order], drop[order])
 
 
-def encode_long(word: str, variant: int, vocabulary: Vocabulary, dropout: Dropout) -> list[int]:
+def encode_long(word: str, occurrence: int, vocabulary: Vocabulary, dropout: Dropout) -> list[int]:
     """The same for one very long word, with an agenda: time n log n."""
     import heapq
 
     sym, n = symbols_of(word, vocabulary), len(word)
-    key = np.uint64(word_key(word, variant, dropout.seed))
+    key = np.uint64(word_key(word, occurrence, dropout.seed))
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     agenda: list[tuple[float, int, int, int, int]] = []
 
@@ -274,33 +311,120 @@ def encode_long(word: str, variant: int, vocabulary: Vocabulary, dropout: Dropou
     return finished([sym[a] for a in left], left, word, vocabulary)
 
 
+class Roots(dict):
+    """word -> slot of its tree, new ones made by ``make``; long words have none (-1)."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            return -1
+        self[word] = slot = self.make(word)
+        return slot
+
+
 class Encoder:
-    """Encodes batches of texts; remembers a bounded number of words, each with its variant as a last character."""
+    """Encodes batches of texts; remembers a bounded number of segmentations.
+
+    ``child[2 * slot + skipped]`` is what follows a candidate: a slot, a leaf (-2 - number) or nothing
+    known (-1). The first slot of a word holds the word's hash and leads on by branch 0.
+    """
 
     def __init__(self, vocabulary: Vocabulary, dropout: Dropout):
         self.vocabulary, self.dropout = vocabulary, dropout
-        self.known: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots, self.leaves, self.used = Roots(self.root), [], 0
+        self.place, self.child = np.zeros(1 << 16, np.uint64), np.full(1 << 17, -1, np.int32)
+
+    def take(self, n: int) -> int:
+        """First of ``n`` new slots."""
+        first, self.used = self.used, self.used + n
+        while self.used > len(self.place):
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
+            self.child = np.concatenate([self.child, np.full_like(self.child, -1)])
+        return first
+
+    def root(self, word: str) -> int:
+        slot = self.take(1)
+        self.place[slot] = word_hash(word, self.dropout.seed)
+        return slot
 
     def encode(self, keys: list[int | None], texts: list[str | None]) -> list[np.ndarray | None]:
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        rows = [None if t is None else WORD.findall(" " + t) if t else [] for t in texts]
-        rows = [r and list(map(add, r, map(chr, self.variants_of(k, len(r))))) for k, r in zip(keys, rows)]
-        new = list(set().union(*(r for r in rows if r)) - self.known.keys())
-        long: dict[str, bytes] = {}
-        for w, ids in zip(new, pack_words([(w[:-1], ord(w[-1])) for w in new], self.vocabulary, self.dropout)):
-            (self.known if len(w) <= LONG else long)[w] = ids
-        look = (lambda w: self.known.get(w) or long[w]) if long else self.known.__getitem__
-        return [None if r is None else np.frombuffer(b"".join(map(look, r)), np.int32) for r in rows]
-
-    def variants_of(self, key: int | None, n: int) -> list[int]:
-        """Which segmentation each word of a document takes."""
-        if self.dropout.variants <= 1 or self.dropout.rate <= 0:
-            return [0] * n
-        seed = np.uint64(((key if key is not None else -1) * 2 + (key is None)) & MASK) \
-            ^ np.uint64(self.dropout.seed & MASK)
-        return (mixed(mixed(np.atleast_1d(seed)) + np.arange(n, dtype=np.uint64))
-                % np.uint64(self.dropout.variants)).tolist()
+        if max(len(self.leaves), len(self.roots)) > MEMO_LEAVES:
+            self.clear()
+        rows = [[] if not t else WORD.findall(" " + t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        words = list(chain.from_iterable(rows))
+        del rows
+        leaf = np.empty(len(words), np.int64)
+        first = self.first_of(keys)
+        for at in range(0, len(words), WALK):
+            some = np.arange(at, min(len(words), at + WALK))
+            row = np.searchsorted(starts, some, side="right") - 1
+            leaf[some] = self.walked(words[at:at + WALK], first[row] + (some - starts[row]).astype(np.uint64))
+        long = np.flatnonzero(leaf < 0)
+        known = len(self.leaves)                         # long words are not remembered
+        if len(long):
+            row = np.searchsorted(starts, long, side="right") - 1
+            self.leaves += pack_words([words[i] for i in long.tolist()], first[row] + (long - starts[row]).astype(np.uint64),
+                                      self.vocabulary, self.dropout)[0]
+            leaf[long] = known + np.arange(len(long))
+        out = [None if t is None else np.frombuffer(b"".join(map(self.leaves.__getitem__, leaf[a:b].tolist())), np.int32)
+               for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist())]
+        del self.leaves[known:]
+        return out
+
+    def first_of(self, keys: list[int | None]) -> np.ndarray:
+        """Number of the occurrence at position 0 of each document; the next ones count on."""
+        seeds = np.array([((-1 if k is None else k) * 2 + (k is None)) & MASK for k in keys], np.uint64)
+        return mixed(seeds ^ np.uint64(self.dropout.seed & MASK))
+
+    def walked(self, words: list[str], occurrences: np.ndarray) -> np.ndarray:
+        """Leaf of each occurrence, -1 for long words."""
+        slot = np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+        leaf, depth = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int32)
+        key, edge = occurrence_keys(self.place[slot], occurrences), 2 * slot
+        active = np.flatnonzero(slot >= 0)
+        while len(active):
+            waiting = []
+            while len(active):
+                to = self.child[edge[active]]
+                done = to < -1
+                leaf[active[done]] = -2 - to[done]
+                waiting.append(active[to == -1])
+                active, to = active[to >= 0], to[to >= 0].astype(np.int64)
+                edge[active] = 2 * to + dropped(key[active], self.place[to], self.dropout.rate)
+                depth[active] += 1
+            active = np.concatenate(waiting)
+            if len(active):                              # one occurrence shows where an unknown branch leads
+                edges, one = np.unique(edge[active], return_index=True)
+                one = active[one]
+                self.grow([words[i] for i in one.tolist()], occurrences[one], edges, depth[one])
+        return leaf
+
+    def grow(self, words: list[str], occurrences: np.ndarray, edges: np.ndarray, depth: np.ndarray) -> None:
+        """Put what each occurrence meets after ``depth`` candidates behind its edge."""
+        ids, paths = pack_words(words, occurrences, self.vocabulary, self.dropout)
+        word, place, skip = (np.concatenate(x) for x in zip(*paths))
+        order = np.argsort(word, kind="stable")
+        word, place, skip = word[order].astype(np.int64), place[order], skip[order]
+        count = np.bincount(word, minlength=len(words))
+        new = np.arange(len(word)) - (np.cumsum(count) - count)[word] >= depth[word]
+        word, place, skip = word[new], place[new], skip[new]
+        slots = self.take(len(word)) + np.arange(len(word))
+        begins = np.r_[True, word[1:] != word[:-1]][:len(word)]
+        self.place[slots] = place
+        onward = 2 * slots + skip
+        self.child[np.where(begins, edges[word], np.r_[0, onward[:-1]][:len(word)])] = slots
+        last = edges.copy()
+        ends = np.r_[begins[1:], True][:len(word)]
+        last[word[ends]] = onward[ends]
+        self.child[last] = -2 - len(self.leaves) - np.arange(len(words))
+        self.leaves += ids
 
 
 def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
