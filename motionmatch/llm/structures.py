@@ -1,7 +1,8 @@
 """Secrets with structural confirmation.
 
-Base patterns are reported as they match. Beyond them, long base64 and hex runs and PEM bodies are
-decoded and parsed; one is reported only if its inner structure says what it is:
+Base patterns are reported as they match. Beyond them, long base64 and hex runs (wrapped over lines
+or not, from every place where a key may begin) and PEM bodies are decoded and parsed, and so is what
+a run decodes to, one level deep. A key is reported only if its inner structure says what it is:
 
 * ``der_key``: a DER sequence whose nested lengths all fit and whose fields are those of a private
   key (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1),
@@ -24,7 +25,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +37,17 @@ KINDS = (*BASE_KINDS, "der_key", "ssh_key", "signed_token")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-# Candidates: three dotted runs; a PEM body; a run of base64 or hex that could hold a small key.
+# Candidates: three dotted runs; a PEM body; a run of base64 or hex, perhaps over
+# several lines, that could hold a small key.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{48,}={0,2}")
-HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[ \t]*(?:\r?\n|\\r|\\n)+[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+LINE = re.compile(r"\\[rn]|([A-Za-z0-9+/_-]+)")
+RUN_CHARS = 48
+# Where a key may begin in a run: a DER sequence or the OpenSSH mark, in base64 and in hex.
+BASE64_START = re.compile(r"(?=M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
+HEX_START = re.compile(r"(?=30|6[Ff]70656[Ee]7373682[Dd]6[Bb])")
 OPENSSH = b"openssh-key-v1\0"
 # Bytes of a signature by algorithm name (fixed values of the public registry); RSA's is its modulus.
 SIGNATURES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,),
@@ -128,22 +135,35 @@ def strings(data: bytes, n: int) -> tuple[list[bytes], bytes] | None:
     return out, data
 
 
-def is_ssh_key(data: bytes) -> bool:
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH container that ``data`` begins with; None if it begins with none."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     head = strings(data[len(OPENSSH):], 3)                        # cipher, derivation, its options
     if head is None or len(head[1]) < 4:
-        return False
+        return None
     keys = int.from_bytes(head[1][:4], "big")
     if not 1 <= keys <= 64:
-        return False
+        return None
     body = strings(head[1][4:], keys + 1)                         # public keys, then the private part
     if body is None or not body[0][-1]:
-        return False
+        return None
     private = body[0][-1]
     if head[0][0] == b"none":                                     # readable: both check numbers agree
-        return len(private) >= 8 and private[:4] == private[4:8] and strings(private[8:], 2) is not None
-    return len(private) % 8 == 0
+        fits = len(private) >= 8 and private[:4] == private[4:8] and strings(private[8:], 2) is not None
+    else:
+        fits = len(private) % 8 == 0
+    return len(data) - len(body[1]) if fits else None
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence whose first (at most six) bytes are given, as its length says."""
+    if len(head) < 2 or head[0] != SEQUENCE:
+        return None
+    if head[1] < 128:
+        return 2 + head[1]
+    size = head[1] & 0x7F
+    return 2 + size + int.from_bytes(head[2:2 + size], "big") if 1 <= size <= 4 and len(head) >= 2 + size else None
 
 
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
@@ -160,10 +180,101 @@ def is_signed_token(header: str, claims: str, signature: str) -> bool:
     return isinstance(name := parts[0].get("alg"), str) and len(data) in SIGNATURES.get(name, ())
 
 
+def key_at(first: bytes, rest: Callable[[int | None], bytes | None]) -> tuple[int, str] | None:
+    """(bytes, kind) of the key that begins with ``first``; ``rest(n)`` gives n bytes from there, or all."""
+    if (size := der_size(first)) is not None:
+        data = rest(size) if size >= 32 else None
+        return (size, "der_key") if data is not None and is_der_key(data) else None
+    if OPENSSH.startswith(first) and (data := rest(None)) is not None and (size := ssh_size(data)):
+        return size, "ssh_key"
+    return None
+
+
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+    return "der_key" if is_der_key(data) else "ssh_key" if ssh_size(data) else None
+
+
+def whole(body: str) -> bytes | None:
+    """Bytes of a base64 run without what follows its last full byte."""
+    return decoded(body[:-1] if len(body) % 4 == 1 else body)
+
+
+def keys_in(body: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys in a run, wherever in it they begin and end."""
+    out, at = [], 0
+    for m in BASE64_START.finditer(body):
+        a = m.start()
+
+        def rest(n):
+            chars = len(body) - a if n is None else -(-4 * n // 3)
+            data = whole(body[a:a + chars]) if a + chars <= len(body) else None
+            return data if data is None or n is None else data[:n]
+
+        if a >= at and (key := key_at(decoded(body[a:a + 8]) or b"", rest)):
+            at = a - (-4 * key[0] // 3)
+            out.append((a, at, key[1]))
+    for run in HEX_RUN.finditer(body):
+        for m in HEX_START.finditer(run[0]):
+            a = run.start() + m.start()
+
+            def rest(n):
+                end = run.end() - (run.end() - a) % 2 if n is None else a + 2 * n
+                return bytes.fromhex(body[a:end]) if end <= run.end() else None
+
+            if a >= at and run.end() - a >= 12 and (key := key_at(bytes.fromhex(body[a:a + 12]), rest)):
+                at = a + 2 * key[0]
+                out.append((a, at, key[1]))
+    return out
+
+
+def wrapped_keys(body: str) -> list[tuple[int, int, str]]:
+    """The same for keys encoded once more: PEM or a run in what the run decodes to, at any of four offsets."""
+    out = []
+    for k in range(4):
+        data = whole(body[k:])
+        inner = data.decode("latin-1") if data else ""
+        found = pem_keys(inner)
+        found += [s for s in run_keys(inner, keys_in) if not any(s[0] < b and a < s[1] for a, b, _ in found)]
+        for a, b, kind in found:
+            b += len(inner[b:]) - len(inner[b:].lstrip())         # a line end after the armour
+            out.append((k + 4 * a // 3, min(len(body), k - (-4 * b // 3)), kind))
+    return out
+
+
+def pem_keys(text: str) -> list[tuple[int, int, str]]:
+    if "PRIVATE KEY-----" not in text:
+        return []
+    found = ((m, key_kind(decoded(re.sub(r"\\n|\\r|\s", "", m[2])))) for m in PEM.finditer(text))
+    return [(*m.span(), kind) for m, kind in found if kind]
+
+
+def run_keys(text: str, search: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
+    """What ``search`` finds in the runs of a text, lines of a wrapped run joined; with the padding."""
+    out = []
+    for m in RUN.finditer(text):
+        lines = [(x.start(1), x[1]) for x in LINE.finditer(text, m.start(), m.end()) if x[1]]
+        body = "".join(x for _, x in lines)
+        if len(body) < RUN_CHARS:
+            continue
+        for a, b, kind in search(body):
+            start, end = place(lines, a), place(lines, b - 1) + 1
+            out.append((start, m.end() if text[end:m.end()].strip("=") == "" else end, kind))
+    return out
+
+
+def place(lines: list[tuple[int, str]], at: int) -> int:
+    """Where in the text the character ``at`` of the joined lines stands."""
+    for start, line in lines:
+        if at < len(line):
+            return start + at
+        at -= len(line)
+    raise IndexError(at)
+
+
+def keys_and_wrapped(body: str) -> list[tuple[int, int, str]]:
+    return keys_in(body) or wrapped_keys(body)
 
 
 def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
@@ -172,22 +283,11 @@ def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
         for m in TOKEN.finditer(text):
             if is_signed_token(*m.groups()):
                 yield m.start(), m.end(), "signed_token"
-    taken = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if kind := key_kind(decoded(re.sub(r"\\n|\\r|\s", "", m[2]))):
-                taken.append(m.span())
-                yield m.start(), m.end(), kind
-    for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        run, data = m[0], None
-        if HEX_RUN.fullmatch(run):
-            data = bytes.fromhex(run) if len(run) % 2 == 0 else None
-        elif run[0] in "Mb":                                      # a DER sequence or the OpenSSH mark begins so
-            data = decoded(run)
-        if kind := key_kind(data):
-            yield m.start(), m.end(), kind
+    armoured = pem_keys(text)
+    yield from armoured
+    for start, end, kind in run_keys(text, keys_and_wrapped):
+        if not any(start < b and a < end for a, b, _ in armoured):
+            yield start, end, kind
 
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
