@@ -9,9 +9,12 @@ to the next entity. Over the whole corpus
 * the disclosure of e by t is their pointwise mutual information as a share of IC(e):
   1 + log2 P(e | t) / IC(e). It is 1 when t only ever comes with e.
 
-In a text that holds e, every occurrence of a term that discloses e at least ``generalise_at`` (and
-in at least ``min_contexts`` different contexts, so that copies prove nothing) is a span of kind
-``term``: it is generalised to what sort of word it is, or removed from ``remove_at`` on. Base spans
+A term of fewer than ``min_contexts`` different contexts of e is judged by the lower confidence bound
+of P(e | t) instead (Wilson's, one-sided), its share taken over distinct texts and its contexts as the
+cases that speak for it, so that copies prove nothing; it must reach ``single_at``.
+
+In a text that holds e, every occurrence of a term that discloses e at least ``generalise_at`` is a
+span of kind ``term``: it is generalised to what sort of word it is, or removed from ``remove_at`` on. Base spans
 are always kept and masked by their kind. A text without entities is never changed.
 
 Spans are [start, end) in code points. Cases: null text is empty (its clean text stays null);
@@ -48,7 +51,9 @@ SPAN = "array<struct<start:bigint,order:int,end:bigint,kind:string,value:string>
 @dataclass(frozen=True)
 class Disclosure:
     window: int = 6
-    min_contexts: int = 2
+    min_contexts: int = 2          # below that, the lower bound and single_at count
+    single_at: float = 0.95
+    deviations: float = 0.8416     # of the lower bound: 80 % one-sided
     generalise_at: float = 0.95
     remove_at: float = 0.98
 
@@ -135,9 +140,9 @@ def spotted(docs: DataFrame) -> DataFrame:
 
 
 def contexts(private: DataFrame, window: int) -> DataFrame:
-    """(entity, term, context): words beside every entity, one row per occurrence."""
-    near = private.select("text", "spans", F.posexplode("spans").alias("i", "span")).select(
-        "text", "span", F.when(F.col("i") > 0, F.get("spans", F.col("i") - 1)["end"]).otherwise(F.lit(0)).alias("before"),
+    """(entity, context, copies, term): words beside every entity, one row per occurrence in a distinct text."""
+    near = private.groupBy("text", "spans").agg(F.count("*").alias("copies")).select("text", "spans", "copies", F.posexplode("spans").alias("i", "span")).select(
+        "text", "span", "copies", F.when(F.col("i") > 0, F.get("spans", F.col("i") - 1)["end"]).otherwise(F.lit(0)).alias("before"),
         F.coalesce(F.get("spans", F.col("i") + 1)["start"], F.char_length("text").cast("bigint")).alias("after"))
 
     def words(begin, end):
@@ -147,29 +152,41 @@ def contexts(private: DataFrame, window: int) -> DataFrame:
     # What cuts a gap between two entities in the middle of a word is part of neither pattern.
     left, right = words(F.col("before"), F.col("span.start")), words(F.col("span.end"), F.col("after"))
     near = near.select(
-        entity(F.col("span")).alias("entity"),
+        "copies", entity(F.col("span")).alias("entity"),
         F.reverse(F.slice(F.reverse(left), F.lit(1), F.lit(window))).alias("left"),
         F.slice(right, F.lit(1), F.lit(window)).alias("right"))
-    return near.select("entity", F.xxhash64("left", "right").alias("context"),
+    return near.select("entity", F.xxhash64("left", "right").alias("context"), "copies",
                        F.explode(F.concat("left", "right")).alias("term"))
 
 
+def lower_bound(share: Column, cases: Column, deviations: float) -> Column:
+    """Wilson's lower bound of a share that so many independent cases speak for."""
+    n, z = cases / share, F.lit(deviations)
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def disclosures(docs: DataFrame, private: DataFrame, limits: Disclosure) -> DataFrame:
     """(entity, term, disclosure) at or above the lower limit, from counts over the whole corpus."""
-    every = settled(docs.select(F.explode(F.regexp_extract_all(
-        F.lower("text"), F.lit(WORD), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "terms")
-    total = every.agg(F.sum("n")).first()[0] or 1
+    # n and both count all rows, the others each distinct text once.
+    every = settled(docs.groupBy("text").agg(F.count("*").alias("copies")).select("copies", F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit(WORD), F.lit(0))).alias("term")).groupBy("term").agg(
+        F.sum("copies").alias("n"), F.count("*").alias("n_distinct")), "terms")
+    total, distinct = every.agg(F.sum("n"), F.sum("n_distinct")).first()
     # By distinct context first: copies add to counts, not to the number of contexts.
     together = settled(contexts(private, limits.window).groupBy("entity", "term", "context").agg(
-        F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("both"), F.count("*").alias("contexts")), "contexts")
-    content = together.groupBy("entity").agg((-F.log2(F.sum("both") / total)).alias("content"))
-    pairs = together.where(F.col("contexts") >= limits.min_contexts).join(every, "term").join(content, "entity")
+        F.sum("copies").alias("n"), F.count("*").alias("n_distinct")).groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), F.sum("n_distinct").alias("both_distinct"), F.count("*").alias("contexts")), "contexts")
+    content = together.groupBy("entity").agg((-F.log2(F.sum("both") / (total or 1))).alias("content"),
+                                             (-F.log2(F.sum("both_distinct") / (distinct or 1))).alias("content_distinct"))
+    pairs = together.join(every, "term").join(content, "entity")
     # A word between two entities stands in both contexts: its share is held at 1.
-    share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
-    return pairs.where("content > 0").select(
-        "entity", "term", (1 + F.log2(share) / F.col("content")).alias("disclosure")).where(
-        F.col("disclosure") >= limits.generalise_at)
+    share, once = (F.least(F.col(x) / F.col(y), F.lit(1.0)) for x, y in (("both", "n"), ("both_distinct", "n_distinct")))
+    several = F.col("contexts") >= limits.min_contexts
+    bound = lower_bound(once, F.col("contexts"), limits.deviations)
+    return pairs.where(F.when(several, F.col("content")).otherwise(F.col("content_distinct")) > 0).select(
+        "entity", "term", several.alias("several"), F.when(several, 1 + F.log2(share) / F.col("content")).otherwise(
+            1 + F.log2(bound) / F.col("content_distinct")).alias("disclosure")).where(
+        (F.col("disclosure") >= limits.generalise_at) & (F.col("several") | (F.col("disclosure") >= limits.single_at))).drop("several")
 
 
 def term_spans(private: DataFrame, found: DataFrame) -> DataFrame:
