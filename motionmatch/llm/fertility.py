@@ -6,8 +6,14 @@ cross from one word into the next, so that words can be encoded apart and rememb
 
 A band per language and measure is laid around the middle half of the corpus (all of it, by a
 mergeable quantile sketch): so many interquartile ranges below and above, at least a share of the
-median, wider for short texts. Languages with few texts take the band of the whole corpus. A text is rejected outside a
-band; a null language is a language of its own.
+median, wider for short texts. Entropy, as a share of the most that so many tokens can have, falls
+with length; its band is laid around a line over log2 of the tokens, fitted per script to the medians
+of length classes.
+
+The quartiles of a language are blended with those of the text's script by the number of texts
+(``prior_texts``), and the spread of a script with the whole corpus's, so that no number of texts
+switches a band; a script's place on the scale is always its own, and a text without letters takes
+the whole corpus's. A text is rejected outside a band; a null language is a language of its own.
 
 Cases: a null, empty or blank text has no words and fails the base rule. Repeated rows are judged
 one by one. Null ids stay null. An empty table gives no rows. Other columns are not read.
@@ -16,6 +22,9 @@ one by one. Null ids stay null. An empty table gives no rows. Other columns are
 from __future__ import annotations
 
 import base64
+import functools
+import re
+import unicodedata
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,9 +39,12 @@ from motionmatch.llm.texts import (carried, TOKENIZERS, column, map_batches, num
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "evenness")
+JUDGED = (*MEASURES[:3], "from_line")  # evenness as its distance from the line
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pieces", "n_fallback",
           "n_byte_tokens")
 MEMO_WORDS = 300_000
+LETTER = re.compile("[A-Za-z]")
+MIXED = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "IDEOGRAPHIC": "CJK"}  # written together
 
 
 @dataclass(frozen=True)
@@ -41,9 +53,12 @@ class Bands:
 
     reach: float = 4.0                 # interquartile ranges
     least: float = 0.10                # of the median, at least
+    entropy_reach: float = 3.0         # the same for entropy around its line
+    entropy_noise: float = 10.0
+    entropy_slope: float = -0.055      # an octave of tokens, where lengths hardly differ; of clean English and German texts
     noise_words: float = 40.0          # both grow by the root of this over a text's words: short texts vary more
-    least_share: float = 0.05          # same for the fallback share, as a difference
-    min_texts: int = 30                # below that, the band of the whole corpus
+    least_share: float = 0.05          # same for the fallback share and entropy, as a difference
+    prior_texts: float = 30.0          # a script's (corpus's) quantiles weigh as so many texts of a language (script)
     accuracy: int = 2000               # of the quantile sketch
 
 
@@ -71,6 +86,26 @@ class Encoded:
         return [self.known[w] for w in words]
 
 
+@functools.cache
+def script_table() -> tuple[np.ndarray, list[str | None]]:
+    """Script number of every code point, 0 for no letter, and the scripts' names: the first word of a letter's name."""
+    table, names = np.zeros(0x110000, np.uint16), {None: 0}
+    for c in filter(str.isalpha, map(chr, range(0x32400))):
+        name = unicodedata.name(c, "OTHER").split()[0]
+        table[ord(c)] = names.setdefault(MIXED.get(name, name), len(names))
+    return table, list(names)
+
+
+def script_of(text: str) -> str | None:
+    """Script of most letters of a text."""
+    if text.isascii():
+        return "LATIN" if LETTER.search(text) else None
+    table, names = script_table()
+    counts = np.bincount(table[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=2)
+    counts[0] = 0
+    return names[int(counts.argmax())] if counts.any() else None
+
+
 def repeated_words(words: np.ndarray, starts: np.ndarray, size: int = 5) -> np.ndarray:
     """Words of each row that lie in a window of ``size`` words found twice or more in the row."""
     n = len(words) - size + 1
@@ -134,7 +169,7 @@ def measured(texts: list[str], encoded: Encoded) -> dict[str, np.ndarray]:
 
 def measures(docs: DataFrame, folder: str = TOKENIZERS, pieces: str = "piece_bpe_32k.model",
              byte_level: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """doc_id, lang, the base counts and the fertility measures of every text."""
+    """doc_id, lang, script, the base counts and the fertility measures of every text."""
     with open(vocabulary_file(folder, pieces), "rb") as f:
         model = f.read()
     with open(vocabulary_file(folder, byte_level), "rb") as f:
@@ -147,55 +182,103 @@ def measures(docs: DataFrame, folder: str = TOKENIZERS, pieces: str = "piece_bpe
         encoded = Encoded(*shared())
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = measured(texts_of(batch), encoded)
+            texts = texts_of(batch)
+            found = measured(texts, encoded)
             return pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "lang"), *(pa.array(found[c], pa.int64()) for c in COUNTS),
-                 pa.array(found["entropy"], pa.float64())], ["doc_id", "lang", *COUNTS, "entropy"])
+                [column(batch, "doc_id"), column(batch, "lang"), pa.array(map(script_of, texts), pa.string()), *(pa.array(found[c], pa.int64()) for c in COUNTS),
+                 pa.array(found["entropy"], pa.float64())], ["doc_id", "lang", "script", *COUNTS, "entropy"])
 
         return step
 
-    counted = map_batches(docs.select("doc_id", "lang", "text"), "doc_id bigint, lang string, "
+    counted = map_batches(docs.select("doc_id", "lang", "text"), "doc_id bigint, lang string, script string, "
                           + ", ".join(f"{c} bigint" for c in COUNTS) + ", entropy double", make)
     some = F.col("n_pieces") > 0
     return counted.withColumns({
         "chars_per_piece": F.when(some, F.col("word_chars") / F.col("n_pieces")),
         "chars_per_byte_token": F.when(some, F.col("word_chars") / F.col("n_byte_tokens")),
         "fallback_share": F.when(some, F.col("n_fallback") / F.col("n_pieces")),
-        # Of the most that so many tokens can have: independent of length.
+        # Of the most that so many tokens can have.
         "evenness": F.when(F.col("n_pieces") > 1, F.col("entropy") / F.log2("n_pieces"))})
 
 
-def bands_of(measured: DataFrame, bands: Bands, keys: list[str]) -> DataFrame:
-    """Per key: n_texts and (low, high, reach) of each measure. Base failures have no part in it."""
-    quantiles = measured.where(~F.col("base_failed")).groupBy(*keys).agg(
-        F.count("*").alias("n_texts"),
-        *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(bands.accuracy)).alias(m)
-          for m in MEASURES))
+def entropy_lines(usable: DataFrame, bands: Bands) -> dict[str | None, tuple[float, float]]:
+    """(base, slope) of evenness over log2 of the tokens, per script; None has the whole corpus's."""
+    length = F.log2("n_pieces")
+    classes = usable.where("n_pieces > 1").groupBy("script", F.floor(length).alias("class")).agg(
+        F.count("*").alias("n"), F.avg(length).alias("x"), F.percentile_approx(
+            "evenness", 0.5, F.lit(bands.accuracy)).alias("y")).collect()  # scripts x octaves
+    classes.sort(key=lambda r: (r["script"] or "", r["class"]))
+
+    def line(rows, slope, weight):
+        n, x, y = (np.array([r[c] for r in rows], float) for c in ("n", "x", "y"))
+        dx, dy = x - np.average(x, weights=n), y - np.average(y, weights=n)
+        spread = (n * dx * dx).sum() + weight
+        slope = ((n * dx * dy).sum() + weight * slope) / spread
+        return float(np.average(y, weights=n) - slope * np.average(x, weights=n)), float(slope)
+
+    if not classes:
+        return {None: (0.0, 0.0)}
+    # A lone text of its length must not draw the line to itself.
+    lines = {None: line(classes, bands.entropy_slope, bands.prior_texts)}
+    for script in {r["script"] for r in classes} - {None}:
+        lines[script] = line([r for r in classes if r["script"] == script], lines[None][1], bands.prior_texts)
+    return lines
+
+
+def quartiles(usable: DataFrame, bands: Bands, keys: list[str]) -> DataFrame:
+    """Per key: n_texts and (low, mid, high) of each judged measure."""
+    return usable.groupBy(*keys).agg(F.count("*").alias("n_texts"), *(F.percentile_approx(
+        m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(bands.accuracy)).alias(m) for m in JUDGED)).select(
+        *keys, "n_texts", *(F.struct(*(F.col(m)[k].cast("double").alias(c) for k, c in enumerate(("low", "mid", "high")))).alias(m)
+                            for m in JUDGED))
+
+
+def band(m: str, own, script, corpus, bands: Bands):
+    """low, high and reach of a measure from the quartiles of language, script and corpus."""
+    share = m in ("fallback_share", "from_line")
+
+    def spread(q):
+        width = q["high"] - q["low"]
+        return width if share else width / q["mid"]
 
-    def band(m):
-        q = F.col(m)
-        least = F.lit(bands.least_share) if m == "fallback_share" else q[1] * bands.least
-        reach = F.greatest((q[2] - q[0]) * bands.reach, least)
-        return F.struct(q[0].alias("low"), q[2].alias("high"), reach.alias("reach")).alias(m)
+    def blend(x, y, n):
+        n = F.when(x.isNotNull(), n).otherwise(0)
+        return (F.coalesce(x, F.lit(0.0)) * n + y * bands.prior_texts) / (n + bands.prior_texts)
 
-    return quantiles.select(*keys, "n_texts", *(band(m) for m in MEASURES))
+    place = {c: F.coalesce(script[m][c], corpus[m][c]) for c in ("low", "mid", "high")}
+    width = blend(spread(script[m]), spread(corpus[m]), F.coalesce(script["n_texts"], F.lit(0)))
+    low, mid, high = (blend(own[m][c], place[c], F.coalesce(own["n_texts"], F.lit(0))) for c in ("low", "mid", "high"))
+    width = blend(spread(own[m]), width, F.coalesce(own["n_texts"], F.lit(0))) * (1 if share else mid)
+    least = F.lit(bands.least_share) if share else mid * bands.least
+    return low, high, F.greatest(width * (bands.entropy_reach if m == "from_line" else bands.reach), least)
 
 
 def fertility_rules(docs: DataFrame, *, folder: str = TOKENIZERS, bands: Bands = Bands()) -> DataFrame:
     """Counts, measures, reasons and the verdict ``kept`` of every text."""
     found = settled(measures(docs, folder).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "fertility")
-    language = bands_of(found, bands, ["lang"]).where(F.col("n_texts") >= bands.min_texts).select(
-        F.col("lang").alias("_lang"), F.struct(*MEASURES).alias("_own"))
-    every = bands_of(found, bands, []).first()  # one row: limits of the whole corpus
-    joined = found.join(language, found["lang"].eqNullSafe(language["_lang"]), "left")
-    limits = F.coalesce("_own", F.struct(*(F.struct(*(
-        F.lit(every[m][side]).cast("double").alias(side) for side in ("low", "high", "reach"))).alias(m) for m in MEASURES)))
-    wider = 1 + F.sqrt(bands.noise_words / F.greatest(F.col("n_words"), F.lit(1)))
-    outside = F.array_compact(F.array(*(
-        F.when(F.greatest(limits[m]["low"] - F.col(m), F.col(m) - limits[m]["high"]) > limits[m]["reach"] * wider, F.lit(m))
-        for m in MEASURES)))
-    return joined.withColumn("outside", outside).withColumn(
+    # Base failures have no part in the bands.
+    lines = entropy_lines(found.where(~F.col("base_failed")), bands)
+    by_script = F.create_map(*chain.from_iterable((F.lit(k or ""), F.array(*map(F.lit, v))) for k, v in lines.items()))
+    line = F.coalesce(by_script[F.coalesce("script", F.lit(""))], by_script[F.lit("")])
+    found = found.withColumn("from_line", F.col("evenness") - line[0] - line[1] * F.log2("n_pieces"))
+    usable = found.where(~F.col("base_failed"))
+    language = quartiles(usable, bands, ["lang"]).select(F.col("lang").alias("_lang"), F.struct("n_texts", *JUDGED).alias("_own"))
+    script = quartiles(usable.where("script IS NOT NULL"), bands, ["script"]).select(
+        F.col("script").alias("_script"), F.struct("n_texts", *JUDGED).alias("_of_script"))
+    every = quartiles(usable, bands, []).first()  # one row: quartiles of the whole corpus
+    corpus = F.struct(*(F.struct(*(F.lit(every[m][c]).cast("double").alias(c) for c in ("low", "mid", "high"))).alias(m)
+                        for m in JUDGED))
+    joined = found.join(language, found["lang"].eqNullSafe(language["_lang"]), "left").join(
+        F.broadcast(script), F.col("script") == F.col("_script"), "left")  # as many rows as scripts
+
+    def outside(m):
+        low, high, reach = band(m, F.col("_own"), F.col("_of_script"), corpus, bands)
+        noise = bands.entropy_noise if m == "from_line" else bands.noise_words
+        wider = 1 + F.sqrt(noise / F.greatest(F.col("n_words"), F.lit(1)))
+        return F.when(F.greatest(low - F.col(m), F.col(m) - high) > reach * wider, F.lit("evenness" if m == "from_line" else m))
+
+    return joined.withColumn("outside", F.array_compact(F.array(*map(outside, JUDGED)))).withColumn(
         "kept", ~F.col("base_failed") & (F.size("outside") == 0)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *MEASURES, "entropy", "n_pieces", "n_byte_tokens", "outside")
