@@ -107,7 +107,13 @@ def numbered(rows: list[list]) -> tuple[Numbering, np.ndarray, np.ndarray]:
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sum of each row of a ragged array; empty rows give 0. ``starts`` has the end appended."""
+    """Sum of each row of a ragged array; empty rows give 0. ``starts`` has the end appended.
+
+    Fractions are added row by row, so a row's sum does not depend on its neighbours.
+    """
+    if values.dtype.kind == "f":
+        n = len(starts) - 1
+        return np.bincount(np.repeat(np.arange(n), np.diff(starts)), values[starts[0]:starts[-1]], n)
     total = np.concatenate([[0], np.cumsum(values)])
     return total[starts[1:]] - total[starts[:-1]]
 
