@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionmatch.llm import (decontamination, disclosure, factorisation, fertility, jaccard_join, language_codes,
-                             merge_dropout, structures, token_counts, warc)
+                             merge_dropout, periodic_runs, structures, token_counts, warc)
 from motionmatch.llm.texts import table
 from motionmatch.sources.scratch import scratch_path
 
@@ -90,6 +90,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(again)
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    length, period = F.col("longest.length"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "longest.start", length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 OP5_SQL = r"""
 with recursive words as (
   select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -134,4 +146,5 @@ QUERIES = {
     "op8_merge_dropout": (op8, None),
     "op9_token_counts": (op9, None),
     "op10_warc": (op10, OP10_SQL),
+    "op11_periodic_runs": (op11, None),
 }
