@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionmatch.llm import (decontamination, disclosure, factorisation, fertility, jaccard_join, language_codes,
-                             merge_dropout, periodic_runs, structures, token_counts, warc)
+                             merge_dropout, periodic_runs, simhash_tiles, structures, token_counts, warc)
 from motionmatch.llm.texts import table
 from motionmatch.sources.scratch import scratch_path
 
@@ -102,6 +102,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_tiles.simhash_components(table(spark, folder, "documents"))
+
+
 OP5_SQL = r"""
 with recursive words as (
   select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -147,4 +151,5 @@ QUERIES = {
     "op9_token_counts": (op9, None),
     "op10_warc": (op10, OP10_SQL),
     "op11_periodic_runs": (op11, None),
+    "op12_simhash_tiles": (op12, None),
 }
