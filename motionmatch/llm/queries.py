@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionmatch.llm import (decontamination, disclosure, factorisation, fertility, jaccard_join, language_codes,
-                             merge_dropout, periodic_runs, simhash_tiles, structures, token_counts, warc)
+from motionmatch.llm import (decontamination, disclosure, factorisation, fertility, hard_negatives, jaccard_join,
+                             language_codes, merge_dropout, periodic_runs, simhash_tiles, structures, token_counts, warc)
 from motionmatch.llm.texts import table
 from motionmatch.sources.scratch import scratch_path
 
@@ -106,6 +106,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_tiles.simhash_components(table(spark, folder, "documents"))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(
+        hard_negatives.quantised(table(spark, folder, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 OP5_SQL = r"""
 with recursive words as (
   select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -139,6 +144,27 @@ select page_id, payload_bytes, payload_digest,
 from ranked
 """
 
+OP13_SQL = """
+with usable as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
+"""
+
 QUERIES = {
     "op1_decontamination": (op1, None),
     "op2_fertility": (op2, None),
@@ -152,4 +178,5 @@ QUERIES = {
     "op10_warc": (op10, OP10_SQL),
     "op11_periodic_runs": (op11, None),
     "op12_simhash_tiles": (op12, None),
+    "op13_hard_negatives": (op13, OP13_SQL),
 }
