@@ -329,7 +329,8 @@ def looped(doc_id: Column, text: Column) -> Column:
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     n, g = F.greatest(F.size(words), F.lit(1)), F.floor(h / 10)
     from_ = (g % n).cast("int")
-    period = (1 + F.floor((n - from_) / (3 + g % 8))).cast("int")
-    planted = F.array_join(F.transform(words, lambda w, i: F.when(i < from_, w).otherwise(
-        F.get(words, from_ + (i - from_) % period))), " ")
+    left = n - from_
+    period = (1 + F.floor(left / (3 + g % 8))).cast("int")
+    powers = F.flatten(F.array_repeat(F.slice(words, from_ + 1, period), F.ceil(left / period).cast("int")))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), from_), F.slice(powers, F.lit(1), left)), " ")
     return F.when((h % 10 == 0) & text.rlike("[^\\x20\\x09-\\x0D]"), planted).otherwise(text)
