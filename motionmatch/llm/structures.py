@@ -5,7 +5,8 @@ or not, from every place where a key may begin) and PEM bodies are decoded and p
 a run decodes to, one level deep. A key is reported only if its inner structure says what it is:
 
 * ``der_key``: a DER sequence whose nested lengths all fit and whose fields are those of a private
-  key (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1),
+  key (PKCS#1, DSA, PKCS#8, encrypted PKCS#8, SEC 1), or a PEM body that its header declares encrypted,
+  with a start vector of the cipher's block size and whole blocks of data,
 * ``ssh_key``: the OpenSSH container, its length-prefixed fields filling it as they should,
 * ``signed_token``: header and claims are JSON objects, the header names an algorithm and the
   signature has that algorithm's length.
@@ -40,7 +41,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 # Candidates: three dotted runs; a PEM body; a run of base64 or hex, perhaps over
 # several lines, that could hold a small key.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
+LINE_END = r"(?:\r?\n|\\r|\\n)"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----"
+                 rf"((?:\s*{LINE_END}+[A-Za-z-]+:[^\n\\]*)*)([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
+CIPHER = re.compile(r"Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[\s\\rn]+DEK-Info:[ \t]*(AES|DES|CAMELLIA|SEED|IDEA|RC2|BF)[A-Z0-9-]*,[ \t]*([0-9A-Fa-f]+)")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[ \t]*(?:\r?\n|\\r|\\n)+[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 LINE = re.compile(r"\\[rn]|([A-Za-z0-9+/_-]+)")
 RUN_CHARS = 48
@@ -107,6 +111,8 @@ def is_der_key(data: bytes) -> bool:
     fields = elements(outer[0][1])
     tags = [t for t, _ in fields]
     first = fields[0][1] if fields else b""
+    if tags == [INTEGER] * 6 and first == b"\0":                  # DSA: version, p, q, g and both keys
+        return len(fields[1][1]) >= 64 and 20 <= len(fields[2][1]) <= 33
     if len(tags) >= 9 and tags[:9] == [INTEGER] * 9 and first in (b"\0", b"\1"):
         return len(fields[1][1]) >= 32                            # PKCS#1: version, modulus, exponents, ...
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS] and first in (b"\0", b"\1"):
@@ -166,6 +172,15 @@ def der_size(head: bytes) -> int | None:
     return 2 + size + int.from_bytes(head[2:2 + size], "big") if 1 <= size <= 4 and len(head) >= 2 + size else None
 
 
+def may_be_key(first: bytes, size: int) -> bool:
+    """Whether the first field of a sequence of ``size`` bytes is a version, or a sequence that fits."""
+    at = 2 + (first[1] & 0x7F if first[1] & 0x80 else 0)
+    if first[at:at + 1] == bytes([INTEGER]):
+        return first[at + 1:at + 3] in (b"\1\0", b"\1\1")
+    inner = der_size(first[at:])
+    return inner is not None and at + inner <= size
+
+
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
     parts = []
     for part in (header, claims):
@@ -183,9 +198,9 @@ def is_signed_token(header: str, claims: str, signature: str) -> bool:
 def key_at(first: bytes, rest: Callable[[int | None], bytes | None]) -> tuple[int, str] | None:
     """(bytes, kind) of the key that begins with ``first``; ``rest(n)`` gives n bytes from there, or all."""
     if (size := der_size(first)) is not None:
-        data = rest(size) if size >= 32 else None
+        data = rest(size) if size >= 32 and may_be_key(first, size) else None
         return (size, "der_key") if data is not None and is_der_key(data) else None
-    if OPENSSH.startswith(first) and (data := rest(None)) is not None and (size := ssh_size(data)):
+    if first.startswith(OPENSSH[:len(first)]) and (data := rest(None)) is not None and (size := ssh_size(data)):
         return size, "ssh_key"
     return None
 
@@ -212,7 +227,7 @@ def keys_in(body: str) -> list[tuple[int, int, str]]:
             data = whole(body[a:a + chars]) if a + chars <= len(body) else None
             return data if data is None or n is None else data[:n]
 
-        if a >= at and (key := key_at(decoded(body[a:a + 8]) or b"", rest)):
+        if a >= at and (key := key_at(whole(body[a:a + 16]) or b"", rest)):
             at = a - (-4 * key[0] // 3)
             out.append((a, at, key[1]))
     for run in HEX_RUN.finditer(body):
@@ -223,7 +238,7 @@ def keys_in(body: str) -> list[tuple[int, int, str]]:
                 end = run.end() - (run.end() - a) % 2 if n is None else a + 2 * n
                 return bytes.fromhex(body[a:end]) if end <= run.end() else None
 
-            if a >= at and run.end() - a >= 12 and (key := key_at(bytes.fromhex(body[a:a + 12]), rest)):
+            if a >= at and run.end() - a >= 24 and (key := key_at(bytes.fromhex(body[a:a + 24]), rest)):
                 at = a + 2 * key[0]
                 out.append((a, at, key[1]))
     return out
@@ -246,10 +261,18 @@ def wrapped_keys(body: str) -> list[tuple[int, int, str]]:
 def pem_keys(text: str) -> list[tuple[int, int, str]]:
     if "PRIVATE KEY-----" not in text:
         return []
-    found = ((m, key_kind(decoded(re.sub(r"\\n|\\r|\s", "", m[2])))) for m in PEM.finditer(text))
+    found = ((m, pem_kind(m[2], decoded(re.sub(r"\\n|\\r|\s", "", m[3])))) for m in PEM.finditer(text))
     return [(*m.span(), kind) for m, kind in found if kind]
 
 
+def pem_kind(header: str, data: bytes | None) -> str | None:
+    """Of a body with the header of the old encryption: whole blocks and a start vector of that size."""
+    if cipher := CIPHER.search(header):
+        block = 8 if cipher[1] in ("DES", "IDEA", "RC2", "BF") else 16
+        return "der_key" if data and len(data) >= 32 and len(data) % block == 0 and len(cipher[2]) == 2 * block else None
+    return key_kind(data)
+
+
 def run_keys(text: str, search: Callable[[str], list[tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
     """What ``search`` finds in the runs of a text, lines of a wrapped run joined; with the padding."""
     out = []
@@ -274,7 +297,9 @@ def place(lines: list[tuple[int, str]], at: int) -> int:
 
 
 def keys_and_wrapped(body: str) -> list[tuple[int, int, str]]:
-    return keys_in(body) or wrapped_keys(body)
+    """Keys of the run as it stands, and those it holds encoded once more beside them."""
+    direct = keys_in(body)
+    return direct + [s for s in wrapped_keys(body) if not any(s[0] < b and a < s[1] for a, b, _ in direct)]
 
 
 def confirmed(text: str) -> Iterator[tuple[int, int, str]]:
