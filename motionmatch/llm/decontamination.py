@@ -19,9 +19,9 @@ each passage is a query:
 The index is broadcast in shards whose size is counted first (``shard_words``); more test items are
 more shards, each a pass over the training texts.
 
-Items come with text, or with question and answer; of a text the last sentence counts as the answer.
-A text of one sentence, or with a last sentence too short to be told from a changed one
-(``answer_words``), is question and answer at once: half of the whole text's n-grams are to be found.
+Items come with question and answer, of which both are verified, or with one text, which is verified as
+a whole: half of its n-grams are to be found, wherever in the item they stand. Of items of few words
+shorter n-grams count, so that an excerpt of three fifths holds half of them at any length.
 
 Cases: null and empty items or texts have no words and are never matched. Words are runs of letters,
 digits and underscores in lower case. Repeated test items are found each by their id; null item ids
@@ -44,7 +44,6 @@ from pyspark.sql import functions as F
 from motionmatch.llm.texts import carried, column, filtered, map_batches, numbered, texts_of
 
 WORD = re.compile(r"\w+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 # ASCII text word by word: upper case to lower, all but letters, digits and underscore to blanks.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b == 95 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -52,15 +51,14 @@ PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b == 95 or 97 <
 @dataclass(frozen=True)
 class Search:
     unit: int = 48               # words in an index unit
-    threshold: float = 0.6       # share of a unit's own score
+    threshold: float = 0.5       # share of a unit's own score
     k1: float = 1.2
     b: float = 0.75
     block: int = 16              # postings in a block
     groups: int = 64             # stretches of units with greatest weights of their own
-    size: int = 5                # words in a verified n-gram; 2 in parts of less than twice as many words
+    size: int = 5                # words in a verified n-gram; 2 in parts of less than twice as many words, 3 of less than four times
     question: float = 0.5        # shares to be found
     answer: float = 0.5
-    answer_words: int = 5        # a last sentence of fewer words is no answer by itself
     shard_words: int = 2_000_000 # words of test items in one broadcast index
 
 
@@ -71,13 +69,9 @@ def words_of(text: str) -> list[bytes]:
     return [w.encode() for w in WORD.findall(text.lower())]
 
 
-def question_answer(text: str | None, question: str | None, answer: str | None, least: int = Search.answer_words) -> tuple[str, str]:
-    """Both parts as given. Of a text the last sentence is the answer if one changed word leaves half of
-    its word pairs, that is from ``least`` words on; otherwise the whole text is both parts."""
-    if question or answer:
-        return question or "", answer or ""
-    parts = [p for p in SENTENCE.split(text or "") if WORD.search(p)]
-    return (text or "", text or "") if len(parts) < 2 or len(words_of(parts[-1])) < least else (" ".join(parts[:-1]), parts[-1])
+def question_answer(text: str | None, question: str | None, answer: str | None) -> tuple[str, str]:
+    """Both parts as given; one text is both at once."""
+    return (question or "", answer or "") if question or answer else (text or "", text or "")
 
 
 def grams(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
@@ -166,7 +160,8 @@ class Index:
         shares = []
         for part in self.parts[item]:
             # One changed word of a short answer must not hide all of it.
-            size = min(len(part), self.search.size if len(part) >= 2 * self.search.size else 2)
+            whole = self.search.size
+            size = min(len(part), 2 if len(part) < 2 * whole else 3 if len(part) < 4 * whole else whole)
             wanted = grams(part, size)
             shares.append(len(wanted & grams(words, size)) / len(wanted) if wanted else 1.0)
         return shares[0], shares[1]
@@ -290,7 +285,7 @@ def indexes(items: DataFrame, search: Search):
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [all_words(*question_answer(*x, search.answer_words)) for x in zip(*(texts_of(batch, c) for c in ("text", "question", "answer")))]
+            parts = [all_words(*question_answer(*x)) for x in zip(*(texts_of(batch, c) for c in ("text", "question", "answer")))]
             units = [u for p in parts for u in units_of(p, search.unit)]
             terms = [(t, len(u), k) for k, u in enumerate(units) for t in set(u)]
             return pa.RecordBatch.from_arrays(
@@ -303,7 +298,7 @@ def indexes(items: DataFrame, search: Search):
     units, words = counted.where("term IS NULL").agg(F.count("*"), F.sum("length")).first()
     shard = F.pmod(F.xxhash64("item_id", "text", "question", "answer"), F.lit(shards))
     for k in range(shards if units else 0):
-        part = [(r[0], *question_answer(*r[1:], search.answer_words)) for r in rows.where(shard == k).orderBy(
+        part = [(r[0], *question_answer(*r[1:])) for r in rows.where(shard == k).orderBy(
             "item_id", "text", "question", "answer").collect()]
         own = {t for _, q, a in part for t in all_words(q, a)}
         per_term = counted.where("term IS NOT NULL").groupBy("term").count()
