@@ -11,10 +11,13 @@ to the next entity. Over the whole corpus
 
 A term of fewer than ``min_contexts`` different contexts of e is judged by the lower confidence bound
 of P(e | t) instead (Wilson's, one-sided), its share taken over distinct texts and its contexts as the
-cases that speak for it, so that copies prove nothing; it must reach ``single_at``.
+cases that speak for it, so that copies prove nothing. What counts is the bound's excess over chance,
+(bound - P(e)) / (1 - P(e)); it must reach ``single_at``. As IC(e) has no part in it, the size of the
+corpus does not decide.
 
-In a text that holds e, every occurrence of a term that discloses e at least ``generalise_at`` is a
-span of kind ``term``: it is generalised to what sort of word it is, or removed from ``remove_at`` on. Base spans
+In a text that holds e, every occurrence of a term that discloses e at least ``generalise_at``, or by
+the excess, is a span of kind ``term``: it is generalised to what sort of word it is, or removed from
+``remove_at`` on (which the excess of one context never reaches at the given deviations). Base spans
 are always kept and masked by their kind. A text without entities is never changed.
 
 Spans are [start, end) in code points. Cases: null text is empty (its clean text stays null);
@@ -52,7 +55,7 @@ SPAN = "array<struct<start:bigint,order:int,end:bigint,kind:string,value:string>
 class Disclosure:
     window: int = 6
     min_contexts: int = 2          # below that, the lower bound and single_at count
-    single_at: float = 0.95
+    single_at: float = 0.5         # a term of one context that is never elsewhere has 0.585, seen elsewhere once 0.24
     deviations: float = 0.8416     # of the lower bound: 80 % one-sided
     generalise_at: float = 0.95
     remove_at: float = 0.98
@@ -182,11 +185,11 @@ def disclosures(docs: DataFrame, private: DataFrame, limits: Disclosure) -> Data
     # A word between two entities stands in both contexts: its share is held at 1.
     share, once = (F.least(F.col(x) / F.col(y), F.lit(1.0)) for x, y in (("both", "n"), ("both_distinct", "n_distinct")))
     several = F.col("contexts") >= limits.min_contexts
-    bound = lower_bound(once, F.col("contexts"), limits.deviations)
-    return pairs.where(F.when(several, F.col("content")).otherwise(F.col("content_distinct")) > 0).select(
-        "entity", "term", several.alias("several"), F.when(several, 1 + F.log2(share) / F.col("content")).otherwise(
-            1 + F.log2(bound) / F.col("content_distinct")).alias("disclosure")).where(
-        (F.col("disclosure") >= limits.generalise_at) & (F.col("several") | (F.col("disclosure") >= limits.single_at))).drop("several")
+    chance = F.pow(F.lit(2.0), -F.col("content_distinct"))
+    excess = F.try_divide(lower_bound(once, F.col("contexts"), limits.deviations) - chance, 1 - chance)
+    known = F.when(F.col("content") > 0, 1 + F.log2(share) / F.col("content"))
+    return pairs.select("entity", "term", several.alias("several"), F.when(several, known).otherwise(excess).alias("disclosure")).where(
+        F.col("disclosure") >= F.when(F.col("several"), limits.generalise_at).otherwise(limits.single_at)).drop("several")
 
 
 def term_spans(private: DataFrame, found: DataFrame) -> DataFrame:

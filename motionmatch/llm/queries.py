@@ -31,7 +31,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = disclosure.sanitised(table(spark, folder, "documents"))
     counts = (of_kind("base_spans", k) for k in disclosure.KINDS)
     return found.select("doc_id", *counts, F.sha2(disclosure.listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
-                        disclosure.listed(F.col("spans")).alias("spans"))
+                        disclosure.listed(F.col("spans")).alias("spans"),
+                        F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
 def op4(spark: SparkSession, folder: str) -> DataFrame:

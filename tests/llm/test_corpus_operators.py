@@ -170,6 +170,7 @@ def brute_terms(texts, limits):
     words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)] for t in texts]
     total, every = sum(map(len, words)), Counter(w for row in words for _, _, w in row)
     both, seen, held = Counter(), defaultdict(set), defaultdict(set)
+    once, every_once = Counter(), Counter()               # the same over distinct texts
     for d, t in enumerate(texts):
         spans = base_private(t)
         for k, (a, _, b, kind) in enumerate(spans):
@@ -181,10 +182,21 @@ def brute_terms(texts, limits):
             right = re.findall(r"[^\W_]+", t[b:max(b, after)].lower())[:limits.window]
             for w in left + right:
                 both[name, w] += 1
+                once[name, w] += t not in texts[:d]
                 seen[name, w].add((tuple(left), tuple(right)))
+        every_once.update(w for _, _, w in words[d] if t not in texts[:d])
     content = {n: -math.log2(sum(c for (m, _), c in both.items() if m == n) / total) for n in {n for n, _ in both}}
     found = {(n, w) for (n, w), c in both.items() if len(seen[n, w]) >= limits.min_contexts
              and 1 + math.log2(min(1, c / every[w])) / content[n] >= limits.generalise_at}
+    z = limits.deviations
+    for (n, w), c in once.items():
+        if len(seen[n, w]) < limits.min_contexts:
+            share = min(1, c / every_once[w])
+            cases = len(seen[n, w]) / share
+            chance = sum(x for (m, _), x in once.items() if m == n) / sum(every_once.values())
+            bound = (share + z * z / (2 * cases) - z * math.sqrt(share * (1 - share) / cases + z * z / (4 * cases * cases))) / (1 + z * z / cases)
+            if chance < 1 and (bound - chance) / (1 - chance) >= limits.single_at:
+                found.add((n, w))
     out = {}
     for d, t in enumerate(texts):
         taken = base_private(t)
