@@ -12,6 +12,7 @@ from motionmatch.operators.sequence import explode_frame, visible
 from motionmatch.plans.match import Prepared, match_recordings
 from motionmatch.schemas import LANDMARKS, MEASUREMENTS
 from motionmatch.sources.sinks import append_attempts
+from motionmatch.streaming.buckets import Buckets
 
 MODEL_VERSION = "manual-baseline-v1"
 
@@ -36,6 +37,34 @@ def apply_feedback(attempts: DataFrame, feedback: DataFrame, key: str = "attempt
     return updated, unknown
 
 
+def merged_feedback(old: DataFrame, feedback: DataFrame, key: str = "attempt_id", value: str = "useful",
+                    order: str = "event_id") -> DataFrame:
+    """Stored attempts with feedback that is not older than the one they have (``feedback_order``)."""
+    new = feedback.select(key, F.col(value).alias("_useful"), F.col(order).alias("_order"))
+    later = F.col("_order").isNotNull() & (F.col("feedback_order").isNull() | (F.col("_order") >= F.col("feedback_order")))
+    return old.join(new, key, "left").withColumns({
+        "feedback_useful": F.when(later, F.coalesce("_useful", "feedback_useful")).otherwise(F.col("feedback_useful")),
+        "feedback_order": F.when(later, F.col("_order")).otherwise(F.col("feedback_order"))}).drop("_useful", "_order")
+
+
+def on_feedback(table: Buckets, rejects: str, key: str = "attempt_id", value: str = "useful", order: str = "event_id",
+                stream: str = "feedback") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: upsert the last word on each attempt; feedback on unknown attempts goes to
+    ``rejects``, a folder a micro-batch.
+
+    Only buckets that hold such attempts are read and written again. A replayed micro-batch changes nothing,
+    and one that comes late does not undo newer feedback.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        given = batch.select(key, value, order)
+        latest = given.groupBy(key).agg(F.max_by(F.struct(value, order), order).alias("last")).select(key, "last.*")
+        done, unknown = table.change(latest, lambda old, new: merged_feedback(old, new, key, value, order), stream=stream, batch=number)
+        if not done.replayed:
+            given.join(unknown.select(key), key, "left_semi").write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch={number}")
+
+    return run
+
+
 def recent(attempts: DataFrame, limit: int = 20, created: str = "created_at",
            key: str = "attempt_id") -> DataFrame:
     """Newest attempts; a top-k, never a full sort."""
@@ -73,7 +102,7 @@ def attempt_records(results: DataFrame) -> DataFrame:
         "best_other_similarity", "similarity_margin", F.current_timestamp().alias("created_at"))
 
 
-def on_finished(library: DataFrame, vocab: DataFrame, table: str,
+def on_finished(library: DataFrame, vocab: DataFrame, table: str | Buckets,
                 **options) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: score what finished, store each attempt once.
 
@@ -81,7 +110,7 @@ def on_finished(library: DataFrame, vocab: DataFrame, table: str,
     """
     library = LoadedLibrary(library, options.get("precision", "double"))
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         finished = batch.where("kind = 'frame'").persist()
         try:
@@ -92,7 +121,10 @@ def on_finished(library: DataFrame, vocab: DataFrame, table: str,
             try:
                 # One bad attempt must not end the stream.
                 results = match_recordings(prepared, recordings, library, vocab, **{"strict": False, **options})
-                append_attempts(spark, attempt_records(results), table)
+                if isinstance(table, Buckets):
+                    table.append_once(attempt_records(results), stream="finished", batch=number)
+                else:
+                    append_attempts(spark, attempt_records(results), table)
             finally:
                 prepared.release()
         finally:

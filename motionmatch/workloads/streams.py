@@ -8,9 +8,9 @@ from motionmatch.operators.sessions import last_frames, outcomes, session_summar
 from motionmatch.plans.match import Prepared
 from motionmatch.schemas import LANDMARKS
 from motionmatch.sources.scratch import scratch_path
-from motionmatch.sources.sinks import append_attempts
 from motionmatch.streaming.attempts import admit, attempts
-from motionmatch.streaming.history import apply_feedback, on_finished, recent
+from motionmatch.streaming.buckets import Buckets
+from motionmatch.streaming.history import apply_feedback, on_feedback, on_finished, recent
 from motionmatch.streaming.runs import drain, read_files
 from motionmatch.vocabulary import LOOKUP_OVERRIDES, WORDS, scan_vocabulary
 from motionmatch.workloads.views import FRAMES, table
@@ -143,6 +143,34 @@ def str6(spark, folder):
     return updated.select("attempt_id", "feedback_useful")
 
 
+def _feedback_stream(spark, folder):
+    """The same as a stream: attempts in buckets, feedback in four files, in no order, a micro-batch each."""
+    orders = table(spark, folder, "orders").where("o_orderkey % 9 <> 0").select(
+        F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(True)).alias("feedback_useful"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("attempt_id"), (F.col("l_returnflag") == "N").alias("useful"), order.alias("event_id"))
+    stored = Buckets.create(spark, scratch_path(spark, "attempts"), orders.withColumn(
+        "feedback_order", F.lit(None).cast(lines.schema["event_id"].dataType)).schema, "attempt_id", 16)
+    stored.append_once(orders.withColumn("feedback_order", F.lit(None).cast(lines.schema["event_id"].dataType)))
+    given, rejects = scratch_path(spark, "feedback"), scratch_path(spark, "rejects")
+    lines.repartition(4, F.col("event_id.l_linenumber")).write.parquet(given)
+    stream_ = read_files(spark, given, "*.parquet", lines.schema, files_per_trigger=1)
+    query = (stream_.writeStream.option("checkpointLocation", scratch_path(spark, "feedback-state")).trigger(availableNow=True)
+             .foreachBatch(on_feedback(stored, rejects)).start())
+    query.awaitTermination()
+    stored.refresh()
+    return stored.read(), spark.read.schema(lines.schema).parquet(f"{rejects}/batch=*")
+
+
+def str6_stream(spark, folder):
+    return _feedback_stream(spark, folder)[0].select("attempt_id", "feedback_useful")
+
+
+def str6_stream_rejects(spark, folder):
+    return _feedback_stream(spark, folder)[1].groupBy("attempt_id").agg(F.count("*").alias("n"))
+
+
 _LAST = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC)"
 STR6_SQL = (f"WITH last AS (SELECT l_orderkey, l_returnflag = 'N' AS useful FROM (SELECT *, {_LAST} AS rn FROM lineitem) WHERE rn = 1) "
             "SELECT o_orderkey AS attempt_id, coalesce(useful, CASE WHEN o_orderkey % 2 = 0 THEN true END) AS feedback_useful "
@@ -176,11 +204,11 @@ STR8_SQL = (f"WITH {_F}, s AS (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (
 
 def sink4(spark, folder):
     """Two batches of attempts, the second overlapping the first, stored once each."""
-    path = scratch_path(spark, "history")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderstatus").alias("decision"))
-    append_attempts(spark, orders.where("attempt_id % 3 <> 0"), path)
-    append_attempts(spark, orders.withColumn("decision", F.lit("late")), path)
-    return spark.read.schema(orders.schema).parquet(path)
+    stored = Buckets.create(spark, scratch_path(spark, "history"), orders.schema, "attempt_id", 16)
+    stored.append_once(orders.where("attempt_id % 3 <> 0"), batch=0)
+    stored.append_once(orders.withColumn("decision", F.lit("late")), batch=1)
+    return stored.read()
 
 
 SINK4_SQL = "SELECT o_orderkey AS attempt_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'late' END AS decision FROM orders"
@@ -196,6 +224,8 @@ QUERIES = {
     "str5_admission_stream": (str5_stream, STR5_SQL),
     "str6_feedback": (str6, STR6_SQL),
     "str6_feedback_rejects": (str6_rejects, STR6_REJECTS_SQL),
+    "str6_feedback_stream": (str6_stream, STR6_SQL),
+    "str6_feedback_stream_rejects": (str6_stream_rejects, STR6_REJECTS_SQL),
     "str8_thinning": (str8, STR8_SQL),
     "win4_last_frames": (win4, WIN4_SQL),
     "top1_recent": (top1, TOP1_SQL),
