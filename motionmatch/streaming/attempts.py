@@ -2,92 +2,184 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, replace
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from motionmatch.operators.sessions import FRAMES_KEPT, IDLE_SECONDS, admission_reason
 
-OUTPUT = ("attempt_id string, kind string, target string, event_id long, ts timestamp, "
+RETAIN_SECONDS = 86_400      # an ended attempt is remembered for so long after its final frame
+WINDOW = 4096                # rows judged at once
+OUTPUT = ("attempt_id string, kind string, target string, event_id long, us long, "
           "position int, frames int, landmarks array<double>")
-FRAME_STATE = "event_id long, ts timestamp, landmarks array<double>"
-HEAD_STATE = "target string, last_seen timestamp, terminal long, frames_seen int"
+FRAME_STATE = "event_id long, us long, landmarks array<double>"
+HEAD_STATE = "target string, last_us long, last_event long, seen int, held int, terminal long, timer_ms long"
+LONG_AGO = -(1 << 62)
+
+
+@dataclass(frozen=True)
+class Head:
+    """What is known of an attempt between micro-batches. Times are microseconds."""
+    target: str | None = None
+    last_us: int = LONG_AGO
+    last_event: int | None = None
+    seen: int = 0
+    held: int = 0                # rows in the list of frames
+    terminal: int | None = None
+    timer_ms: int | None = None
+
+    def row(self) -> tuple:
+        return (self.target, self.last_us, self.last_event, self.seen, self.held, self.terminal, self.timer_ms)
+
+
+@dataclass
+class Judged:
+    """Kinds of turned-away rows ('' for the others), closed sessions, and the open session's own rows."""
+    head: Head
+    kinds: np.ndarray
+    expired: list[Head]
+    own: np.ndarray              # rows of the session that is open or has ended here, in order
+    stored: bool                 # whether the stored frames belong to that session
+    ended: bool
+
+
+def judged(head: Head, target: np.ndarray, us: np.ndarray, event: np.ndarray, final: np.ndarray, idle_us: int) -> Judged:
+    """Rows in time order against the head, by masks: one step for each session that starts."""
+    n, i = len(us), 0
+    kinds = np.full(n, "", object)
+    own_rows: list[np.ndarray] = []
+    expired, stored, ended = [], True, False
+    while i < n:
+        if head.terminal is not None:
+            own = target[i:] == head.target
+            kinds[i:] = np.where(~own, "conflict", np.where(final[i:], "repeat", "late"))
+            break
+        if head.target is None or us[i] - head.last_us > idle_us:
+            if head.target is not None:
+                expired.append(head)
+            head = replace(head, target=target[i], last_us=int(us[i]), seen=0)
+            own_rows, stored = [], False
+        stop = min(n, i + WINDOW)
+        own = target[i:stop] == head.target
+        before = np.maximum.accumulate(np.concatenate([[head.last_us], np.where(own, us[i:stop], LONG_AGO)]))
+        quiet = np.flatnonzero(us[i:stop] - before[:-1] > idle_us)
+        length = int(quiet[0]) if len(quiet) else stop - i
+        finals = np.flatnonzero(own[:length] & final[i:i + length])
+        if len(finals):
+            length = int(finals[0]) + 1
+        mine = i + np.flatnonzero(own[:length])
+        kinds[i:i + length][~own[:length]] = "conflict"
+        own_rows.append(mine)
+        if len(mine):
+            head = replace(head, last_us=max(head.last_us, int(us[mine[-1]])), last_event=int(event[mine[-1]]), seen=head.seen + len(mine))
+        if len(finals):
+            head, ended = replace(head, terminal=int(event[mine[-1]])), True
+        i += length
+    return Judged(head, kinds, expired, np.concatenate(own_rows) if own_rows else np.zeros(0, int), stored, ended)
 
 
 class AttemptProcessor(StatefulProcessor):
     """Keeps the newest frames of an attempt until its final frame arrives.
 
-    Kinds of output: ``frame`` (the kept frames of a finished attempt, in order),
-    ``conflict`` (another target), ``late`` (ordinary frame after the end) and
-    ``repeat`` (final frame after the end; the stored result stands). Frames count
-    in the order of the micro-batches, and within one by time and event id. An attempt idle for longer than the limit starts afresh,
-    whichever target comes next; an ended attempt never reopens.
+    Kinds of output: ``frame`` (the kept frames of a finished attempt, in order), ``conflict``
+    (another target), ``late`` (ordinary frame after the end), ``repeat`` (final frame after the end;
+    the stored result stands) and ``expired`` (a session that went idle, with its last frame and how
+    many it had; it has no result). Frames count in the order of the micro-batches, and within one by
+    time and event id. An attempt idle for longer than the limit starts afresh, whichever target comes
+    next; an ended attempt does not reopen while it is remembered.
+
+    A frame is written once, when it arrives; the list is cut to the newest when it has twice as many.
+    With event time an attempt has one timer: idle sessions are closed and ended attempts forgotten
+    when the watermark has passed them, so state does not grow with the attempts that ever were.
     """
 
-    def __init__(self, keep: int = FRAMES_KEPT, idle_seconds: float = IDLE_SECONDS,
-                 timers: bool = True):
-        self.keep, self.idle, self.timers = keep, idle_seconds, timers
+    def __init__(self, keep: int = FRAMES_KEPT, idle_seconds: float = IDLE_SECONDS, timers: bool = True,
+                 retain_seconds: float = RETAIN_SECONDS):
+        self.keep, self.idle_us, self.timers = keep, int(idle_seconds * 1_000_000), timers
+        self.retain_us = int(retain_seconds * 1_000_000)
 
     def init(self, handle) -> None:
         self.handle = handle
         self.frames = handle.getListState("frames", FRAME_STATE)
         self.head = handle.getValueState("head", HEAD_STATE)
 
+    def due_ms(self, head: Head) -> int:
+        """First millisecond after the session is idle for too long, or the ended attempt is forgotten."""
+        return (head.last_us + (self.idle_us if head.terminal is None else self.retain_us)) // 1000 + 1
+
     def handleInputRows(self, key, rows, timerValues):
-        head = self.head.get() if self.head.exists() else None
-        target, last_seen, terminal, seen = head if head else (None, None, None, 0)
-        kept = [tuple(f) for f in self.frames.get()] if self.frames.exists() else []
         # A key's rows of a micro-batch come in the order of the shuffle.
         chunks = [c for c in rows if len(c)]
-        ordered = pd.concat(chunks, ignore_index=True).sort_values(["ts", "event_id"], kind="stable") if chunks else None
-        for chunk in () if ordered is None else (ordered,):
-            out = []
-            for row in chunk.itertuples(index=False):
-                ts = row.ts.to_pydatetime() if hasattr(row.ts, "to_pydatetime") else row.ts
-                event_id = int(row.event_id)
-                if terminal is None and last_seen is not None and (
-                        ts - last_seen).total_seconds() > self.idle:
-                    target, kept, seen = None, [], 0
-                if target is None:
-                    target = row.target
-                if row.target != target:
-                    out.append((key[0], "conflict", row.target, event_id, ts, None, None, None))
-                    continue
-                if terminal is not None:
-                    kind = "repeat" if row.final else "late"
-                    out.append((key[0], kind, target, event_id, ts, None, None, None))
-                    continue
-                last_seen, seen = ts, seen + 1
-                marks = None if row.landmarks is None else [float(v) for v in row.landmarks]
-                kept = [*kept, (event_id, ts, marks)][-self.keep:]
-                if row.final:
-                    terminal = event_id
-                    out += [(key[0], "frame", target, e, t, i, len(kept), m)
-                            for i, (e, t, m) in enumerate(kept)]
-                    kept = []
-            if out:
-                yield pd.DataFrame(out, columns=[
-                    "attempt_id", "kind", "target", "event_id", "ts", "position", "frames",
-                    "landmarks"])
-        self.head.update((target, last_seen, terminal, seen))
-        if kept:
-            self.frames.put(kept)
-        elif self.frames.exists():
-            self.frames.clear()
-        if self.timers and terminal is None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + int(self.idle * 1000) + 1)
+        if not chunks:
+            return
+        chunk = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        order = np.lexsort((chunk["event_id"].to_numpy(), chunk["us"].to_numpy()))
+        target, us, event, final = (chunk[c].to_numpy()[order] for c in ("target", "us", "event_id", "final"))
+        marks = chunk["landmarks"].to_numpy()[order]
+        known = self.head.get()
+        old = Head(*known) if known else Head()
+        done = judged(old, target, us, event, final, self.idle_us)
+        head = done.head
+        own = done.own[-self.keep:]
+        if done.ended:
+            kept = [(int(event[k]), int(us[k]), marks[k]) for k in own]
+            if done.stored and old.held and len(kept) < self.keep:
+                kept = [tuple(f) for f in self.frames.get()][len(kept) - self.keep:] + kept
+        if head.terminal is not None or not done.stored:
+            if old.held:
+                self.frames.clear()
+            head = replace(head, held=0)
+        if head.terminal is None and len(own):
+            new = [(int(event[k]), int(us[k]), None if marks[k] is None else list(map(float, marks[k]))) for k in own]
+            if head.held + len(new) > 2 * self.keep:
+                new = ([tuple(f) for f in self.frames.get()] + new)[-self.keep:]
+                self.frames.put(new)
+                head = replace(head, held=len(new))
+            else:
+                self.frames.appendList(new)
+                head = replace(head, held=head.held + len(new))
+        if self.timers and head.timer_ms is None and head.target is not None:
+            head = replace(head, timer_ms=self.due_ms(head))
+            self.handle.registerTimer(head.timer_ms)
+        if head != old:
+            self.head.update(head.row())
+        away = np.flatnonzero(done.kinds != "")
+        if len(away) or done.expired or done.ended:
+            yield self.output(key[0], done, away, target, us, event, kept if done.ended else [])
+
+    def output(self, name, done: Judged, away, target, us, event, kept) -> pd.DataFrame:
+        a, e, f = len(away), len(done.expired), len(kept)
+        return pd.DataFrame({
+            "attempt_id": name,
+            "kind": [*done.kinds[away], *["expired"] * e, *["frame"] * f],
+            "target": [*target[away], *(h.target for h in done.expired), *[done.head.target] * f],
+            "event_id": [*event[away], *(h.last_event for h in done.expired), *(k[0] for k in kept)],
+            "us": [*us[away], *(h.last_us for h in done.expired), *(k[1] for k in kept)],
+            "position": pd.array([None] * (a + e) + list(range(f)), "Int32"),
+            "frames": pd.array([None] * a + [h.seen for h in done.expired] + [f] * f, "Int32"),
+            "landmarks": [*[None] * (a + e), *(k[2] for k in kept)]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Forget an attempt that went quiet; nothing is emitted for it."""
-        head = self.head.get() if self.head.exists() else None
-        if head and head[2] is None:
-            self.frames.clear()
-            self.head.clear()
-        return iter(())
+        """Closes a session that stayed idle, forgets an ended attempt; otherwise waits on."""
+        known = self.head.get()
+        if not known:
+            return
+        head, now = Head(*known), expiredTimerInfo.getExpiryTimeInMs()
+        if now < self.due_ms(head):
+            head = replace(head, timer_ms=self.due_ms(head))
+            self.handle.registerTimer(head.timer_ms)
+            self.head.update(head.row())
+            return
+        self.frames.clear()
+        self.head.clear()
+        if head.terminal is None:
+            none = np.zeros(0, int)
+            yield self.output(key[0], Judged(head, np.zeros(0, object), [head], none, False, False), none, none, none, none, [])
 
     def close(self) -> None:
         pass
@@ -101,12 +193,14 @@ def admit(frames: DataFrame, targets: list[str] | None = None) -> tuple[DataFram
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def attempts(frames: DataFrame, *, keep: int = FRAMES_KEPT,
-             idle_seconds: float = IDLE_SECONDS, timers: bool = True) -> DataFrame:
-    """Stream (attempt_id, target, ts, event_id, final, landmarks) to ``OUTPUT`` rows.
+def attempts(frames: DataFrame, *, keep: int = FRAMES_KEPT, idle_seconds: float = IDLE_SECONDS, timers: bool = True,
+             delay: str = "10 seconds", retain_seconds: float = RETAIN_SECONDS) -> DataFrame:
+    """Stream (attempt_id, target, ts, event_id, final, landmarks) to (attempt_id, kind, target, event_id, ts,
+    position, frames, landmarks) rows.
 
-    Timers free the state of quiet attempts in a running stream. Leave them out of a
-    run that ends with the available data: processing-time timers keep it open.
+    With ``timers`` sessions go by event time with a watermark of ``delay``: idle ones are closed and ended
+    attempts forgotten after ``retain_seconds``. Frames later than the watermark are not used; ``late_rows``
+    counts them. Without timers idleness shows when the next frame arrives, and nothing is ever late.
     """
     rows = frames.select(
         F.col("attempt_id").cast("string").alias("attempt_id"), "target",
@@ -114,6 +208,26 @@ def attempts(frames: DataFrame, *, keep: int = FRAMES_KEPT,
         F.coalesce("final", F.lit(False)).alias("final"),
         (F.col("landmarks") if "landmarks" in frames.columns
          else F.lit(None)).cast("array<double>").alias("landmarks"))
-    return rows.groupBy("attempt_id").transformWithStateInPandas(
-        statefulProcessor=AttemptProcessor(keep, idle_seconds, timers), outputStructType=OUTPUT,
-        outputMode="append", timeMode="processingTime" if timers else "none")
+    if timers:
+        rows = rows.withWatermark("ts", delay)
+    folded = rows.withColumn("us", F.unix_micros("ts")).groupBy("attempt_id").transformWithStateInPandas(
+        statefulProcessor=AttemptProcessor(keep, idle_seconds, timers, retain_seconds), outputStructType=OUTPUT,
+        outputMode="append", timeMode="eventTime" if timers else "none")
+    return folded.withColumn("ts", F.timestamp_micros("us")).select(
+        "attempt_id", "kind", "target", "event_id", "ts", "position", "frames", "landmarks")
+
+
+def _state(query: StreamingQuery, name: str) -> list[int]:
+    """A figure of the stateful step after every reported micro-batch."""
+    reports = (json.loads(p.json if isinstance(p.json, str) else p.json()) if not isinstance(p, dict) else p for p in query.recentProgress)
+    return [r["stateOperators"][0][name] for r in reports if r.get("stateOperators")]
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Frames dropped as later than the watermark, by the query's recent progress."""
+    return sum(_state(query, "numRowsDroppedByWatermark"))
+
+
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows of state after every recent micro-batch."""
+    return _state(query, "numRowsTotal")

@@ -80,6 +80,22 @@ def _str2_sql(seconds: int) -> str:
             "SELECT attempt_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS frames FROM s GROUP BY 1, 2")
 
 
+def str2_expired_stream(spark, folder):
+    """Sessions that the running stream closes by event time: idle for over 120 s when the watermark stands
+    at the newest event."""
+    frames = stream(spark, folder).select("attempt_id", "ts", "event_id", F.lit("A").alias("target"), F.lit(False).alias("final"))
+    out = drain(attempts(frames, delay="0 seconds"), "expired")
+    return out.where("kind = 'expired'").select(F.col("attempt_id").cast("long").alias("attempt_id"), "event_id", "frames")
+
+
+STR2_EXPIRED_SQL = (
+    f"WITH {_F}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 120000000 THEN 1 ELSE 0 END AS o FROM f "
+    "WINDOW w AS (PARTITION BY attempt_id ORDER BY ts, event_id)), s AS (SELECT *, sum(o) OVER (PARTITION BY attempt_id ORDER BY ts, event_id) AS n FROM g), "
+    "c AS (SELECT attempt_id, n, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ended, CAST(count(*) AS INTEGER) AS frames FROM s GROUP BY 1, 2) "
+    "SELECT attempt_id, event_id, frames FROM c "
+    "WHERE (epoch_us(ended) + 120000000) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM f)")
+
+
 def str7_stream(spark, folder):
     """Finished attempts scored batch by batch against a library of the attempts themselves."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("double")
@@ -218,6 +234,7 @@ QUERIES = {
     "str1_attempt_batch": (str1_batch, STR1_SQL),
     "str2_sessions": (str2, _str2_sql(86_400)),
     "str2_sessions_default": (str2_default, _str2_sql(120)),
+    "str2_expired_stream": (str2_expired_stream, STR2_EXPIRED_SQL),
     "str3_turned_away_stream": (str3_stream, STR3_SQL),
     "str3_str4_outcomes": (str4_batch, STR4_SQL),
     "str7_score_on_close_stream": (str7_stream, None),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from motionmatch.operators.sequence import prepare
 from motionmatch.operators.sessions import outcomes, thin, used_frames
 from motionmatch.schemas import LANDMARKS
 from motionmatch.sources.sinks import append_attempts
-from motionmatch.streaming.attempts import admit, attempts
+from motionmatch.streaming.attempts import Head, admit, attempts, judged, late_rows, state_rows
 from motionmatch.streaming.history import apply_feedback, on_finished, recent
 from motionmatch.streaming.runs import drain, read_files
 
@@ -144,3 +145,63 @@ def test_clean_picture(spark):
     got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1).select(
         first_clean_image(F.col("h"), r"""https://pics\.example/photo-[^"'\\<>\s]+""", suffix="?w=900")).collect()]
     assert got == [f"{link}2?w=900", None, f"{link}7?w=900", None]
+
+
+def plain_kinds(frames, idle):
+    """Row by row: (kind or '', event) of every frame, closed sessions, kept frames."""
+    target = last = terminal = None
+    kinds, expired, kept, seen = [], [], [], 0
+    for t, us, event, final in frames:
+        if terminal is None and last is not None and us - last > idle:
+            expired.append((target, seen))
+            target, kept, seen = None, [], 0
+        target = target or t
+        if t != target:
+            kinds.append("conflict")
+        elif terminal is not None:
+            kinds.append("repeat" if final else "late")
+        else:
+            kinds.append("")
+            last, seen, kept = us, seen + 1, [*kept, event]
+            terminal = event if final else None
+    return kinds, expired, kept, terminal
+
+
+def test_frames_are_judged_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        n = int(rng.integers(1, 60))
+        us = np.cumsum(rng.choice([0, 1, 5, 11, 40], n))
+        target = rng.choice(["A", "B"], n, p=[0.8, 0.2]).astype(object)
+        event, final = np.arange(n), rng.random(n) < 0.04
+        want = plain_kinds(list(zip(target, us.tolist(), event.tolist(), final)), 10)
+        head, kinds, expired, kept = Head(), [], [], []
+        for part in np.array_split(np.arange(n), int(rng.integers(1, 5))):           # micro-batches
+            if len(part):
+                got = judged(head, target[part], us[part], event[part], final[part], 10)
+                kinds += list(got.kinds)
+                expired += [(h.target, h.seen) for h in got.expired]
+                if head.terminal is None:
+                    kept = (kept if got.stored else []) + event[part][got.own].tolist()
+                head = got.head
+        assert (kinds, expired, kept, head.terminal) == want
+
+
+def test_state_is_freed_and_late_frames_are_counted(spark, tmp_path):
+    """Idle sessions close, ended attempts are forgotten, and what comes after the watermark is counted."""
+    first = [frame(f"a{k}", "HELLO", 0, k) for k in range(20)] + [frame("done", "YES", 0, 50), frame("done", "YES", 1, 51, True)]
+    second = [frame("b", "HELLO", 1000, 60)]
+    third = [frame("b", "HELLO", 1001, 61, True)]
+    fourth = [frame("old", "NO", 5, 70), frame("done", "YES", 1002, 62)]
+    last = [frame("c", "HELLO", 9000, 80)]
+    folded = attempts(stream(spark, tmp_path, first, second, third, fourth, last), delay="0 seconds", retain_seconds=600)
+    query = (folded.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+             .trigger(availableNow=True).start(str(tmp_path / "out")))
+    assert query.awaitTermination(240)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    expired = {r["attempt_id"]: r["frames"] for r in out if r["kind"] == "expired"}
+    assert expired == {**{f"a{k}": 1 for k in range(20)}, "done": 1}     # forgotten after 600 s, so its late frame began a new session
+    assert sorted(r["event_id"] for r in out if r["kind"] == "frame") == [50, 51, 60, 61]
+    assert late_rows(query) == 1
+    rows = state_rows(query)
+    assert max(rows) > 20 and rows[-1] <= 4                              # of c, and its timer
