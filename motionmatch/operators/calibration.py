@@ -84,6 +84,36 @@ def probabilities(model: PipelineModel, stats: dict, rows: DataFrame,
         *[F.col(c) for c in rows.columns], name)
 
 
+def frozen_probability(metadata: dict) -> Column:
+    """Probability by the weights of frozen metadata, as one expression; equal to the model's own."""
+    total = F.lit(float(metadata["intercept"]))
+    for name, weight in zip(metadata["feature_order"], metadata["coefficients"]):
+        mean, scale = metadata["scaling"][name]
+        total = total + F.lit(float(weight)) * ((F.col(name) - mean) / scale)
+    return 1 / (1 + F.exp(-total))
+
+
+def predict_frozen(metadata: dict, rows: DataFrame) -> DataFrame:
+    """``predict_match`` from frozen metadata, without loading a model."""
+    p = F.col("match_probability")
+    return rows.withColumn("match_probability", frozen_probability(metadata)).withColumns({
+        "score": match_score(p), "accepted": p >= metadata["pass_threshold"],
+        "model_version": F.lit(metadata["model_version"])})
+
+
+def gradient(rows: DataFrame, metadata: dict, label: str = "expected_pass") -> DataFrame:
+    """(feature, gradient) of the penalised mean loss at frozen weights, in one pass over the training rows;
+    zeros where the fit has converged. The intercept has no penalty."""
+    error = frozen_probability(metadata) - F.col(label).cast("double")
+    names = metadata["feature_order"]
+    sums = [F.avg(error * (F.col(f) - metadata["scaling"][f][0]) / metadata["scaling"][f][1]).alias(f) for f in names]
+    once = rows.agg(F.count("*").alias("_n"), F.avg(error).alias("_intercept"), *sums)
+    parts = [F.struct(F.lit("intercept").alias("feature"), F.col("_intercept").alias("gradient"))]
+    parts += [F.struct(F.lit(f).alias("feature"), (F.col(f) + F.lit(float(w)) / F.col("_n")).alias("gradient"))
+              for f, w in zip(names, metadata["coefficients"])]
+    return once.select(F.explode(F.array(*parts)).alias("g")).select("g.*")
+
+
 def predict_match(model: PipelineModel, stats: dict, threshold: float, rows: DataFrame,
                   model_version: str) -> DataFrame:
     """Probability, score and decision; apply the quality gate to ``rows`` first."""

@@ -16,9 +16,12 @@ from motionmatch.schemas import SAMPLE_TYPES, SEMANTIC_TYPES
 
 
 def is_truth_labelled() -> Column:
-    """Reviewed and labelled manifest text rows take part in an evaluation."""
-    return (F.col("variant_status") != "unreviewed") & (
-        stripped(F.coalesce("expected_pass", F.lit(""))) != "")
+    """Reviewed and labelled manifest text rows take part in an evaluation; a row without a status counts as reviewed."""
+    return ~unreviewed() & (stripped(F.coalesce("expected_pass", F.lit(""))) != "")
+
+
+def unreviewed() -> Column:
+    return stripped(F.coalesce("variant_status", F.lit(""))) == "unreviewed"
 
 
 def split_truth(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +30,7 @@ def split_truth(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = manifest.agg(
         F.count("*").alias("manifest_row_count"),
         F.count_if(~labelled).alias("excluded_count"),
-        F.count_if(~labelled & (F.col("variant_status") == "unreviewed")).alias("unreviewed_count"))
+        F.count_if(~labelled & unreviewed()).alias("unreviewed_count"))
     return manifest.where(labelled), counts
 
 

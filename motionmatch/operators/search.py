@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,25 @@ def _matrix(column, dtype) -> np.ndarray:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
+    if column.null_count or (pc.count_distinct(pc.list_value_length(column)).as_py() or 1) > 1:
+        raise ValueError("vectors of one search have one dimension")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     return flat.reshape(len(column), -1)
 
 
+def _norms(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    if not np.isfinite(norms).all():
+        raise ValueError("a vector holds a value that is not finite")
+    return norms
+
+
 def _block(table, dtype) -> dict[str, np.ndarray]:
     """Library rows ascending by id, vectors divided by their norms."""
     ids = table.column("ref_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     matrix = _matrix(table.column("vector"), dtype)[order]
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    norms = _norms(matrix)
     text = {c: np.asarray(table.column(c).to_pylist(), dtype=object)[order]
             for c in ("word", "word_key", "slug_key")}
     return {"ids": ids[order], **text, "matrix": matrix / np.maximum(norms, 1e-8)}
@@ -54,7 +64,9 @@ def _maxima(queries, block: dict, dtype, skip_same_id: bool):
     for start in range(0, queries.num_rows, step):
         part = queries.slice(start, step)
         matrix = _matrix(part.column("vector"), dtype)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        if matrix.shape[1] != block["matrix"].shape[1]:
+            raise ValueError(f"a query has {matrix.shape[1]} components, the library {block['matrix'].shape[1]}")
+        norms = _norms(matrix)
         matrix = matrix / np.where(norms > 1e-8, norms, 1.0)
         scores = np.clip(matrix @ block["matrix"].T, -1.0, 1.0)
         wanted = np.asarray(part.column("target_key").to_pylist(), dtype=object)
@@ -105,7 +117,12 @@ class LoadedLibrary:
                  broadcast_bytes: int = BROADCAST_BYTES):
         self.dtype = {"double": np.float64, "single": np.float32}[precision]
         self.refs = _library(library)
-        size = self.refs.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+        size = self.refs.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"),
+                             F.min(F.coalesce(F.size("vector"), F.lit(0))).alias("least")).first()
+        if not size["n"]:
+            raise ValueError("the library is empty")
+        if size["least"] != size["d"] or not size["d"]:
+            raise ValueError("library vectors have one dimension of at least 1")
         self.row_bytes = (size["d"] or 1) * np.dtype(self.dtype).itemsize
         self.total_bytes = size["n"] * self.row_bytes
         self.shared = None
@@ -123,6 +140,7 @@ def search(queries: DataFrame, library: DataFrame | LoadedLibrary, *, skip_same_
     ``library``: ref_id, word, optional slug, embedding. With ``skip_same_id`` a query
     is not compared with the library row of its own id. A target that the library
     lacks gives a null similarity; see ``unknown_targets``. Ties go to the lowest id.
+    An empty library, vectors of different dimensions and values that are not finite are errors.
     """
     if not isinstance(library, LoadedLibrary):
         library = LoadedLibrary(library, precision, broadcast_bytes)

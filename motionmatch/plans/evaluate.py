@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionmatch.functions.text import stripped
 from motionmatch.operators.evaluation import (
     confusions, group_summary, per_word, primary, semantic_auroc, split_truth, stability,
 )
@@ -27,7 +28,7 @@ def evaluate(manifest: DataFrame, points: DataFrame, library: DataFrame, vocab:
     if strict:
         require_clean(manifest_issues(manifest, vocab, source))
     included, _ = split_truth(manifest)
-    path = F.trim("keypoints_path")
+    path = stripped("keypoints_path")
     recordings = included.withColumn(
         "sequence_id", resolve_path(path, folder) if folder else path
     ).withColumn("recording_id", F.col("sample_id")).drop("row_number")
@@ -38,7 +39,7 @@ def evaluate(manifest: DataFrame, points: DataFrame, library: DataFrame, vocab:
                                     "sequence_id", "left_semi"))
     results = match_recordings(prepared, recordings, library, vocab, **options)
     results = results.withColumns({
-        "expected_pass": F.trim("expected_pass") == "true",
+        "expected_pass": stripped("expected_pass") == "true",
         "quality_reasons": F.array_join("reasons", "|"),
         "trajectory_distance": F.lit(None).cast("double"),
         **{t: F.lit(None).cast("double") for t in TIMINGS}})

@@ -43,3 +43,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     fs, place = _at(spark, path)
     fs.delete(place, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder to a new place; what stood there is removed first."""
+    fs, place = _at(spark, target)
+    fs.delete(place, True)
+    fs.mkdirs(place.getParent())
+    _, given = _at(spark, source)
+    if not fs.rename(given, place):
+        raise OSError(f"could not rename {source}")

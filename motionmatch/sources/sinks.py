@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionmatch.operators.manifest import manifest_order
 from motionmatch.schemas import MANIFEST_COLUMNS, RESULT_COLUMNS
+from motionmatch.sources.files import move, remove
 
 
 # Text goes out and comes back as it is.
@@ -33,6 +36,24 @@ def write_small(report: DataFrame, path: str, kind: str = "json") -> None:
     report.coalesce(1).write.mode("overwrite").format(kind).save(path)
 
 
+def write_calibration(spark: SparkSession, folder: str, metadata: dict, comparison: DataFrame, predictions: DataFrame) -> None:
+    """Metadata, metrics, comparison and predictions of a calibration, all or none of them.
+
+    Everything is written beside its place first; the folder is renamed last. Reports are ordered by their
+    keys, so a rerun writes the same rows in the same files; an older report of that name is replaced.
+    """
+    folder = folder.rstrip("/")
+    stage = f"{folder}.stage"
+    remove(spark, stage)
+    rows = comparison.orderBy("decider", "split")
+    write_small(rows, f"{stage}/comparison")
+    write_small(rows.where("decider = 'calibrated'").drop("decider"), f"{stage}/metrics")
+    text = json.dumps(metadata, sort_keys=True, allow_nan=False)
+    write_small(spark.createDataFrame([(text,)], "value string"), f"{stage}/metadata", "text")
+    predictions.orderBy("split", "sample_id").write.parquet(f"{stage}/predictions")
+    move(spark, stage, folder)
+
+
 def append_attempts(spark: SparkSession, rows: DataFrame, path: str,
                     key: str = "attempt_id") -> None:
     """Append attempts the table does not hold yet; a stored attempt never changes."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionmatch.functions.text import stripped
+
 # The deployed words, in report order.
 WORDS = (
     "HELLO", "PLEASE", "THANKYOU", "YES", "NO", "APPLE", "BOOK", "CAR", "CAT", "BIRD",
@@ -28,7 +30,7 @@ def scan_vocabulary(spark: SparkSession, words=WORDS, lookup=None) -> DataFrame:
 
 def vocabulary_issues(vocab: DataFrame, expected_count: int | None = None) -> DataFrame:
     """Contract breaches as (code, subject); empty when the vocabulary is sound."""
-    blank = F.trim(F.coalesce("lookup_word", F.lit(""))) == ""
+    blank = stripped(F.coalesce("lookup_word", F.lit(""))) == ""
     target = F.coalesce("target_word", F.lit(""))
     per_row = vocab.select(F.explode(F.array_compact(F.array(
         F.when((target == "") | (target != F.upper(target)), F.struct(

@@ -181,6 +181,22 @@ def fn18_files(spark, folder):
         F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.length("actual_digest").alias("digits"))
 
 
+def fn18_stored_files(spark, folder):
+    """A file for every supplier, digested where it lies: the short ones whole, the others in chunks of 7 bytes."""
+    path = scratch_path(spark, "suppliers")
+    table(spark, folder, "supplier").select("s_suppkey", "s_name").repartition(8, "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    files = file_digests(spark, path, whole_bytes=19, chunk_bytes=7).where(F.col("path").rlike("[.]txt$"))
+    key = F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("long")
+    expected = table(spark, folder, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.sha2("s_name", 256)).otherwise(
+        F.sha2(F.concat("s_name", F.lit("\n")), 256)).alias("expected_digest"))
+    actual = files.select(key.alias("s_suppkey"), "actual_digest")
+    return digest_status(expected, actual, "s_suppkey").select("s_suppkey", "actual_digest", "digest_status")
+
+
+FN18_STORED_SQL = ("SELECT s_suppkey, sha256(s_name || chr(10)) AS actual_digest, CASE WHEN s_suppkey % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS digest_status "
+                   "FROM supplier")
+
+
 def fn19(spark, folder):
     """Orders as archives whose members are line numbers; some lines went missing."""
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
@@ -272,6 +288,7 @@ QUERIES = {
     "fn7_build_url": (fn7, FN7_SQL),
     "fn18_digest_status": (fn18, FN18_SQL),
     "fn18_file_digests": (fn18_files, None),
+    "fn18_stored_files": (fn18_stored_files, FN18_STORED_SQL),
     "fn19_inventory_status": (fn19, FN19_SQL),
     "fn20_catalogue": (fn20, FN20_SQL),
     "src4_list_media": (src4, SRC4_SQL),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionmatch.operators.embedding import embed
-from motionmatch.operators.keypoint_rules import valid_points
 from motionmatch.operators.quality import gate, measure
 from motionmatch.operators.sequence import (
     assemble_frame, centres, densify, explode_frame, frame_index, normalise, prepare, resample, subsample,
@@ -221,7 +220,7 @@ def src1(spark, folder):
     rows.repartition("sequence_id", F.pmod("frame", F.lit(16))).write.partitionBy("sequence_id").option("header", True).csv(path)
     user = F.regexp_extract("sequence_id", "sequence_id=([0-9]+)/", 1).cast("long")
     found = scan_keypoints(spark, f"{path}/*/*.csv")
-    return valid_points(found).select(user.alias("sequence_id"), "frame", "landmark", "x", "y", "z")
+    return found.select(user.alias("sequence_id"), "frame", "landmark", "x", "y", "z")
 
 
 SRC1_SQL = f"WITH {POINTS_SQL} SELECT sequence_id, CAST(frame AS INTEGER) AS frame, landmark, x, y, z FROM points"

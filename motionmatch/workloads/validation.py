@@ -228,8 +228,9 @@ def sink1(spark, folder):
     """Manifest written in order and scanned back strictly (SRC-2)."""
     path = scratch_path(spark, "manifest")
     write_manifest(MANIFEST.select(spark, folder), path)
-    return strict_csv(spark, path, MANIFEST_COLUMNS).where(F.col(CORRUPT).isNull()).select(
-        *[F.coalesce(c, F.lit("")).alias(c) for c in MANIFEST_COLUMNS])
+    read = strict_csv(spark, path, MANIFEST_COLUMNS)
+    sound = F.when(F.col(CORRUPT).isNull(), True).otherwise(F.raise_error(F.lit("a written row came back damaged")).cast("boolean"))
+    return read.where(sound).select(*[F.coalesce(c, F.lit("")).alias(c) for c in MANIFEST_COLUMNS])
 
 
 SINK1_SQL = f"WITH m AS ({MANIFEST.text}) SELECT {', '.join(MANIFEST_COLUMNS)} FROM m"
