@@ -1,9 +1,14 @@
 """A corpus pipeline over ``documents``: quality, near duplicates, test items, secrets, encoding.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; each is written as Parquet and read
-back as the next one's docs. All but the last return the columns of documents. Rows with null or
-empty text are low quality as the machine scores them, and are otherwise never grouped, matched or
-changed.
+back as the next one's docs. All but the last return the columns of documents, and any others.
+
+Cases: rows with null or empty text go by their score as any other, and are otherwise never grouped,
+matched or changed; the last stage gives them no pieces. Null ids, sources and languages are carried.
+Texts of any length are one row's work in every stage. Of repeated rows and of ties within a group of
+near duplicates the row of least id, then least text key, stays. Extra columns, also with names that
+stages use inside or that differ in case only from these, go through unchanged. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -344,11 +344,12 @@ def jaccard_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One document of each group with all its columns: the least id (null last), then the least text key."""
     name = "_row"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):           # column names differ by more than case
         name += "_"
     rows = settled(jaccard_groups(docs, join).select("doc_id", "row", "group"), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    best = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(rank).alias("best"))
+    # Written first: a join fed by an aggregate on its key could not split a group of a third of all rows.
+    best = settled(rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(rank).alias("best")), "best")
     lost = rows.join(best, "group").where(~F.col("row").eqNullSafe(F.col("best.row"))).select(
         F.col("row").alias(name)).distinct()
     twice = rows.where(F.col("group").isNotNull()).groupBy(F.col("row").alias(name)).count().where("count > 1").select(name)

@@ -2,7 +2,7 @@
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use inside.
-CLASHING = ("row", "digest", "key", "spans", "kept", "n", "label", "_row", "band", "score", "term", "size", "ids", "lang_pred")
+CLASHING = ("row", "digest", "key", "spans", "kept", "n", "label", "_ROW", "band", "score", "term", "size", "ids", "lang_pred")
 SAME = "one two three four five six seven eight nine ten eleven twelve mail a.b@example.com or call +1 (222) 555-0100"
 LONG = " ".join(f"word{k % 977} und so weiter" for k in range(30_000))
 EDGE = [
