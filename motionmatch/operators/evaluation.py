@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motionmatch.functions.scoring import safe_rate
 from motionmatch.functions.text import stripped
 from motionmatch.operators.ordered import OrderedRows
-from motionmatch.operators.percentiles import exact_percentile
+from motionmatch.operators.percentiles import exact_percentiles
 from motionmatch.operators.sizing import SPREAD_BYTES
 from motionmatch.schemas import SAMPLE_TYPES, SEMANTIC_TYPES
 
@@ -143,18 +143,14 @@ def semantic_auroc(results: DataFrame, **sizes) -> DataFrame:
 
 
 def latency_report(rows: DataFrame, columns: dict[str, Column], *,
-                   fractions: Sequence[float] = (0.5, 0.95),
-                   spread_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Exact percentiles of each named timing as (metric, p50, p95, ...).
+                   fractions: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Exact percentiles of each named timing as (metric, p50, p95, ...), all from one reading.
 
-    A null timing is left out, so a stage that did not run does not count.
+    A null timing is left out, so a stage that did not run does not count; a timing that is
+    always null has no row.
     """
     timings = F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
                         for name, value in columns.items()])
     long = rows.select(F.explode(timings).alias("t")).select("t.*")
-    report = None
-    for fraction in fractions:
-        name = f"p{fraction * 100:g}"
-        one = exact_percentile(long, ["metric"], "value", fraction, name, spread_bytes=spread_bytes)
-        report = one if report is None else report.join(one, "metric")
+    report = exact_percentiles(long, ["metric"], "value", {f"p{f * 100:g}": f for f in fractions})
     return report.select("metric", *[F.bround(c, 6).alias(c) for c in report.columns[1:]])

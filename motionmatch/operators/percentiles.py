@@ -1,66 +1,74 @@
 """Exact percentiles per group without holding a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a
-mergeable sketch first brackets the wanted rank; rows outside the bracket are only
-counted, rows inside are counted per distinct value, and the rank is read off
-that short list. Linear interpolation, as in ``percentile``.
+``percentile`` keeps every distinct value of a group in one buffer. Here one mergeable sketch
+brackets all wanted ranks, values are counted before they are dealt, and one recount places
+them: values inside a bracket one by one, all others as whole stretches between brackets. The
+ranks are read off that short list. One plan for all sizes and any number of fractions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionmatch.operators.sizing import SPREAD_BYTES, is_small
+from motionmatch.operators.facts import with_facts
+
+# The sketch's rank error is at most 1/accuracy of the rows; brackets are wider by this factor.
+WIDTH = 4.0
 
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
-                     name: str, *, accuracy: int = 10_000,
-                     spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+                     name: str, *, accuracy: int = 10_000) -> DataFrame:
     """One row per key with the exact ``fraction`` percentile of ``value``."""
+    return exact_percentiles(df, keys, value, {name: fraction}, accuracy=accuracy)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float],
+                      *, accuracy: int = 10_000) -> DataFrame:
+    """One row per key with a column for each of ``fractions``; linear interpolation, as in ``percentile``.
+
+    Null values take no part; a key without values has no row. The list that one task puts in order
+    is at most about ``2 * WIDTH / accuracy`` of a key's rows for each fraction, and only distinct values.
+    """
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull())
-    if is_small(df, spread_bytes):
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(fraction)).alias(name))
-
-    # The sketch's rank error is at most n/accuracy, so three widths hold the rank.
-    slack = 3.0 / accuracy
-    low, high = max(fraction - slack, 0.0), min(fraction + slack, 1.0)
-    brackets = df.groupBy(*keys).agg(
-        F.percentile_approx(value, [low, high], accuracy).alias("_b"), F.count("*").alias("_n"))
-    brackets = brackets.select(
-        *keys, "_n",
-        (F.lit(float("-inf")) if low == 0.0 else F.col("_b")[0].cast("double")).alias("_low"),
-        (F.lit(float("inf")) if high == 1.0 else F.col("_b")[1].cast("double")).alias("_high"))
-    v = F.col(value).cast("double")
-    binned = df.join(brackets, keys).select(
-        *keys, "_n",
-        F.when(v < F.col("_low"), F.lit(0)).when(v > F.col("_high"), F.lit(2))
-        .otherwise(F.lit(1)).alias("_side"), v.alias("_v"))
-    counted = binned.groupBy(
-        *keys, "_n", "_side",
-        F.when(F.col("_side") == 1, F.col("_v")).alias("_inside"),
-    ).agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    counted = counted.withColumn(
-        "_at", F.when(F.col("_side") == 0, F.col("_max"))
-        .when(F.col("_side") == 2, F.col("_min")).otherwise(F.col("_inside")))
-    order = Window.partitionBy(*keys).orderBy("_side", "_at")
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    position = (F.col("_n") - 1) * F.lit(fraction)
-    placed = counted.select(*keys, "_at", position.alias("_pos"),
-                            (upto - F.col("_c")).alias("_from"), (upto - 1).alias("_to"), "_side")
-    # Outside the bracket only the two edge neighbours can be asked for.
-    def at(rank):
-        here = (F.when(F.col("_side") == 0, rank == F.col("_to"))
-                .when(F.col("_side") == 2, rank == F.col("_from"))
-                .otherwise((F.col("_from") <= rank) & (rank <= F.col("_to"))))
-        return F.max(F.when(here, F.col("_at")))
-
-    picked = placed.groupBy(*keys, "_pos").agg(
-        at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi"))
-    found = F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
-    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    return picked.select(*keys, F.when(found, between).otherwise(
-        F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")).alias(name))
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranks = {name: (max(f - WIDTH / accuracy, 0.0), min(f + WIDTH / accuracy, 1.0)) for name, f in fractions.items()}
+    wanted = [rank for pair in ranks.values() for rank in pair]
+    sketch = values.groupBy(*keys).agg(
+        F.percentile_approx("_v", wanted, accuracy).alias("_b"), F.count("*").alias("_n"))
+    # Brackets that reach an end of the data have no bound there.
+    bounds = F.array(*[F.lit(float("-inf")) if rank == 0.0 else F.lit(float("inf")) if rank == 1.0
+                       else F.col("_b")[i] for i, rank in enumerate(wanted)])
+    brackets = sketch.select(*keys, "_n", bounds.alias("_b"))
+
+    each = values.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    placed = with_facts(each, brackets, keys, ["_v"])
+    v, inside = F.col("_v"), F.lit(False)
+    for i in range(0, len(wanted), 2):
+        inside |= (v >= F.col("_b")[i]) & (v <= F.col("_b")[i + 1])
+    # Between two neighbours of one stretch lies no bound, hence no value of a bracket.
+    stretch = F.when(~inside, F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+    counted = placed.groupBy(*keys, "_n", stretch.alias("_stretch"), F.when(inside, v).alias("_inside")).agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_least")
+                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    listed = counted.select(*keys, "_n", "_least", "_most", (upto - F.col("_c")).alias("_from"), (upto - 1).alias("_to"))
+
+    def at(rank: Column) -> Column:
+        """The value at a 0-based rank; of a stretch only its ends are known."""
+        here = (F.when(F.col("_least") == F.col("_most"), rank.between(F.col("_from"), F.col("_to")))
+                .otherwise((rank == F.col("_from")) | (rank == F.col("_to"))))
+        return F.max(F.when(here, F.when(rank == F.col("_from"), F.col("_least")).otherwise(F.col("_most"))))
+
+    position = {name: (F.col("_n") - 1) * F.lit(float(f)) for name, f in fractions.items()}
+    picked = listed.groupBy(*keys, "_n").agg(*[
+        F.struct(at(F.floor(p)).alias("lo"), at(F.ceil(p)).alias("hi")).alias(f"_{name}") for name, p in position.items()])
+
+    def between(name: str) -> Column:
+        lo, hi, p = F.col(f"_{name}")["lo"], F.col(f"_{name}")["hi"], position[name]
+        return (F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("the sketch broke its error bound")).cast("double"))
+                .when(lo == hi, lo).otherwise(lo + (hi - lo) * (p - F.floor(p))))
+
+    return picked.select(*keys, *[between(name).alias(name) for name in fractions])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionmatch.operators.facts import with_facts
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.percentiles import exact_percentile
 from motionmatch.operators.sizing import SPREAD_BYTES
@@ -40,26 +41,28 @@ def densify(points: DataFrame, sequence: str = "sequence_id", frame: str = "fram
     return points.join(index, [sequence, frame])
 
 
-def centres(points: DataFrame, sequence: str = "sequence_id", *,
-            spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+def centres(points: DataFrame, sequence: str = "sequence_id") -> DataFrame:
     """Per sequence: centre of the visible points and 90th percentile distance."""
-    seen = points.where(visible())
+    seen = points.where(visible()).select(sequence, "x", "y")
     centre = seen.groupBy(sequence).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    away = seen.join(centre, sequence).select(sequence, F.sqrt(dx * dx + dy * dy).alias("_away"))
-    spread = exact_percentile(away, [sequence], "_away", 0.9, "_p90", spread_bytes=spread_bytes)
+    away = with_facts(seen, centre, [sequence], ["x", "y"]).select(sequence, F.sqrt(dx * dx + dy * dy).alias("_away"))
+    spread = exact_percentile(away, [sequence], "_away", 0.9, "_p90")
     scale = F.when(F.col("_p90") < 1e-6, F.lit(1.0)).otherwise(F.col("_p90"))
     return centre.join(spread, sequence).select(sequence, "cx", "cy", scale.alias("scale"))
 
 
-def normalise(points: DataFrame, sequence: str = "sequence_id", *,
-              spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+def _places(points: DataFrame) -> list[str]:
+    """Columns that tell the rows of a sequence apart, of those that are there."""
+    return [c for c in ("frame", "idx", "step", "landmark") if c in points.columns]
+
+
+def normalise(points: DataFrame, sequence: str = "sequence_id") -> DataFrame:
     """Centre and scale each sequence; unseen points become (0, 0, 0).
 
     A sequence without a visible point passes unchanged.
     """
-    stats = centres(points, sequence, spread_bytes=spread_bytes)
-    joined = points.join(stats, sequence, "left")
+    joined = with_facts(points, centres(points, sequence), [sequence], ["x", "y", "z", *_places(points)], how="left")
     kept = F.col("cx").isNull()
 
     def moved(axis: str, centre: Column) -> Column:
@@ -106,7 +109,7 @@ def prepare(points: DataFrame, sequence: str = "sequence_id", frame: str = "fram
             steps: int = STEPS, *, spread_bytes: int = SPREAD_BYTES) -> DataFrame:
     """Densify, normalise, resample. Feed the result to quality and embedding."""
     dense = densify(points, sequence, frame, spread_bytes=spread_bytes)
-    return resample(normalise(dense, sequence, spread_bytes=spread_bytes), sequence, steps)
+    return resample(normalise(dense, sequence), sequence, steps)
 
 
 def velocity(prepared: DataFrame, sequence: str = "sequence_id", steps: int = STEPS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionmatch.operators.facts import with_facts
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.sizing import SPREAD_BYTES
 
@@ -67,7 +68,7 @@ def _marked(events: DataFrame, key: str, ts: str, event: str, target: str, final
     first = events.groupBy(key).agg(F.min_by(target, order).alias("first_target"))
     ends = events.where(F.col(final)).groupBy(key, target).agg(F.min(order).alias("end"))
     marks = first.join(ends.withColumnRenamed(target, "first_target"), [key, "first_target"], "left")
-    return events.join(marks, key)
+    return with_facts(events.where(F.col(key).isNotNull()), marks, [key], [ts, event])
 
 
 def outcomes(events: DataFrame, key: str = "attempt_id", ts: str = "ts", event: str = "event_id",
@@ -113,7 +114,7 @@ def thin(events: DataFrame, key: str = "attempt_id", ts: str = "ts", event: str
     over = since >= duration_millis * 1000
     slot = F.when(over, F.lit(-1).cast("long")).otherwise(
         F.expr("0L") + F.floor(since / (interval_millis * 1000)))
-    slotted = events.join(started, key).withColumn("slot", slot)
+    slotted = with_facts(events.where(F.col(key).isNotNull()), started, [key], [ts, event]).withColumn("slot", slot)
     picked = slotted.groupBy(key, "slot").agg(F.min(order).alias("_p"))
     return picked.select(key, F.col(f"_p.{ts}").alias(ts), F.col(f"_p.{event}").alias(event),
                          (F.col("slot") < 0).alias("final"))

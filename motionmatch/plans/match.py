@@ -60,9 +60,7 @@ class Prepared:
         self.steps, self.hands, self.landmarks = steps, hand_landmarks, landmarks
         index = frame_index(points, spread_bytes=spread_bytes)
         dense = points.join(index, ["sequence_id", "frame"])
-        self.rows = resample(
-            normalise(dense, spread_bytes=spread_bytes), steps=steps
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = resample(normalise(dense), steps=steps).persist(StorageLevel.MEMORY_AND_DISK)
         self.counts = index.groupBy("sequence_id").agg(F.max("frames").alias("frames"))
 
     def quality(self, rule=GATE_RULE) -> DataFrame:

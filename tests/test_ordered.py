@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from motionmatch.operators.calibration import select_threshold
 from motionmatch.operators.evaluation import auroc
+from motionmatch.operators.facts import with_facts
 from motionmatch.operators.ordered import OrderedRows
-from motionmatch.operators.percentiles import exact_percentile
+from motionmatch.operators.percentiles import exact_percentile, exact_percentiles
 from motionmatch.operators.sessions import sessions
 
 
+ADAPTIVE, BROADCAST = "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows belong to one key."""
@@ -46,11 +50,67 @@ def test_descending(skewed):
     same(run(1 << 40), run(0))
 
 
-@pytest.mark.parametrize("fraction", [0.0, 0.5, 0.9, 0.95, 1.0])
 @pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_percentile(skewed, fraction, accuracy):
-    plain = exact_percentile(skewed, ["k"], "v", fraction, "p", spread_bytes=1 << 40)
-    same(plain, exact_percentile(skewed, ["k"], "v", fraction, "p", spread_bytes=0, accuracy=accuracy))
+def test_percentiles(skewed, accuracy):
+    wanted = {"p0": 0.0, "p50": 0.5, "p51": 0.51, "p90": 0.9, "p95": 0.95, "p100": 1.0}
+    rows = skewed.unionByName(skewed.limit(40).withColumn("k", F.lit(None).cast("string")))
+    plain = rows.groupBy("k").agg(*[F.percentile("v", F.lit(f)).alias(n) for n, f in wanted.items()])
+    same(plain, exact_percentiles(rows, ["k"], "v", wanted, accuracy=accuracy))
+    same(plain.select("k", "p90"), exact_percentile(rows, ["k"], "v", 0.9, "p90", accuracy=accuracy))
+
+
+# Ties of every kind, and orders that are bad for a sketch.
+ADVERSARIAL = {
+    "one value": "1.5D", "two values": "CASE WHEN id < 1000 THEN 1D ELSE 2D END", "rising": "CAST(id AS DOUBLE)",
+    "falling": "CAST(-id AS DOUBLE)", "zigzag": "CAST(CASE WHEN id % 2 = 0 THEN id ELSE -id END AS DOUBLE)",
+    "steep": "exp(id / 10)", "many ties": "CAST(id % 7 AS DOUBLE)", "outlier": "CASE WHEN id = 77 THEN 1e300 ELSE id % 1000 * 1D END",
+    "some null": "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 100 AS DOUBLE) END"}
+
+
+@pytest.mark.parametrize("partitions", [1, 23])
+def test_percentiles_of_adversarial_values(spark, partitions):
+    ids = spark.range(0, 2000, 1, partitions)
+    rows = None
+    for name, value in ADVERSARIAL.items():
+        some = ids.select(F.lit(name).alias("k"), F.expr(value).alias("v"))
+        rows = some if rows is None else rows.unionByName(some)
+    wanted = {f"p{i}": i / 20 for i in range(21)}
+    plain = rows.groupBy("k").agg(*[F.percentile("v", F.lit(f)).alias(n) for n, f in wanted.items()])
+    def near(df):
+        return {r["k"]: [r[n] for n in wanted] for r in df.collect()}
+    got, want = near(exact_percentiles(rows, ["k"], "v", wanted, accuracy=100)), near(plain)
+    assert set(got) == set(want) == set(ADVERSARIAL)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
+
+
+def test_no_percentile_of_nothing(spark):
+    none = spark.createDataFrame([("a", None)], "k string, v double")
+    assert exact_percentile(none, ["k"], "v", 0.5, "p").collect() == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_facts_reach_every_row(skewed, how):
+    facts = skewed.where("k <> 'k3'").groupBy("k").agg(F.sum("o").alias("total"))
+    plain = skewed.join(facts, "k", how).select(*skewed.columns, "total")
+    same(plain, with_facts(skewed, facts, ["k"], ["o"], how=how))
+
+
+def test_a_hot_key_is_dealt_over_tasks(spark, skewed):
+    before = {name: spark.conf.get(name) for name in (ADAPTIVE, BROADCAST)}
+    try:
+        spark.conf.set(ADAPTIVE, "false")
+        spark.conf.set(BROADCAST, "-1")
+        facts = skewed.groupBy("k").agg(F.sum("o").alias("total"))
+        joined = with_facts(skewed.repartition("k"), facts, ["k"], ["o"], salts=64)
+        tasks = joined.where("k = 'hot'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+        # the join is followed by a combining aggregate and an exchange of its own
+        plan = joined.groupBy("k").agg(F.max("total"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.5 * 2000
+    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.index("SortMergeJoin")
 
 
 def test_auroc_and_threshold(skewed):
