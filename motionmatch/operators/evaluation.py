@@ -151,6 +151,6 @@ def latency_report(rows: DataFrame, columns: dict[str, Column], *,
     """
     timings = F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
                         for name, value in columns.items()])
-    long = rows.select(F.explode(timings).alias("t")).select("t.*")
-    report = exact_percentiles(long, ["metric"], "value", {f"p{f * 100:g}": f for f in fractions})
+    long = rows.select(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]).alias("row"), F.explode(timings).alias("t")).select("row", "t.*")
+    report = exact_percentiles(long, ["metric"], "value", {f"p{f * 100:g}": f for f in fractions}, by=["row"])
     return report.select("metric", *[F.bround(c, 6).alias(c) for c in report.columns[1:]])

@@ -1,9 +1,9 @@
 """Exact percentiles per group without holding a group in one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here one mergeable sketch
-brackets all wanted ranks, values are counted before they are dealt, and one recount places
-them: values inside a bracket one by one, all others as whole stretches between brackets. The
-ranks are read off that short list. One plan for all sizes and any number of fractions.
+brackets all wanted ranks, and one recount places the values: those inside a bracket one by one,
+all others as whole stretches between brackets. The ranks are read off that short list. One plan
+for all sizes and any number of fractions.
 """
 
 from __future__ import annotations
@@ -20,20 +20,22 @@ WIDTH = 4.0
 
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
-                     name: str, *, accuracy: int = 10_000) -> DataFrame:
+                     name: str, **options) -> DataFrame:
     """One row per key with the exact ``fraction`` percentile of ``value``."""
-    return exact_percentiles(df, keys, value, {name: fraction}, accuracy=accuracy)
+    return exact_percentiles(df, keys, value, {name: fraction}, **options)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float],
-                      *, accuracy: int = 10_000) -> DataFrame:
+                      *, by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """One row per key with a column for each of ``fractions``; linear interpolation, as in ``percentile``.
 
-    Null values take no part; a key without values has no row. The list that one task puts in order
+    Null values take no part; a key without values has no row. ``by`` names columns that tell rows of one
+    key and value apart, so that a value which most rows share is dealt over tasks too. The list that one task puts in order
     is at most about ``2 * WIDTH / accuracy`` of a key's rows for each fraction, and only distinct values.
     """
     keys = list(keys)
-    values = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    values = df.select(*keys, F.col(value).cast("double").alias("_v"),
+                       F.xxhash64(value, *by).alias("_row")).where(F.col("_v").isNotNull())
     ranks = {name: (max(f - WIDTH / accuracy, 0.0), min(f + WIDTH / accuracy, 1.0)) for name, f in fractions.items()}
     wanted = [rank for pair in ranks.values() for rank in pair]
     sketch = values.groupBy(*keys).agg(
@@ -43,15 +45,15 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
                        else F.col("_b")[i] for i, rank in enumerate(wanted)])
     brackets = sketch.select(*keys, "_n", bounds.alias("_b"))
 
-    each = values.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    placed = with_facts(each, brackets, keys, ["_v"])
+    placed = with_facts(values, brackets, keys, ["_row"])
     v, inside = F.col("_v"), F.lit(False)
     for i in range(0, len(wanted), 2):
         inside |= (v >= F.col("_b")[i]) & (v <= F.col("_b")[i + 1])
     # Between two neighbours of one stretch lies no bound, hence no value of a bracket.
-    stretch = F.when(~inside, F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+    below = sum(((F.col("_b")[i] < v).cast("int") for i in range(len(wanted))), F.lit(0))
+    stretch = F.when(~inside, below)
     counted = placed.groupBy(*keys, "_n", stretch.alias("_stretch"), F.when(inside, v).alias("_inside")).agg(
-        F.sum("_c").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_least")
                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     listed = counted.select(*keys, "_n", "_least", "_most", (upto - F.col("_c")).alias("_from"), (upto - 1).alias("_to"))

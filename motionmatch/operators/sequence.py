@@ -41,28 +41,29 @@ def densify(points: DataFrame, sequence: str = "sequence_id", frame: str = "fram
     return points.join(index, [sequence, frame])
 
 
+def _places(points: DataFrame) -> list[str]:
+    """Columns that tell the rows of a sequence apart, of those that are there."""
+    return [c for c in ("frame", "idx", "step", "landmark") if c in points.columns]
+
+
 def centres(points: DataFrame, sequence: str = "sequence_id") -> DataFrame:
     """Per sequence: centre of the visible points and 90th percentile distance."""
-    seen = points.where(visible()).select(sequence, "x", "y")
+    seen = points.where(visible()).select(sequence, "x", "y", *_places(points))
     centre = seen.groupBy(sequence).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    away = with_facts(seen, centre, [sequence], ["x", "y"]).select(sequence, F.sqrt(dx * dx + dy * dy).alias("_away"))
-    spread = exact_percentile(away, [sequence], "_away", 0.9, "_p90")
+    apart = ["x", "y", *_places(points)]
+    away = with_facts(seen, centre, [sequence], apart).select(sequence, *apart, F.sqrt(dx * dx + dy * dy).alias("_away"))
+    spread = exact_percentile(away, [sequence], "_away", 0.9, "_p90", by=apart)
     scale = F.when(F.col("_p90") < 1e-6, F.lit(1.0)).otherwise(F.col("_p90"))
     return centre.join(spread, sequence).select(sequence, "cx", "cy", scale.alias("scale"))
 
 
-def _places(points: DataFrame) -> list[str]:
-    """Columns that tell the rows of a sequence apart, of those that are there."""
-    return [c for c in ("frame", "idx", "step", "landmark") if c in points.columns]
-
-
 def normalise(points: DataFrame, sequence: str = "sequence_id") -> DataFrame:
     """Centre and scale each sequence; unseen points become (0, 0, 0).
 
     A sequence without a visible point passes unchanged.
     """
-    joined = with_facts(points, centres(points, sequence), [sequence], ["x", "y", "z", *_places(points)], how="left")
+    joined = with_facts(points, centres(points, sequence), [sequence], ["x", "y", *_places(points)], how="left")
     kept = F.col("cx").isNull()
 
     def moved(axis: str, centre: Column) -> Column:

@@ -33,7 +33,8 @@ def write_result_csv(results: DataFrame, path: str) -> None:
 
 def write_small(report: DataFrame, path: str, kind: str = "json") -> None:
     """A report of bounded size as one file, in the order given."""
-    report.coalesce(1).write.mode("overwrite").format(kind).save(path)
+    text = CSV if kind == "csv" else {}
+    report.coalesce(1).write.mode("overwrite").options(**text).format(kind).save(path)
 
 
 def write_calibration(spark: SparkSession, folder: str, metadata: dict, comparison: DataFrame, predictions: DataFrame) -> None:

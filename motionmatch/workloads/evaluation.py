@@ -11,10 +11,11 @@ from motionmatch.operators.calibration import (
 )
 from motionmatch.operators.evaluation import (
     auroc, confusions, group_summary, latency_report, names, per_word, primary, semantic_auroc,
-    stability, zero_fill,
+    split_truth, stability, zero_fill,
 )
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.sequence import repeat_samples
+from motionmatch.plans.evaluate import summary, write_summary
 from motionmatch.plans.match import to_product_word
 from motionmatch.schemas import SAMPLE_TYPES
 from motionmatch.sources.sinks import write_small
@@ -345,6 +346,68 @@ def sink2(spark, folder):
     return spark.read.schema(report.schema).json(path)
 
 
+_STATUS = "CASE WHEN sample_id % 7 = 0 THEN 'unreviewed' ELSE 'target_variant' END"
+_LABEL = "CASE WHEN sample_id % 7 < 2 THEN '' WHEN sample_id % 3 = 0 THEN 'true' ELSE 'false' END"
+_REPEATS = 2
+_TOTAL_MS = "CAST((sample_id * (repeat_index + 3)) % 997 AS DOUBLE)"
+
+
+def labelled_results(spark, folder):
+    """(result rows of labelled samples with repeats and timings, counts of the manifest)."""
+    found = results(spark, folder).drop("repeat_index")
+    manifest = found.select("sample_id", F.expr(_STATUS).alias("variant_status"), F.expr(_LABEL).alias("expected_pass"))
+    included, counts = split_truth(manifest)
+    rows = repeat_samples(found.join(included.select("sample_id"), "sample_id", "left_semi"), _REPEATS)
+    rows = rows.withColumn("score_eval", F.col("score_eval") + F.col("repeat_index"))
+    total = F.expr(_TOTAL_MS)
+    return rows.withColumns({"total_ms": total, "similarity_ms": total * 0.5, "reference_search_ms": total * 0.25}), counts
+
+
+def read_summary(spark, path):
+    group = ", ".join(f"{t}: struct<status: string, sample_count: bigint, acceptance_rate: double>" for t in SAMPLE_TYPES)
+    times = ", ".join(f"{m}_{p}: double" for m in _TIMINGS for p in ("p50", "p95"))
+    schema = ("manifest_row_count bigint, evaluated_sample_count bigint, attempt_count bigint, "
+              "excluded struct<total_count: bigint, unreviewed_count: bigint>, "
+              f"groups struct<{group}>, semantic_auroc struct<value: double>, "
+              "score_stability struct<repeat_count: bigint, mean_score_stddev: double, max_score_stddev: double>, "
+              f"latency_ms struct<{times}>")
+    return spark.read.schema(schema).json(path)
+
+
+def sink2_summary(spark, folder):
+    """The evaluation's summary written and read back, one row."""
+    rows, counts = labelled_results(spark, folder)
+    table_path, path = scratch_path(spark, "results"), scratch_path(spark, "summary")
+    rows.write.parquet(table_path)
+    write_summary(spark, summary(spark.read.schema(rows.schema).parquet(table_path), counts), path)
+    found = read_summary(spark, path)
+    groups = [F.col(f"groups.{t}.{m}").alias(f"{t}_{m}") for t in SAMPLE_TYPES for m in ("sample_count", "acceptance_rate")]
+    return found.select(
+        "manifest_row_count", "evaluated_sample_count", "attempt_count", "excluded.*", *groups,
+        F.col("semantic_auroc.value").alias("auroc"), "score_stability.*", "latency_ms.*")
+
+
+SINK2_SUMMARY_SQL = (
+    f"WITH {RESULTS_SQL}, given AS (SELECT *, {_STATUS} AS status, {_LABEL} AS label FROM results), "
+    "kept AS (SELECT * FROM given WHERE status <> 'unreviewed' AND label <> ''), "
+    f"tries AS (SELECT *, {_TOTAL_MS} AS total_ms FROM (SELECT *, CAST(i AS BIGINT) AS repeat_index FROM kept CROSS JOIN range({_REPEATS}) r(i))), "
+    "each AS (SELECT sample_id, stddev_pop(score_eval + repeat_index) AS sd, count(*) AS n FROM tries GROUP BY sample_id), "
+    "pos AS (SELECT score_eval AS s FROM kept WHERE sample_type <> 'invalid' AND expected_pass), "
+    "neg AS (SELECT score_eval AS s FROM kept WHERE sample_type <> 'invalid' AND NOT expected_pass) SELECT "
+    "(SELECT count(*) FROM given) AS manifest_row_count, (SELECT count(*) FROM kept) AS evaluated_sample_count, "
+    "(SELECT count(*) FROM tries) AS attempt_count, (SELECT count(*) FROM given) - (SELECT count(*) FROM kept) AS total_count, "
+    "(SELECT count(*) FROM given WHERE status = 'unreviewed') AS unreviewed_count, "
+    + ", ".join(f"(SELECT count(*) FROM kept WHERE sample_type = '{t}') AS {t}_sample_count, (SELECT "
+                + rate_sql(f"count(*) FILTER (WHERE accepted AND sample_type = '{t}')", f"count(*) FILTER (WHERE sample_type = '{t}')")
+                + f" FROM kept) AS {t}_acceptance_rate" for t in SAMPLE_TYPES)
+    + ", (SELECT round_even(avg(CASE WHEN pos.s > neg.s THEN 1.0 WHEN pos.s = neg.s THEN 0.5 ELSE 0.0 END), 6) FROM pos, neg) AS auroc, "
+    "(SELECT max(n) FROM each) AS repeat_count, (SELECT round_even(avg(sd), 6) FROM each) AS mean_score_stddev, "
+    "(SELECT round_even(max(sd), 6) FROM each) AS max_score_stddev, "
+    + ", ".join(f"(SELECT round_even(quantile_cont(total_ms * {w}, {q / 100}), 6) FROM tries{where}) AS {m}_p{q}"
+                for m, w, where in (("total", 1, ""), ("similarity", 0.5, " WHERE quality_valid"),
+                                    ("reference_search", 0.25, " WHERE quality_valid")) for q in (50, 95)))
+
+
 QUERIES = {
     "agg1_group_summary": (agg1, AGG1_SQL),
     "agg2_per_word": (agg2, AGG2_SQL),
@@ -367,4 +430,5 @@ QUERIES = {
     "flt4_primary_rows": (flt4, FLT4_SQL),
     "srt2_result_order": (srt2, SRT2_SQL),
     "sink2_report": (sink2, AGG3_SQL),
+    "sink2_summary": (sink2_summary, SINK2_SUMMARY_SQL),
 }

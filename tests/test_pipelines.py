@@ -12,7 +12,7 @@ from motionmatch.operators.keypoint_rules import eligible, keypoint_issues, resu
 from motionmatch.operators.manifest import label_rows, manifest_issues, signer
 from motionmatch.plans.build_manifest import build_manifest
 from motionmatch.plans.calibrate import calibrate, load, read_eligible
-from motionmatch.plans.evaluate import evaluate, reports, write_evaluation
+from motionmatch.plans.evaluate import evaluate, reports, summary, write_evaluation
 from motionmatch.plans.match import Prepared
 from motionmatch.schemas import CALIBRATION_COLUMNS, KEYPOINT_COLUMNS, MANIFEST_COLUMNS, MANIFEST_SCHEMA, RESULT_COLUMNS
 from motionmatch.sources.scans import empty_files, list_media, scan_keypoints, scan_manifest
@@ -66,6 +66,26 @@ def test_reports_rerun_byte_for_byte(spark, evaluated, vocab, tmp_path):
     assert tuple(header.split(",")) == RESULT_COLUMNS
 
 
+def test_summary_is_written_with_the_reports(spark, evaluated, vocab, tmp_path):
+    manifest = spark.createDataFrame(manifest_rows(), "row_number long, " + MANIFEST_SCHEMA)
+    place = tmp_path / "report"
+    for _ in range(2):  # the second takes the place of the first
+        write_evaluation(spark, evaluated, vocab, str(place), split_truth(manifest)[1])
+    found = json.loads((place / "summary.json").read_text())
+    assert (found["manifest_row_count"], found["evaluated_sample_count"], found["attempt_count"]) == (6, 5, 10)
+    assert found["excluded"] == {"total_count": 1, "unreviewed_count": 1}
+    assert list(found["groups"]) == ["hard_negative", "invalid", "positive", "random_negative"]
+    assert found["groups"]["positive"]["acceptance_rate"] == found["semantic_auroc"]["value"] == 1.0
+    assert found["latency_ms"]["total_p50"] is None  # a batch has no time of a single attempt
+    timed = evaluated.withColumn("total_ms", F.lit(3.0) + F.col("repeat_index"))
+    assert summary(timed, split_truth(manifest)[1])["latency_ms"]["total_p50"] == 3.5
+    words = spark.read.option("header", True).csv(str(place / "per_word.csv")).collect()
+    assert len(words) == 30 and words[0]["word"] == "HELLO"
+    pairs = spark.read.option("header", True).csv(str(place / "confusions.csv")).collect()
+    assert [(r["target_word"], r["confused_with"], r["count"]) for r in pairs] == [("HELLO", "PLEASE", "1"), ("PLEASE", "HELLO", "1")]
+    assert not (tmp_path / "report.stage").exists()
+
+
 def test_missing_keypoints_are_an_error(spark, vocab):
     manifest = spark.createDataFrame(manifest_rows(), "row_number long, " + MANIFEST_SCHEMA)
     points = spark.createDataFrame([c for c in clips() if c[0] != "please"], POINT_SCHEMA)
