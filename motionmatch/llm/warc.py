@@ -36,6 +36,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.types import StructType
 
+from motionmatch.operators.facts import with_facts
+
 SCHEMA = ("record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
           "content_length bigint, payload_length bigint, headers map<string,string>, payload binary")
 # Columns and the header each comes from (fixed names of the format).
@@ -44,6 +46,7 @@ HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_ur
 WRITTEN = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, payload binary"
 DATE = "1970-01-01T00:00:00Z"     # archives of equal rows are equal
 FILE_BYTES = 64 << 20
+SALTS = 16                       # tasks that copies of one page are dealt to
 SPLIT_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 CHUNK = 1 << 16
@@ -389,14 +392,18 @@ def read_warc(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame
 
 def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """One record per page. Of equal payloads of at least ``least`` bytes the least page id is the
-    response and the others revisit it; rows that repeat that id are responses too."""
+    response and the others revisit it; rows that repeat that id are responses too.
+
+    Classes of equal payloads are found by digest and least id alone. Payloads then meet one row a
+    class, their copies dealt by id and url, so no class is one task's work."""
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({
         "digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("bigint")})
     repeated = base.where(F.col("length") >= least).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
-    return base.join(repeated, "digest", "left").select(
+    # A page repeated very often sends its copies to as many tasks as there are salts, and Spark may split those.
+    return with_facts(base, repeated, ["digest"], ["page_id", "url"], how="left", salts=SALTS).select(
         urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"), F.when(again, urn("first")).alias("refers_to"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.col("length").alias("payload_length"),

@@ -520,6 +520,26 @@ def test_only_committed_files_are_read(spark, tmp_path):
     assert zlib.decompress(warc.member(data), 31) == data
 
 
+def test_copies_of_one_page_are_dealt_over_tasks(spark):
+    same = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id")).alias("url"),
+                                    F.lit("a page that stands everywhere " * 5).alias("html"))
+    other = spark.range(3000, 3050).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                           F.concat(F.lit("page " * 30), F.col("id")).alias("html"))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        tasks = warc.page_records(same.union(other)).groupBy(F.spark_partition_id().alias("task"), "record_type").agg(
+            F.count("*").alias("n"), F.min("refers_to").alias("least"), F.max("refers_to").alias("most")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    again = [r for r in tasks if r["record_type"] == "revisit"]
+    assert sum(r["n"] for r in again) == 2999 and sum(r["n"] for r in tasks) == 3050
+    assert {r["least"] for r in again} == {r["most"] for r in again} == {"<urn:x-page:0>"}
+    assert len(again) == 4 and max(r["n"] for r in again) < 1800
+
+
 # ---------------------------------------------------------------- pipeline
 
 
