@@ -11,7 +11,7 @@ from motionmatch.functions.scoring import safe_rate
 from motionmatch.functions.text import stripped
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.percentiles import exact_percentiles
-from motionmatch.operators.sizing import SPREAD_BYTES
+from motionmatch.operators.sizing import SPREAD_BYTES, local_rows
 from motionmatch.schemas import SAMPLE_TYPES, SEMANTIC_TYPES
 
 
@@ -39,8 +39,7 @@ def primary(results: DataFrame) -> DataFrame:
 
 
 def names(spark, column: str, values: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)],
-                                 f"ordinal INT, {column} STRING")
+    return local_rows(spark, enumerate(values), f"ordinal INT, {column} STRING")
 
 
 def zero_fill(dimension: DataFrame, counts: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -90,7 +89,7 @@ def per_word(results: DataFrame, words: DataFrame, word: str = "target_word") ->
 
 def confusions(results: DataFrame, words: DataFrame, word: str = "target_word") -> DataFrame:
     """Rejected usable recordings by (target, nearest other word of the vocabulary)."""
-    known = F.broadcast(words.select(F.col(word).alias("nearest_confusion")))
+    known = words.select(F.col(word).alias("nearest_confusion"))
     rows = results.where(
         F.col("quality_valid") & ~F.col("accepted")
         & (F.col("nearest_confusion") != F.col(word)))

@@ -15,13 +15,13 @@ def select_words(vocab: DataFrame, requested: DataFrame, *, word: str = "word",
     """Requested vocabulary words, once each, with the position first asked at."""
     asked = requested.groupBy(F.upper(stripped(F.col(word))).alias(target)).agg(
         F.min(position).alias("position"))
-    return asked.join(F.broadcast(vocab), target)
+    return asked.join(vocab, target)
 
 
 def unsupported_words(vocab: DataFrame, requested: DataFrame, *, word: str = "word",
                       target: str = "target_word") -> DataFrame:
     asked = requested.select(F.upper(stripped(F.col(word))).alias(target)).distinct()
-    return asked.join(F.broadcast(vocab.select(target)), target, "left_anti")
+    return asked.join(vocab.select(target), target, "left_anti")
 
 
 def expected_grid(words: DataFrame, **axes: Sequence[str]) -> DataFrame:

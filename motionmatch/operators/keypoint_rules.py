@@ -86,9 +86,9 @@ def result_issues(raw: DataFrame, vocab: DataFrame, splits=SPLITS) -> DataFrame:
     judged = ("repeat_index", "quality_valid", "expected_pass", "accepted", "score")
     rows = typed_results(raw.withColumns({f"_raw_{c}": F.col(c) for c in judged}))
     words = vocab.select(F.col("target_word").alias("_w"))
-    rows = (rows.join(F.broadcast(words.withColumnRenamed("_w", "_target")),
+    rows = (rows.join(words.withColumnRenamed("_w", "_target"),
                       F.col("target_word") == F.col("_target"), "left")
-            .join(F.broadcast(words.withColumnRenamed("_w", "_performed")),
+            .join(words.withColumnRenamed("_w", "_performed"),
                   F.col("performed_word") == F.col("_performed"), "left"))
     col, lit = F.col, F.lit
 

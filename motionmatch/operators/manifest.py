@@ -58,7 +58,7 @@ def label_rows(listing: DataFrame, vocab: DataFrame, source: str,
     ``listing`` holds ``rel_path`` (below the dataset root). Clips of the game are
     positives that show their word; other clips are unreviewed hard negatives.
     """
-    words = F.broadcast(vocab.select("target_word", "slug"))
+    words = vocab.select("target_word", "slug")
     clips = split_path(listing.where(has_extension(F.col("rel_path")))).join(words, "slug")
     clips = clips.where(F.col("category").isin("game", "non-game") & F.col("split").isin(*splits))
     clips = clips.withColumn("signer_id", signer(F.col("below"), F.col("slug")))
@@ -107,9 +107,9 @@ def manifest_issues(rows: DataFrame, vocab: DataFrame, source: str, *,
     """
     rows = rows.select("row_number", *[
         stripped(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in MANIFEST_COLUMNS])
-    words = F.broadcast(vocab.select(F.col("target_word").alias("_word")))
+    words = vocab.select(F.col("target_word").alias("_word"))
     known = rows.join(words, F.col("target_word") == F.col("_word"), "left")
-    performed = F.broadcast(vocab.select(F.col("target_word").alias("_performed")))
+    performed = vocab.select(F.col("target_word").alias("_performed"))
     known = known.join(performed, F.col("performed_word") == F.col("_performed"), "left")
     col, lit, say = F.col, F.lit, F.concat
     variant = col("variant_status")

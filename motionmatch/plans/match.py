@@ -19,14 +19,14 @@ from motionmatch.schemas import HAND_LANDMARKS, LANDMARKS, STEPS
 
 def to_lookup_word(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Add the library's word for each product word."""
-    words = F.broadcast(vocab.select("target_word", "lookup_word"))
+    words = vocab.select("target_word", "lookup_word")
     return rows.join(words, "target_word", "left")
 
 
 def to_product_word(rows: DataFrame, vocab: DataFrame, found: str, name: str) -> DataFrame:
     """Map a library word back to the product word; an unmapped word stays."""
-    words = F.broadcast(vocab.select(F.col("lookup_word").alias(found),
-                                     F.col("target_word").alias("_product")))
+    words = vocab.select(F.col("lookup_word").alias(found),
+                         F.col("target_word").alias("_product"))
     return rows.join(words, found, "left").withColumn(
         name, F.coalesce("_product", found)).drop("_product")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionmatch.functions.text import stripped
+from motionmatch.operators.sizing import local_rows
 
 # The deployed words, in report order.
 WORDS = (
@@ -25,7 +26,7 @@ def scan_vocabulary(spark: SparkSession, words=WORDS, lookup=None) -> DataFrame:
     """The vocabulary as a small dimension: ordinal, target_word, slug, lookup_word."""
     lookup = LOOKUP_OVERRIDES if lookup is None else lookup
     rows = [(i, w, w.lower(), lookup.get(w, w)) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, SCHEMA)
+    return local_rows(spark, rows, SCHEMA)
 
 
 def vocabulary_issues(vocab: DataFrame, expected_count: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from motionmatch.operators.facts import with_facts
 from motionmatch.operators.ordered import OrderedRows
 from motionmatch.operators.percentiles import exact_percentile, exact_percentiles
 from motionmatch.operators.sessions import sessions
+from motionmatch.operators.sizing import estimated_bytes, local_rows
 
 
 ADAPTIVE, BROADCAST = "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"
@@ -152,3 +153,11 @@ THRESHOLDS = [
 def test_threshold_choice(spark, rows, want):
     got = select_threshold(spark.createDataFrame(rows, "sample_type string, p double"), "p").first()
     assert (got and tuple(got)) == want
+
+
+def test_small_frames_have_a_known_size(spark):
+    words = local_rows(spark, [(1, "a"), (2, None)], "n int, w string")
+    assert [tuple(r) for r in words.collect()] == [(1, "a"), (2, None)] and dict(words.dtypes) == {"n": "int", "w": "string"}
+    assert estimated_bytes(words) < 1000 and local_rows(spark, [], "n int, w string").collect() == []
+    joined = spark.range(10).withColumn("n", F.col("id").cast("int")).join(words.select("n"), "n")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
