@@ -119,12 +119,11 @@ def export_differences(queries: DataFrame, targets: Sequence[str], before: DataF
     word follow from the similarities; another word at the same similarity is a tie.
     """
     tolerance = TOLERANCE[precision]
-    every = F.array(*[F.lit(t) for t in dict.fromkeys(targets)])
-    asked = queries.withColumn("target", F.explode(every)).select(
-        F.to_json(F.struct("query_id", "target")).alias("query_id"), "target", "embedding")
+    asked = list(dict.fromkeys(targets))
 
     def outcome(library, side):
-        found = search(asked, library, precision=precision, **sizes)
+        found = search(queries, library, targets=asked, precision=precision, **sizes).withColumn(
+            "query_id", F.to_json(F.struct("query_id", "target")))
         score = manual_score(F.col("target_similarity"), F.col("similarity_margin"))
         return found.select("query_id", F.struct(
             "target_similarity", "best_other_similarity", "best_other_word",

@@ -19,7 +19,7 @@ from motionmatch.plans.evaluate import summary, write_summary
 from motionmatch.plans.match import to_product_word
 from motionmatch.schemas import SAMPLE_TYPES
 from motionmatch.sources.sinks import write_small
-from motionmatch.sources.scratch import scratch_path
+from motionmatch.sources.scratch import scratch_path, settled
 from motionmatch.workloads.search import LIFT, leave_one_out, score_sql, sims_sql
 from motionmatch.workloads.views import r6, rounded, table
 
@@ -32,7 +32,8 @@ WORD_COUNT = 12  # two words more than there are labels
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    found = leave_one_out(spark, folder, _TARGET).withColumnRenamed("query_id", "sample_id")
+    """Judged searches. Reports read them several times over; the search runs once."""
+    found = settled(leave_one_out(spark, folder, _TARGET), "found").withColumnRenamed("query_id", "sample_id")
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("sample_id"), F.concat(
         F.lit("w"), F.expr(_TARGET).cast("string")).alias("target_word"))
     t = F.least(F.col("target_similarity") + LIFT, F.lit(1.0))

@@ -50,6 +50,45 @@ def test_against_brute_force(spark, way, skip):
         assert got[i]["best_other_id"] == best and got[i]["best_other_word"] == words[best]
 
 
+@pytest.mark.parametrize("way", [{}, {"broadcast_bytes": 0, "tile_bytes": 4_000}])
+def test_many_targets_and_slices(spark, way, monkeypatch):
+    """Several words a query, answered as if asked one by one; groups cut by slices; the library is read once."""
+    monkeypatch.setattr("motionmatch.operators.search.SLICE_BYTES", 8 * 40 * 7)
+    rng = np.random.default_rng(3)
+    vectors = np.zeros((90, 40), np.float32)
+    vectors[:, [3, 17, 30]] = rng.normal(size=(90, 3))
+    vectors[41] = vectors[7] = vectors[80]
+    lib = spark.createDataFrame([(i, f"w{i % 4}", f"w{i % 4}", v.tolist()) for i, v in enumerate(vectors)], LIB).repartition(3)
+    asked = lib.select(F.col("ref_id").alias("query_id"), "embedding")
+    words = ["w0", "w3", "none"]
+    got = {(r["query_id"], r["target"]): r for r in search(asked, lib, targets=words, skip_same_id=True, **way).collect()}
+    assert len(got) == 270
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    for (i, word), r in got.items():
+        sims = np.clip(unit @ unit[i], -1, 1)
+        mine = [j for j in range(90) if f"w{j % 4}" == word and j != i]
+        rest = [j for j in range(90) if f"w{j % 4}" != word and j != i]
+        assert r["target_similarity"] == (pytest.approx(sims[mine].max()) if mine else None)
+        assert r["best_other_similarity"] == pytest.approx(sims[rest].max())
+        assert r["best_other_id"] == max(rest, key=lambda j: (round(sims[j], 12), -j))
+
+
+def test_reports_search_once(spark, monkeypatch):
+    """A report that reads its rows several times must not search several times."""
+    from motionmatch.operators import search as module
+    from motionmatch.workloads import evaluation
+    read = spark.sparkContext.accumulator(0)
+    maxima = module._maxima
+
+    def counted(queries, *given):
+        read.add(queries.num_rows)
+        return maxima(queries, *given)
+
+    monkeypatch.setattr(module, "_maxima", counted)
+    assert evaluation.jn7(spark, "/root/testdata/sf0.001").count() > 0
+    assert read.value == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
 def test_entry_matches_once_per_key(spark):
     lib = spark.createDataFrame([(0, "THANK YOU", "thankyou", [1.0]), (1, "YES", "thank-you", [1.0])], LIB)
     asked = spark.createDataFrame([("Thank-You!",)], "word_asked string")
