@@ -161,7 +161,9 @@ TS13_SQL = (f"WITH {DENSE_SQL} SELECT DISTINCT sequence_id, frame, idx FROM fram
 
 def ts14(spark, folder):
     """Orders as detections: lines by return flag are hands and pose; even orders show a face."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_quantity")
+    # Dealt by order once: window, parts and sums are all of one order.
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_quantity").repartition("l_orderkey")
     place = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_quantity")
     seen = lines.withColumn("n", F.row_number().over(place))
     point = F.struct(F.col("l_quantity").alias("x"), F.col("l_partkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
@@ -171,8 +173,9 @@ def ts14(spark, folder):
         return F.transform(F.sort_array(cells), lambda c: c["p"]).alias(flag)
 
     shown = F.struct((F.col("l_orderkey") % 7).cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"))
-    face = F.first(F.when(F.col("l_orderkey") % 2 == 0, F.array_repeat(shown, 468))).alias("face")
-    parts = seen.groupBy("l_orderkey").agg(part("A"), part("N"), part("R"), face)
+    # A face follows from its order: it is made after the exchange, once a row by a generator.
+    face = F.when(F.col("l_orderkey") % 2 == 0, F.array_repeat(shown, 468))
+    parts = seen.groupBy("l_orderkey").agg(part("A"), part("N"), part("R")).withColumn("face", F.explode(F.array(face)))
     frames = parts.select("l_orderkey", assemble_frame(
         F.col("A"), F.when(F.size("N") > 0, F.col("N")), F.col("R"), F.col("face")).alias("points"))
     return explode_frame(frames, "points", ["l_orderkey"]).groupBy("l_orderkey").agg(
