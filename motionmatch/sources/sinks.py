@@ -15,6 +15,9 @@ from motionmatch.sources.files import move, remove
 # Text goes out and comes back as it is.
 CSV = {"header": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False,
        "ignoreTrailingWhiteSpace": False}
+# Tasks put their own files in place; by default the driver moves all of them one after another. For scratch
+# folders of very many files: one that a failed job leaves is not read.
+MANY_FILES = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
 
 
 def write_manifest(rows: DataFrame, path: str) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionmatch.operators.embedding import embed
+from motionmatch.operators.facts import with_facts
 from motionmatch.operators.quality import gate, measure
 from motionmatch.operators.sequence import (
     assemble_frame, centres, densify, explode_frame, frame_index, normalise, prepare, resample, subsample,
@@ -13,10 +14,12 @@ from motionmatch.operators.sequence import (
 )
 from motionmatch.sources.scans import scan_keypoints
 from motionmatch.sources.scratch import scratch_path
+from motionmatch.sources.sinks import MANY_FILES
 from motionmatch.workloads.views import HANDS, LANDMARKS, POINTS_SQL, points, r6, rounded, table
 
 STEPS = 32
 KEPT = 16
+ROWS_A_FILE = 100_000
 
 DENSE_SQL = (
     f"{POINTS_SQL}, frames AS (SELECT sequence_id, frame, dense_rank() OVER (PARTITION BY sequence_id ORDER BY frame) - 1 AS idx, "
@@ -215,12 +218,16 @@ WIN3_SQL = (f"WITH {PREPARED_SQL} SELECT sequence_id, landmark, step, lag(step)
 def src1(spark, folder):
     """Keypoints written as CSV, a folder per sequence, and scanned strictly.
 
-    The frame takes part in the split, so a long sequence is written by many tasks.
+    A long sequence is split by frames and written by many tasks; any other is one file.
     """
     path = scratch_path(spark, "keypoints")
     rows = points(spark, folder).select(
         "sequence_id", "frame", F.col("landmark").alias("landmark_index"), "x", "y", "z")
-    rows.repartition("sequence_id", F.pmod("frame", F.lit(16))).write.partitionBy("sequence_id").option("header", True).csv(path)
+    sizes = rows.groupBy("sequence_id").agg(F.ceil(F.count("*") / ROWS_A_FILE).alias("_files"))
+    dealt = with_facts(rows, sizes, ["sequence_id"], ["frame", "landmark_index"])
+    # A number of tasks, as Spark would merge tasks of few bytes, whatever the number of their files.
+    dealt.repartition(4 * spark.sparkContext.defaultParallelism, "sequence_id", F.pmod("frame", F.col("_files"))).drop("_files").write.partitionBy(
+        "sequence_id").option("header", True).option(*MANY_FILES).csv(path)
     user = F.regexp_extract("sequence_id", "sequence_id=([0-9]+)/", 1).cast("long")
     found = scan_keypoints(spark, f"{path}/*/*.csv")
     return found.select(user.alias("sequence_id"), "frame", "landmark", "x", "y", "z")
