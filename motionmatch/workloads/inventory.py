@@ -17,6 +17,7 @@ from motionmatch.operators.manifest import (
 from motionmatch.functions.text import build_url, gloss_to_slug, gloss_to_word, sentence_tokens
 from motionmatch.sources.scans import file_digests, list_media
 from motionmatch.sources.scratch import scratch_path
+from motionmatch.sources.sinks import MANY_FILES
 from motionmatch.vocabulary import CATEGORIES, SPLITS, WORDS, scan_vocabulary, vocabulary_issues
 from motionmatch.workloads.views import LISTING, SOURCE, table
 
@@ -184,7 +185,8 @@ def fn18_files(spark, folder):
 def fn18_stored_files(spark, folder):
     """A file for every supplier, digested where it lies: the short ones whole, the others in chunks of 7 bytes."""
     path = scratch_path(spark, "suppliers")
-    table(spark, folder, "supplier").select("s_suppkey", "s_name").repartition(8, "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    table(spark, folder, "supplier").select("s_suppkey", "s_name").repartition(
+        4 * spark.sparkContext.defaultParallelism, "s_suppkey").write.partitionBy("s_suppkey").option(*MANY_FILES).text(path)
     files = file_digests(spark, path, whole_bytes=19, chunk_bytes=7).where(F.col("path").rlike("[.]txt$"))
     key = F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("long")
     expected = table(spark, folder, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.sha2("s_name", 256)).otherwise(
