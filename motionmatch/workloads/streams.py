@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from motionmatch.operators.sessions import last_frames, outcomes, session_summary, thin, used_frames
@@ -17,6 +19,7 @@ from motionmatch.workloads.views import FRAMES, table
 
 _F = f"f AS ({FRAMES.text})"
 NEVER = 10 ** 9
+FEEDBACK_ROWS = 500_000      # of a file
 
 
 def stream(spark, folder):
@@ -160,7 +163,7 @@ def str6(spark, folder):
 
 
 def _feedback_stream(spark, folder):
-    """The same as a stream: attempts in buckets, feedback in four files, in no order, a micro-batch each."""
+    """The same as a stream: attempts in buckets, feedback in files of bounded size, in no order, in four micro-batches."""
     orders = table(spark, folder, "orders").where("o_orderkey % 9 <> 0").select(
         F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(True)).alias("feedback_useful"))
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -170,8 +173,9 @@ def _feedback_stream(spark, folder):
         "feedback_order", F.lit(None).cast(lines.schema["event_id"].dataType)).schema, "attempt_id", 16)
     stored.append_once(orders.withColumn("feedback_order", F.lit(None).cast(lines.schema["event_id"].dataType)))
     given, rejects = scratch_path(spark, "feedback"), scratch_path(spark, "rejects")
-    lines.repartition(4, F.col("event_id.l_linenumber")).write.parquet(given)
-    stream_ = read_files(spark, given, "*.parquet", lines.schema, files_per_trigger=1)
+    files = 4 * max(1, math.ceil(lines.count() / (4 * FEEDBACK_ROWS)))
+    lines.repartition(files, "event_id.l_linenumber", "attempt_id").write.parquet(given)
+    stream_ = read_files(spark, given, "*.parquet", lines.schema, files_per_trigger=files // 4)
     query = (stream_.writeStream.option("checkpointLocation", scratch_path(spark, "feedback-state")).trigger(availableNow=True)
              .foreachBatch(on_feedback(stored, rejects)).start())
     query.awaitTermination()
