@@ -16,6 +16,7 @@ from motionmatch.operators.calibration import (
 from motionmatch.operators.keypoint_rules import eligible, result_issues, typed_results
 from motionmatch.operators.rules import require_clean
 from motionmatch.schemas import FEATURES
+from motionmatch.sources.scratch import settled
 from motionmatch.sources.sinks import write_small
 
 
@@ -67,8 +68,12 @@ def load(spark: SparkSession, folder: str, source: str) -> tuple[PipelineModel,
 
 def calibrate(rows: DataFrame, folder: str, *, source: str, synthetic_smoke: bool = False,
               features=FEATURES) -> tuple[dict, DataFrame, DataFrame]:
-    """(metadata, comparison, predictions) of eligible rows; test is opened last."""
+    """(metadata, comparison, predictions) of eligible rows; test is opened last.
+
+    The rows are read by fit, choice, freeze and reports in turn, so they are written once.
+    """
     spark = rows.sparkSession
+    rows = settled(rows, "eligible")
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     model, stats = fit(train, features)
     judged = probabilities(model, stats, val)
