@@ -15,8 +15,11 @@ from motionmatch.operators.sessions import FRAMES_KEPT, IDLE_SECONDS, admission_
 
 RETAIN_SECONDS = 86_400      # an ended attempt is remembered for so long after its final frame
 WINDOW = 4096                # rows judged at once
-OUTPUT = ("attempt_id string, kind string, target string, event_id long, us long, "
-          "position int, frames int, landmarks array<double>")
+PACKED = 1024                # rows given out in one list
+# A frame of few columns: turning each one to Arrow costs a key more than its rows do.
+OUTPUT = ("attempt_id string, rows array<struct<kind string, target string, event_id long, us long, "
+          "position int, frames int, landmarks array<double>>>")
+FIELDS = ("kind", "target", "event_id", "us", "position", "frames", "landmarks")
 FRAME_STATE = "event_id long, us long, landmarks array<double>"
 HEAD_STATE = "target string, last_us long, last_event long, seen int, held int, terminal long, timer_ms long"
 LONG_AGO = -(1 << 62)
@@ -49,8 +52,18 @@ class Judged:
 
 
 def judged(head: Head, target: np.ndarray, us: np.ndarray, event: np.ndarray, final: np.ndarray, idle_us: int) -> Judged:
-    """Rows in time order against the head, by masks: one step for each session that starts."""
+    """Rows in time order against the head, by masks: one step for each session that starts.
+
+    Rows further apart than the limit are in two sessions whatever their targets. A stretch between such
+    gaps with one target and no final frame is a session as it stands; runs of these are taken in one step.
+    """
     n, i = len(us), 0
+    edges = np.concatenate([[0], np.flatnonzero(us[1:] - us[:-1] > idle_us) + 1, [n]]) if n else np.zeros(1, int)
+    mixed = final.astype(bool)
+    mixed[1:] |= np.asarray(target[1:] != target[:-1], bool)
+    mixed[edges[:-1]] = final[edges[:-1]] | np.equal(target[edges[:-1]], None).astype(bool)
+    plain = ~np.logical_or.reduceat(mixed, edges[:-1]) if n else np.zeros(0, bool)
+    odd = np.append(np.flatnonzero(~plain), len(plain))
     kinds = np.full(n, "", object)
     own_rows: list[np.ndarray] = []
     expired, stored, ended = [], True, False
@@ -62,6 +75,17 @@ def judged(head: Head, target: np.ndarray, us: np.ndarray, event: np.ndarray, fi
         if head.target is None or us[i] - head.last_us > idle_us:
             if head.target is not None:
                 expired.append(head)
+            k = int(np.searchsorted(edges, i))
+            if edges[k] == i and plain[k]:
+                stop = int(odd[np.searchsorted(odd, k)])
+                held, timer_ms = head.held, head.timer_ms
+                for a, b, name, last, at in zip(edges[k:stop].tolist(), edges[k + 1:stop + 1].tolist(), target[edges[k:stop]],
+                                                us[edges[k + 1:stop + 1] - 1].tolist(), event[edges[k + 1:stop + 1] - 1].tolist()):
+                    head = Head(name, int(last), int(at), b - a, held, None, timer_ms)
+                    expired.append(head)
+                expired.pop()                            # the last one is still open
+                own_rows, stored, i = [np.arange(a, b)], False, b
+                continue
             head = replace(head, target=target[i], last_us=int(us[i]), seen=0)
             own_rows, stored = [], False
         stop = min(n, i + WINDOW)
@@ -153,16 +177,19 @@ class AttemptProcessor(StatefulProcessor):
             yield self.output(key[0], done, away, target, us, event, kept if done.ended else [])
 
     def output(self, name, done: Judged, away, target, us, event, kept) -> pd.DataFrame:
-        a, e, f = len(away), len(done.expired), len(kept)
-        return pd.DataFrame({
-            "attempt_id": name,
-            "kind": [*done.kinds[away], *["expired"] * e, *["frame"] * f],
-            "target": [*target[away], *(h.target for h in done.expired), *[done.head.target] * f],
-            "event_id": [*event[away], *(h.last_event for h in done.expired), *(k[0] for k in kept)],
-            "us": [*us[away], *(h.last_us for h in done.expired), *(k[1] for k in kept)],
-            "position": pd.array([None] * (a + e) + list(range(f)), "Int32"),
-            "frames": pd.array([None] * a + [h.seen for h in done.expired] + [f] * f, "Int32"),
-            "landmarks": [*[None] * (a + e), *(k[2] for k in kept)]})
+        def whole(value):
+            return None if value != value else int(value)
+
+        def plain(marks):
+            return None if marks is None else [None if x != x else x for x in map(float, marks)]
+
+        rows = [(done.kinds[k], target[k], whole(event[k]), whole(us[k]), None, None, None) for k in away.tolist()]
+        rows += [("expired", h.target, h.last_event, h.last_us, None, h.seen, None) for h in done.expired]
+        rows += [("frame", done.head.target, at, time, position, len(kept), plain(marks))
+                 for position, (at, time, marks) in enumerate(kept)]
+        rows = [dict(zip(FIELDS, r)) for r in rows]
+        lists = [rows[k:k + PACKED] for k in range(0, len(rows), PACKED)]
+        return pd.DataFrame({"attempt_id": [name] * len(lists), "rows": lists})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Closes a session that stayed idle, forgets an ended attempt; otherwise waits on."""
@@ -213,6 +240,7 @@ def attempts(frames: DataFrame, *, keep: int = FRAMES_KEPT, idle_seconds: float
     folded = rows.withColumn("us", F.unix_micros("ts")).groupBy("attempt_id").transformWithStateInPandas(
         statefulProcessor=AttemptProcessor(keep, idle_seconds, timers, retain_seconds), outputStructType=OUTPUT,
         outputMode="append", timeMode="eventTime" if timers else "none")
+    folded = folded.select("attempt_id", F.inline("rows"))
     return folded.withColumn("ts", F.timestamp_micros("us")).select(
         "attempt_id", "kind", "target", "event_id", "ts", "position", "frames", "landmarks")
 

@@ -1,11 +1,13 @@
 """Attempt sessions, terminal results, history and feedback."""
 
+import dataclasses
 import datetime as dt
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import motionmatch.streaming.attempts as attempts_module
 from motionmatch.functions.text import clean_query, diagnostic_texts, gloss_to_slug, gloss_to_word, normalize_key, response_ok, sentence_tokens
 from motionmatch.functions.media import first_clean_image, first_media_url
 from motionmatch.operators.embedding import embed
@@ -187,6 +189,16 @@ def test_frames_are_judged_as_one_by_one():
         assert (kinds, expired, kept, head.terminal) == want
 
 
+def test_a_run_of_sessions_is_judged_in_one_step(monkeypatch):
+    steps = []
+    monkeypatch.setattr(attempts_module, "replace", lambda head, **new: steps.append(new) or dataclasses.replace(head, **new))
+    n = 5000
+    target = np.array([f"T{k % 3}" for k in range(n)], object)
+    got = judged(Head(), target, 100 * np.arange(n), np.arange(n), np.zeros(n, bool), 10)
+    assert [(h.target, h.last_us, h.last_event, h.seen) for h in got.expired] == [(target[k], 100 * k, k, 1) for k in range(n - 1)]
+    assert got.head.last_event == n - 1 and got.own.tolist() == [n - 1] and not got.stored and len(steps) < 10
+
+
 def test_state_is_freed_and_late_frames_are_counted(spark, tmp_path):
     """Idle sessions close, ended attempts are forgotten, and what comes after the watermark is counted."""
     first = [frame(f"a{k}", "HELLO", 0, k) for k in range(20)] + [frame("done", "YES", 0, 50), frame("done", "YES", 1, 51, True)]
