@@ -4,7 +4,9 @@ The answer needs the similarity of a query to every library vector, but only its
 two maxima: no pair is ever emitted. A library of checked size is broadcast as one
 matrix and queries stay where they are. A larger one is cut into row blocks; query
 tiles meet blocks by key and the per-block maxima are merged, which is exact
-because both maxima are associative.
+because both maxima are associative. Components that are zero in the whole of such a
+library are left out of both sides before anything is exchanged; a query keeps the
+norm of its whole vector.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionmatch.functions.text import normalize_key
+from motionmatch.sources.scratch import settled
 
 # Vectors as they come, four bytes a component. Every Python worker holds a broadcast library.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -98,7 +101,10 @@ def _maxima(queries, block: dict, dtype, skip_same_id: bool):
         matrix = _matrix(part.column("vector"))
         if matrix.shape[1] != block["dimension"]:
             raise ValueError(f"a query has {matrix.shape[1]} components, the library {block['dimension']}")
-        norms = _norms(matrix, dtype)
+        if "norm" in part.schema.names:
+            norms = np.asarray(part.column("norm").to_pylist(), dtype)[:, None]
+        else:
+            norms = _norms(matrix, dtype)
         if block["columns"] is not None:
             matrix = matrix[:, block["columns"]]
         matrix = matrix.astype(dtype) / np.where(norms > 1e-8, norms, 1.0)
@@ -152,9 +158,47 @@ def _library(library: DataFrame) -> DataFrame:
         .alias("slug_key"), F.col("embedding").alias("vector"))
 
 
+def _components(vectors: DataFrame) -> np.ndarray:
+    """Components that are not zero in every vector, ascending; at least one."""
+    def used(batches):
+        found = None
+        for batch in batches:
+            if batch.num_rows:
+                here = _matrix(batch.column("vector")).any(axis=0)
+                found = here if found is None else found | here
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int32())], ["component"])
+
+    rows = vectors.select("vector").mapInArrow(used, "component int").distinct().collect()     # a row a component
+    return np.array(sorted(r[0] for r in rows) or [0])
+
+
+def _narrowed(rows: DataFrame, columns: np.ndarray, dimension: int, dtype, norm: bool) -> DataFrame:
+    """The vectors cut to ``columns``; with ``norm`` also the norm of each whole vector."""
+    others = [c for c in rows.columns if c != "vector"]
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in others] + ["vector array<float>"] + ["norm double"] * norm
+
+    def cut(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = _matrix(batch.column("vector"))
+            if matrix.shape[1] != dimension:
+                raise ValueError(f"a query has {matrix.shape[1]} components, the library {dimension}")
+            flat = pa.array(np.ascontiguousarray(matrix[:, columns], dtype=np.float32).reshape(-1))
+            arrays = [*(batch.column(c) for c in others), pa.FixedSizeListArray.from_arrays(flat, len(columns)).cast(pa.list_(pa.float32()))]
+            if norm:
+                arrays.append(pa.array(_norms(matrix, dtype)[:, 0].astype(np.float64)))
+            yield pa.RecordBatch.from_arrays(arrays, [*others, "vector", *["norm"] * norm])
+
+    return rows.mapInArrow(cut, ", ".join(kinds))
+
+
 class LoadedLibrary:
     """A library whose size has been checked; broadcast if it is within the bound.
 
+    One above the bound is cut to the components it uses, if these are fewer than half, and written once.
+
     Load once and search many times, as a stream does with every batch.
     """
 
@@ -170,6 +214,13 @@ class LoadedLibrary:
             raise ValueError("library vectors have one dimension of at least 1")
         self.row_bytes = 4 * size["d"]
         self.total_bytes = size["n"] * self.row_bytes
+        self.dimension, self.columns = size["d"], None
+        if self.total_bytes > broadcast_bytes:
+            columns = _components(self.refs)
+            if 2 * len(columns) < size["d"]:
+                self.columns, self.row_bytes = columns, 4 * len(columns)
+                self.total_bytes = size["n"] * self.row_bytes
+                self.refs = settled(_narrowed(self.refs, columns, size["d"], self.dtype, False), "library")
         self.shared = None
         if self.total_bytes <= broadcast_bytes:
             context = library.sparkSession.sparkContext
@@ -193,6 +244,10 @@ def search(queries: DataFrame, library: DataFrame | LoadedLibrary, *, targets: S
     words = [F.col("target")] if targets is None else [F.lit(t) for t in targets]
     asked = queries.select("query_id", F.array(*[normalize_key(w) for w in words]).alias("target_keys"),
                            F.col("embedding").alias("vector"))
+    if library.columns is not None:
+        asked = _narrowed(asked, library.columns, library.dimension, library.dtype, True)
+        if library.shared is None:
+            asked = settled(asked, "asked")      # counted, then dealt
     result = RESULT.format(kind=asked.schema["query_id"].dataType.simpleString())
     found = (_search_shared(asked, library, result, skip_same_id) if library.shared is not None
              else _search_tiles(asked, library, result, skip_same_id, tile_bytes))

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Wide vectors: a batch of 512 rows x 22,080 floats is 45 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # A reader's 4,096 such rows with their levels are over 1 GB a task.
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
     # Folders of very many files are listed by so many tasks, not by one a folder.
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "96",
     "spark.sql.streaming.stateStore.providerClass":

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motionmatch.operators.library import coverage_difference, export_differences, filter_words, library_issues, missing_words
-from motionmatch.operators.search import match_by_key, search, unknown_targets
+from motionmatch.operators.search import LoadedLibrary, match_by_key, search, unknown_targets
 
 LIB = "ref_id long, word string, slug string, embedding array<float>"
 QUERY = "query_id string, target string, embedding array<float>"
@@ -131,3 +131,27 @@ def test_export_is_equal_after_renumbering(spark):
     assert got.where("before.target_similarity <> after.target_similarity "
                      "or before.best_other_similarity <> after.best_other_similarity").count() == 0
     assert export_differences(queries, words, lib, lib).count() == 0
+
+
+def test_unused_components_are_not_exchanged(spark):
+    rng = np.random.default_rng(11)
+    vectors = np.zeros((40, 300), np.float32)
+    vectors[:, 7:300:30] = rng.normal(size=(40, 10))
+    asked = vectors + np.where(np.arange(300) % 50 == 3, rng.normal(size=(40, 300)), 0).astype(np.float32)
+    library = spark.createDataFrame([(i, f"w{i % 7}", v.tolist()) for i, v in enumerate(vectors)], "ref_id long, word string, embedding array<float>")
+    queries = spark.createDataFrame([(i, f"w{i % 5}", v.tolist()) for i, v in enumerate(asked)], "query_id long, target string, embedding array<float>")
+    loaded = LoadedLibrary(library, broadcast_bytes=0)
+    assert loaded.row_bytes == 4 * 10 and loaded.shared is None
+    assert LoadedLibrary(library, broadcast_bytes=2000).shared is not None       # 48,000 bytes whole, 1,600 cut
+    want = {r["query_id"]: r for r in search(queries, library).collect()}
+    for way in (loaded, LoadedLibrary(library, broadcast_bytes=2000)):
+        got = search(queries, way, tile_bytes=400).collect()
+        assert len(got) == 40
+        for r in got:
+            w = want[r["query_id"]]
+            assert (r["best_other_id"], r["best_other_word"]) == (w["best_other_id"], w["best_other_word"])
+            assert abs(r["target_similarity"] - w["target_similarity"]) < 1e-12
+            assert abs(r["best_other_similarity"] - w["best_other_similarity"]) < 1e-12
+    short = spark.createDataFrame([(1, "w1", [1.0] * 200)], queries.schema)
+    with pytest.raises(Exception, match="200 components"):
+        search(short, loaded).collect()
