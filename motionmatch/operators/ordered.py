@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionmatch.operators.sizing import SPREAD_BYTES, is_small
+from motionmatch.operators.sizing import ONE_TASK_BYTES, SPREAD_BYTES, is_small
 from motionmatch.sources.scratch import shared_dir
 
 PART = "_range"
@@ -29,7 +29,7 @@ class OrderedRows:
         self.keys = list(keys)
         self.names, self.descending = list(order), descending
         self.order = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-        self.spread = not is_small(df, spread_bytes)
+        self.spread = not is_small(df, spread_bytes if self.keys else min(spread_bytes, ONE_TASK_BYTES))
         if self.spread:
             shared_dir(df.sparkSession)
             ranged = df.repartitionByRange(*[F.col(k) for k in self.keys], *self.order)

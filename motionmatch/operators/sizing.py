@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 # Above this estimate, ordered work is spread over range partitions.
 SPREAD_BYTES = 256 * 1024 * 1024
+# The same for work without a key, which is one task if not spread.
+ONE_TASK_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -44,6 +44,15 @@ def test_index_lag_and_sums(skewed, keys):
     same(run(1 << 40), run(0))
 
 
+def test_work_without_a_key_is_spread_sooner(spark):
+    n = 2_200_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("o"))
+    assert not OrderedRows(rows, ["o"], ["o"]).spread
+    whole = OrderedRows(rows, [], ["o"])
+    assert whole.spread and whole.frame.select("_range").distinct().count() > 1
+    assert whole.index("place").done().where("place <> o").count() == 0
+
+
 def test_descending(skewed):
     def run(limit):
         rows = OrderedRows(skewed, ["k"], ["o"], descending=True, spread_bytes=limit)
