@@ -101,6 +101,12 @@ class Vocabulary:
             object.__setattr__(self, "_table", table)
         return self._table
 
+    def pieces(self) -> pa.Array:
+        """What each piece stands for."""
+        if not hasattr(self, "_pieces"):
+            object.__setattr__(self, "_pieces", pa.array(self.text, pa.large_binary()))
+        return self._pieces
+
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Symbol of each pair, -1 if it does not merge."""
         keys = left.astype(np.int64) << 32 | right
@@ -177,11 +183,11 @@ def encode_words(words: list[tuple[str, int]], vocabulary: Vocabulary, dropout:
             for ids in pack_words([w for w, _ in words], occurrences, vocabulary, dropout)[0]]
 
 
-def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout
-               ) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout,
+               keys: np.ndarray | None = None) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Piece ids of occurrences of words as 32-bit numbers, words of like length together; and the
     candidates that came up, in order for each word: (word, place, skipped). Words over 512
-    characters have no candidates listed."""
+    characters have no candidates listed. ``keys``: the occurrences' keys, where they are known."""
     out, paths = [b""] * len(words), []
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
@@ -196,7 +202,8 @@ def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary
             for i in block.tolist():
                 out[i] = packed(encode_long(words[i], int(occurrences[i]), vocabulary, dropout))
         else:
-            found, path = encode_block([words[i] for i in block.tolist()], occurrences[block], vocabulary, dropout)
+            found, path = encode_block([words[i] for i in block.tolist()], occurrences[block], vocabulary, dropout,
+                                       None if keys is None else keys[block])
             for i, ids in zip(block.tolist(), found):
                 out[i] = ids
             paths.append((block[path[0]], *path[1:]))
@@ -204,13 +211,14 @@ def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary
     return out, paths
 
 
-def encode_block(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout
-                 ) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def encode_block(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary, dropout: Dropout,
+                 key: np.ndarray | None = None) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Symbols of a word are a linked list over its characters' places, so a merge moves nothing.
 
     The best candidate of every word comes up in each round; it merges or is skipped for good."""
     n, size = len(words), np.array([len(w) for w in words])
-    key = occurrence_keys(np.array([word_hash(w, dropout.seed) for w in words], np.uint64), occurrences)
+    if key is None:
+        key = occurrence_keys(np.array([word_hash(w, dropout.seed) for w in words], np.uint64), occurrences)
     width = int(size.max())
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     sym = np.full((n, width), -1, np.int64)
@@ -403,12 +411,12 @@ class Encoder:
             if len(active):                              # one occurrence shows where an unknown branch leads
                 edges, one = np.unique(edge[active], return_index=True)
                 one = active[one]
-                self.grow([words[i] for i in one.tolist()], occurrences[one], edges, depth[one])
+                self.grow([words[i] for i in one.tolist()], occurrences[one], edges, depth[one], key[one])
         return leaf
 
-    def grow(self, words: list[str], occurrences: np.ndarray, edges: np.ndarray, depth: np.ndarray) -> None:
+    def grow(self, words: list[str], occurrences: np.ndarray, edges: np.ndarray, depth: np.ndarray, keys: np.ndarray) -> None:
         """Put what each occurrence meets after ``depth`` candidates behind its edge."""
-        ids, paths = pack_words(words, occurrences, self.vocabulary, self.dropout)
+        ids, paths = pack_words(words, occurrences, self.vocabulary, self.dropout, keys)
         word, place, skip = (np.concatenate(x) for x in zip(*paths))
         order = np.argsort(word, kind="stable")
         word, place, skip = word[order].astype(np.int64), place[order], skip[order]
@@ -433,6 +441,21 @@ def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
 
 
+def decode_all(ids: list[np.ndarray | None], vocabulary: Vocabulary) -> list[str | None]:
+    """The texts of many lists of ids; their pieces are laid end to end at once."""
+    data = vocabulary.pieces().take(pa.array(np.concatenate([NONE, *(x for x in ids if x is not None)])))
+    begins, data = np.frombuffer(data.buffers()[1], np.int64), memoryview(data.buffers()[2] or b"")
+    out, at = [], 0
+    for x in ids:
+        if x is None:
+            out.append(None)
+            continue
+        a, b = int(begins[at]) if len(x) else 0, int(begins[at + len(x)]) if len(x) else 0
+        at += len(x)
+        out.append(str(data[a + (data[a:a + 1] == b" " and b > a):b], "utf-8", "replace"))
+    return out
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout()) -> DataFrame:
     """doc_id, ids, and the text decoded from the ids, for every text."""
     shared = carried(docs.sparkSession, vocabulary)  # bounded by the vocabulary file
@@ -442,7 +465,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = encoder.encode(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist())
-            back = [None if x is None else decode(x.tolist(), encoder.vocabulary) for x in ids]
+            back = decode_all(ids, encoder.vocabulary)
             ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
             lists = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x in (NONE, *ids) if x is not None])),

@@ -47,3 +47,19 @@ def test_remembered_words_are_encoded_as_new_ones(vocabulary):
                 pairs = [(w, int(start + np.uint64(k))) for k, w in enumerate(md.WORD.findall(" " + text) if text else [])]
                 assert got.tolist() == sum(md.encode_words(pairs, vocabulary, dropout), [])
                 assert md.decode(got.tolist(), vocabulary) == text
+
+
+def test_texts_are_decoded_together_and_words_hashed_once(monkeypatch):
+    vocabulary, hashed = md.Vocabulary.load(), []
+    plain = md.word_hash
+    monkeypatch.setattr(md, "word_hash", lambda word, seed: hashed.append(word) or plain(word, seed))
+    texts = ["one two two\nthree", None, "", "  zwei ▁ \U0001F600 \x00", " one", "x" * 700, "one two"]
+    ids = md.Encoder(vocabulary, md.Dropout(0.4, 7)).encode(list(range(len(texts))), texts)
+    assert md.decode_all(ids, vocabulary) == texts
+    assert md.decode_all(ids, vocabulary) == [None if x is None else md.decode(x.tolist(), vocabulary) for x in ids]
+    assert md.decode_all([], vocabulary) == [] and md.decode_all([None], vocabulary) == [None]
+    assert md.decode_all([np.array(vocabulary.byte[[0xFF, 0x20]], np.int32)], vocabulary) == ["� "]
+    short = [w for w in hashed if len(w) <= md.LONG]
+    assert len(short) == len(set(short))
+
+
