@@ -37,7 +37,11 @@ MARK = "▁"                 # stands for a space in pieces (a fixed value of th
 # A word: its spaces and what follows up to the next space or line end. Pieces never cross from one into the next.
 WORD = re.compile(r" *[^ \n]+| +|\n")
 MEMO_LEAVES = 400_000           # remembered segmentations, of all words together
-WALK = 1 << 19                  # occurrences that walk at a time
+MEMO_SLOTS = 3 << 20            # their candidates
+SLOTS = 1 << 22                 # room for candidates; pages of it that are not used take no memory
+WALK = 1 << 17                  # occurrences that walk at a time
+TEXT_BYTES = 1 << 19            # of texts encoded at a time; a word takes many times its bytes meanwhile
+BLOCK = 1 << 17                 # characters of the words of a block
 LONG = 64                       # longer words are not remembered
 MASK = (1 << 64) - 1
 NONE = np.zeros(0, np.int32)
@@ -95,7 +99,7 @@ class Vocabulary:
     def table(self) -> np.ndarray:
         """Symbol of every code point; a space is the mark, the mark itself has none."""
         if not hasattr(self, "_table"):
-            table = np.full(0x110000, -1, np.int64)
+            table = np.full(0x110000, -1, np.int32)
             table[[ord(c) for c in self.chars]] = list(self.chars.values())
             table[ord(" ")], table[ord(MARK)] = self.chars.get(MARK, -1), -1
             object.__setattr__(self, "_table", table)
@@ -194,8 +198,8 @@ def pack_words(words: list[str], occurrences: np.ndarray, vocabulary: Vocabulary
     size = size[order]
     at = 0
     while at < len(order):
-        end = min(len(order), at + 16384)                # a block of at most 16 k words or 512 k characters
-        fits = np.arange(1, end - at + 1) * size[at:end] <= 1 << 19
+        end = min(len(order), at + 16384)                # a block of at most 16 k words or 128 k characters
+        fits = np.arange(1, end - at + 1) * size[at:end] <= BLOCK
         end = at + max(1, int(fits.sum()))
         block = order[at:end]
         if size[end - 1] > 512:
@@ -333,11 +337,19 @@ class Roots(dict):
         return slot
 
 
+def roomier(a: np.ndarray, used: int) -> np.ndarray:
+    """The array at twice its size, zeros behind what is used."""
+    out = np.zeros(2 * len(a), a.dtype)
+    out[:used] = a[:used]
+    return out
+
+
 class Encoder:
     """Encodes batches of texts; remembers a bounded number of segmentations.
 
-    ``child[2 * slot + skipped]`` is what follows a candidate: a slot, a leaf (-2 - number) or nothing
-    known (-1). The first slot of a word holds the word's hash and leads on by branch 0.
+    ``child[2 * slot + skipped]`` is what follows a candidate: a slot, a leaf (-1 - number) or nothing
+    known (0). The first slot of a word holds the word's hash and leads on by branch 0.
+    ``ids[ends[n]:ends[n + 1]]`` are the piece ids of leaf ``n``.
     """
 
     def __init__(self, vocabulary: Vocabulary, dropout: Dropout):
@@ -345,15 +357,15 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.roots, self.leaves, self.used = Roots(self.root), [], 0
-        self.place, self.child = np.zeros(1 << 16, np.uint64), np.full(1 << 17, -1, np.int32)
+        self.roots, self.used, self.leaves = Roots(self.root), 0, 0
+        self.ids, self.ends = np.zeros(2 * SLOTS, np.int32), np.zeros(SLOTS, np.int64)   # of leaves, laid end to end
+        self.place, self.child = np.zeros(SLOTS, np.uint64), np.zeros(2 * SLOTS, np.int32)
 
     def take(self, n: int) -> int:
         """First of ``n`` new slots."""
         first, self.used = self.used, self.used + n
         while self.used > len(self.place):
-            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
-            self.child = np.concatenate([self.child, np.full_like(self.child, -1)])
+            self.place, self.child = roomier(self.place, first), roomier(self.child, 2 * first)
         return first
 
     def root(self, word: str) -> int:
@@ -362,7 +374,7 @@ class Encoder:
         return slot
 
     def encode(self, keys: list[int | None], texts: list[str | None]) -> list[np.ndarray | None]:
-        if max(len(self.leaves), len(self.roots)) > MEMO_LEAVES:
+        if max(self.leaves, len(self.roots)) > MEMO_LEAVES or self.used > MEMO_SLOTS:
             self.clear()
         rows = [[] if not t else WORD.findall(" " + t) for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
@@ -375,16 +387,31 @@ class Encoder:
             row = np.searchsorted(starts, some, side="right") - 1
             leaf[some] = self.walked(words[at:at + WALK], first[row] + (some - starts[row]).astype(np.uint64))
         long = np.flatnonzero(leaf < 0)
-        known = len(self.leaves)                         # long words are not remembered
+        known = self.leaves                              # long words are not remembered
         if len(long):
             row = np.searchsorted(starts, long, side="right") - 1
-            self.leaves += pack_words([words[i] for i in long.tolist()], first[row] + (long - starts[row]).astype(np.uint64),
-                                      self.vocabulary, self.dropout)[0]
+            self.keep(pack_words([words[i] for i in long.tolist()], first[row] + (long - starts[row]).astype(np.uint64),
+                                 self.vocabulary, self.dropout)[0])
             leaf[long] = known + np.arange(len(long))
-        out = [None if t is None else np.frombuffer(b"".join(map(self.leaves.__getitem__, leaf[a:b].tolist())), np.int32)
-               for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist())]
-        del self.leaves[known:]
-        return out
+        del words
+        begin = self.ends[leaf]
+        size = self.ends[leaf + 1] - begin
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - stops[:-1], size) + np.arange(stops[-1])]
+        self.leaves, cuts = known, stops[starts].tolist()
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, cuts, cuts[1:])]
+
+    def keep(self, found: list[bytes]) -> None:
+        """New leaves with these piece ids."""
+        size = np.array([len(x) for x in found]) // 4
+        ends = self.ends[self.leaves] + np.cumsum(size)
+        while self.leaves + len(found) >= len(self.ends):
+            self.ends = roomier(self.ends, self.leaves + 1)
+        while ends[-1] > len(self.ids):
+            self.ids = roomier(self.ids, int(self.ends[self.leaves]))
+        self.ids[self.ends[self.leaves]:ends[-1]] = np.frombuffer(b"".join(found), np.int32)
+        self.ends[self.leaves + 1:self.leaves + 1 + len(found)] = ends
+        self.leaves += len(found)
 
     def first_of(self, keys: list[int | None]) -> np.ndarray:
         """Number of the occurrence at position 0 of each document; the next ones count on."""
@@ -401,10 +428,10 @@ class Encoder:
             waiting = []
             while len(active):
                 to = self.child[edge[active]]
-                done = to < -1
-                leaf[active[done]] = -2 - to[done]
-                waiting.append(active[to == -1])
-                active, to = active[to >= 0], to[to >= 0].astype(np.int64)
+                done = to < 0
+                leaf[active[done]] = -1 - to[done]
+                waiting.append(active[to == 0])
+                active, to = active[to > 0], to[to > 0].astype(np.int64)
                 edge[active] = 2 * to + dropped(key[active], self.place[to], self.dropout.rate)
                 depth[active] += 1
             active = np.concatenate(waiting)
@@ -431,8 +458,8 @@ class Encoder:
         last = edges.copy()
         ends = np.r_[begins[1:], True][:len(word)]
         last[word[ends]] = onward[ends]
-        self.child[last] = -2 - len(self.leaves) - np.arange(len(words))
-        self.leaves += ids
+        self.child[last] = -1 - self.leaves - np.arange(len(words))
+        self.keep(ids)
 
 
 def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
@@ -475,4 +502,5 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, dropout: Dropout = Dropout(
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, text string, ids array<int>, decoded string", make)
+    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, text string, ids array<int>, decoded string", make,
+                       TEXT_BYTES)

@@ -53,13 +53,14 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(a, b - a)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """``make()`` runs once per task and gives the step from one batch to one batch."""
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+                limit: int = SLICE_BYTES) -> DataFrame:
+    """``make()`` runs once per task and gives the step from one batch, of about ``limit`` bytes, to one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         try:
             for batch in batches:
-                for piece in slices(batch):
+                for piece in slices(batch, limit):
                     yield step(piece)
         finally:                                 # workers are used again: leave no buffers to the next task
             pa.default_memory_pool().release_unused()

@@ -1,12 +1,16 @@
 """Merge-dropout is drawn anew for every occurrence of a word."""
 
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from motionmatch.llm import merge_dropout as md
+from motionmatch.llm import texts as tx
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +67,42 @@ def test_texts_are_decoded_together_and_words_hashed_once(monkeypatch):
     assert len(short) == len(set(short))
 
 
+
+
+def test_a_batch_takes_little_memory(vocabulary, monkeypatch):
+    rng, calls = random.Random(5), []
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 12))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=700)) for _ in range(500)]                   # about 2.6 MB
+    monkeypatch.setattr(md, "carried", lambda spark, value: lambda: value)
+    monkeypatch.setattr(md, "map_batches", lambda df, schema, make, limit=tx.SLICE_BYTES: calls.append((make, limit)))
+    monkeypatch.setattr(md, "SLOTS", 1 << 16, raising=False)                            # count what is used only
+    md.encoded(SimpleNamespace(sparkSession=None, select=lambda *names: None), vocabulary)
+    (make, limit), = calls
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    vocabulary.table(), vocabulary.pieces()
+    tracemalloc.start()
+    try:
+        step = make()
+        back = [x for piece in tx.slices(batch, limit) for x in step(piece).column(3).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert back == texts
+    assert peak < 65e6, peak
+
+
+def test_memory_that_grows_or_is_given_up_changes_no_ids(vocabulary, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeé▁一 ", k=rng.randint(1, 90))) for _ in range(300)]
+    batches = [[" ".join(rng.choices(words, k=40)) for _ in range(10)] + [None, ""] for _ in range(6)]
+    dropout = md.Dropout(0.2)
+    keys = [[rng.choice([None, rng.getrandbits(40)]) for _ in texts] for texts in batches]
+    plain = md.Encoder(vocabulary, dropout)
+    wanted = [plain.encode(k, texts) for k, texts in zip(keys, batches)]
+    for name, value in (("SLOTS", 1), ("WALK", 64), ("MEMO_SLOTS", 2000)):
+        monkeypatch.setattr(md, name, value)
+    tight = md.Encoder(vocabulary, dropout)
+    for k, texts, expected in zip(keys, batches, wanted):
+        got = tight.encode(k, texts)
+        assert [None if x is None else x.tolist() for x in got] == [None if x is None else x.tolist() for x in expected]
+        assert md.decode_all(got, vocabulary) == texts
