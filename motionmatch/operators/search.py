@@ -51,7 +51,7 @@ def _slices(rows: int, dimension: int, most: int) -> Iterator[slice]:
     return (slice(start, min(start + step, rows)) for start in range(0, rows, step))
 
 
-def _norms(matrix: np.ndarray, dtype) -> np.ndarray:
+def vector_norms(matrix: np.ndarray, dtype) -> np.ndarray:
     norms = np.concatenate([np.linalg.norm(matrix[rows].astype(dtype), axis=1, keepdims=True)
                             for rows in _slices(*matrix.shape, SLICE_ENTRIES)])
     if not np.isfinite(norms).all():
@@ -75,7 +75,7 @@ def _block(table, dtype) -> dict:
     matrix = _matrix(table.column("vector"))
     dimension, used = matrix.shape[1], matrix.any(axis=0)
     columns = np.flatnonzero(used) if 2 * used.sum() < dimension else None
-    norms = _norms(matrix, dtype)[order]
+    norms = vector_norms(matrix, dtype)[order]
     groups = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)]))
     return {"ids": ids, "by_id": np.argsort(ids, kind="stable"), "groups": groups, "words": codes[0, groups],
             "slugs": codes[1, groups], "keys": {k: i for i, k in enumerate(keys.dictionary.to_pylist())},
@@ -104,7 +104,7 @@ def _maxima(queries, block: dict, dtype, skip_same_id: bool):
         if "norm" in part.schema.names:
             norms = np.asarray(part.column("norm").to_pylist(), dtype)[:, None]
         else:
-            norms = _norms(matrix, dtype)
+            norms = vector_norms(matrix, dtype)
         if block["columns"] is not None:
             matrix = matrix[:, block["columns"]]
         matrix = matrix.astype(dtype) / np.where(norms > 1e-8, norms, 1.0)
@@ -188,7 +188,7 @@ def _narrowed(rows: DataFrame, columns: np.ndarray, dimension: int, dtype, norm:
             flat = pa.array(np.ascontiguousarray(matrix[:, columns], dtype=np.float32).reshape(-1))
             arrays = [*(batch.column(c) for c in others), pa.FixedSizeListArray.from_arrays(flat, len(columns)).cast(pa.list_(pa.float32()))]
             if norm:
-                arrays.append(pa.array(_norms(matrix, dtype)[:, 0].astype(np.float64)))
+                arrays.append(pa.array(vector_norms(matrix, dtype)[:, 0].astype(np.float64)))
             yield pa.RecordBatch.from_arrays(arrays, [*others, "vector", *["norm"] * norm])
 
     return rows.mapInArrow(cut, ", ".join(kinds))
@@ -237,15 +237,18 @@ def search(queries: DataFrame, library: DataFrame | LoadedLibrary, *, targets: S
     is not compared with the library row of its own id. With ``targets`` every query is asked for each of these
     instead of a target of its own, in one reading of the library; the result then has a column ``target``. A target that the library
     lacks gives a null similarity; see ``unknown_targets``. Ties go to the lowest id.
+    Queries with a ``norm`` are cut to the components of a loaded library already (``embed``).
     An empty library, vectors of different dimensions and values that are not finite are errors.
     """
     if not isinstance(library, LoadedLibrary):
         library = LoadedLibrary(library, precision, broadcast_bytes)
     words = [F.col("target")] if targets is None else [F.lit(t) for t in targets]
+    cut = library.columns is not None and "norm" in queries.columns
     asked = queries.select("query_id", F.array(*[normalize_key(w) for w in words]).alias("target_keys"),
-                           F.col("embedding").alias("vector"))
+                           F.col("embedding").alias("vector"), *["norm"] * cut)
     if library.columns is not None:
-        asked = _narrowed(asked, library.columns, library.dimension, library.dtype, True)
+        if not cut:
+            asked = _narrowed(asked, library.columns, library.dimension, library.dtype, True)
         if library.shared is None:
             asked = settled(asked, "asked")      # counted, then dealt
     result = RESULT.format(kind=asked.schema["query_id"].dataType.simpleString())

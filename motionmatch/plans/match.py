@@ -11,7 +11,7 @@ from motionmatch.functions.scoring import (
 )
 from motionmatch.operators.embedding import embed
 from motionmatch.operators.quality import gate, measure
-from motionmatch.operators.search import search
+from motionmatch.operators.search import BROADCAST_BYTES, LoadedLibrary, search
 from motionmatch.operators.sequence import frame_index, normalise, resample
 from motionmatch.operators.sizing import SPREAD_BYTES
 from motionmatch.schemas import HAND_LANDMARKS, LANDMARKS, STEPS
@@ -66,20 +66,21 @@ class Prepared:
     def quality(self, rule=GATE_RULE) -> DataFrame:
         return gate(measure(self.rows, self.counts, steps=self.steps, hand_landmarks=self.hands), rule)
 
-    def embeddings(self, usable: DataFrame | None = None) -> DataFrame:
+    def embeddings(self, usable: DataFrame | None = None, library: LoadedLibrary | None = None) -> DataFrame:
+        """Vectors of all or of the usable sequences; for a ``library`` cut as it is, see ``embed``."""
         rows = self.rows
         if usable is not None:
             rows = rows.join(usable.select("sequence_id"), "sequence_id", "left_semi")
-        return embed(rows, steps=self.steps, landmarks=self.landmarks)
+        return embed(rows, steps=self.steps, landmarks=self.landmarks, library=library)
 
     def release(self) -> None:
         self.rows.unpersist()
 
 
-def match_recordings(prepared: Prepared, recordings: DataFrame, library: DataFrame,
+def match_recordings(prepared: Prepared, recordings: DataFrame, library: DataFrame | LoadedLibrary,
                      vocab: DataFrame, *, gate_rule=GATE_RULE, score_rule=SCORE_RULE,
                      skip_same_id: bool = False, precision: str = "double", strict: bool = True,
-                     **sizes) -> DataFrame:
+                     broadcast_bytes: int = BROADCAST_BYTES, **sizes) -> DataFrame:
     """One result row per recording (recording_id, sequence_id, target_word, ...).
 
     Several recordings may ask for one sequence; it is prepared once. Sequences
@@ -89,9 +90,14 @@ def match_recordings(prepared: Prepared, recordings: DataFrame, library: DataFra
     quality = prepared.quality(gate_rule)
     usable = quality.where("quality_valid")
     asked = to_lookup_word(recordings, vocab)
-    queries = asked.join(prepared.embeddings(usable), "sequence_id").select(
-        F.col("recording_id").alias("query_id"), F.col("lookup_word").alias("target"), "embedding")
-    found = search(queries, library, skip_same_id=skip_same_id, precision=precision, **sizes)
+    if not isinstance(library, LoadedLibrary):
+        library = LoadedLibrary(library, precision, broadcast_bytes)
+    # Cut to what the library uses before they are joined: whole, a vector is 88 KB.
+    vectors = prepared.embeddings(usable, library)
+    queries = asked.join(vectors, "sequence_id").select(
+        F.col("recording_id").alias("query_id"), F.col("lookup_word").alias("target"),
+        *[c for c in vectors.columns if c != "sequence_id"])
+    found = search(queries, library, skip_same_id=skip_same_id, **sizes)
     if strict:
         found = found.where(F.when(F.col("target_similarity").isNotNull() & F.col("best_other_similarity").isNotNull(), True)
                             .otherwise(F.raise_error(F.concat(

@@ -16,6 +16,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place) and fs.getFileStatus(place).isDirectory()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, place = _at(spark, path)
     stream = fs.open(place)

@@ -32,8 +32,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(rows: DataFrame, name: str) -> DataFrame:
-    """The rows written once and read back, for costly rows that are read more than once."""
+def settled(rows: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
+    """The rows written once and read back, for costly rows that are read more than once.
+
+    ``reader`` is another session to read them in: that of a running stream plans without adaptive execution.
+    """
     path = scratch_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return (reader or rows.sparkSession).read.schema(rows.schema).parquet(path)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionmatch.operators.search import LoadedLibrary
-from motionmatch.operators.sequence import explode_frame, visible
+from motionmatch.operators.sequence import visible
 from motionmatch.plans.match import Prepared, match_recordings
 from motionmatch.schemas import LANDMARKS, MEASUREMENTS
+from motionmatch.sources.scratch import settled
 from motionmatch.sources.sinks import append_attempts
 from motionmatch.streaming.buckets import Buckets
 
@@ -73,24 +74,27 @@ def recent(attempts: DataFrame, limit: int = 20, created: str = "created_at",
     return attempts.orderBy(F.col(created).desc(), F.col(key)).limit(limit)
 
 
-def finished_recordings(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keypoints, recordings) of the kept frames of finished attempts (kind ``frame``).
+def finished_recordings(frames: DataFrame, reader: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keypoints, recordings) of the kept frames of finished attempts (kind ``frame``), for session ``reader``.
 
     ``landmarks`` holds a frame flattened to x, y, z per landmark. A frame with
-    nothing visible still counts towards the length of its recording.
+    nothing visible still counts towards the length of its recording. The frames are computed once: visible points
+    with the target of their attempt are written, and both results read these.
     """
+    axes = ("x", "y", "z")
     triples = F.transform(F.sequence(F.lit(0), F.lit(LANDMARKS - 1)), lambda i: F.struct(
-        *[F.get("landmarks", 3 * i + j).alias(axis) for j, axis in enumerate(("x", "y", "z"))]))
+        i.alias("landmark"), *[F.get("landmarks", 3 * i + j).alias(axis) for j, axis in enumerate(axes)]))
+    blank = F.array(F.struct(F.lit(0).alias("landmark"), *[F.lit(0.0).alias(a) for a in axes]))
     rows = frames.where("kind = 'frame'").select(
-        F.col("attempt_id").alias("sequence_id"), F.col("position").alias("frame"), "target",
-        triples.alias("points"))
-    points = explode_frame(rows, "points", ["sequence_id", "frame"])
-    blank = rows.where(~F.exists("points", lambda p: visible(p["x"], p["y"]))).select(
-        "sequence_id", "frame", F.lit(0).alias("landmark"),
-        *[F.lit(0.0).alias(a) for a in ("x", "y", "z")])
-    recordings = rows.select("sequence_id", F.col("sequence_id").alias("recording_id"),
-                             F.col("target").alias("target_word")).distinct()
-    return points.unionByName(blank), recordings
+        F.col("attempt_id").alias("sequence_id"), F.col("position").alias("frame"), "target", triples.alias("points"))
+    seen = F.filter("points", lambda p: visible(p["x"], p["y"]))
+    # A frame with missing numbers and nothing visible is no frame.
+    kept = F.when(F.size(seen) > 0, seen).when(~F.exists("points", lambda p: visible(p["x"], p["y"])), blank)
+    points = settled(rows.select("sequence_id", "frame", "target", F.explode(kept).alias("p")).select(
+        "sequence_id", "frame", "target", "p.*"), "finished", reader)
+    recordings = points.select("sequence_id", F.col("sequence_id").alias("recording_id"),
+                               F.col("target").alias("target_word")).distinct()
+    return points.drop("target"), recordings
 
 
 def attempt_records(results: DataFrame) -> DataFrame:
@@ -106,28 +110,25 @@ def on_finished(library: DataFrame, vocab: DataFrame, table: str | Buckets,
                 **options) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: score what finished, store each attempt once.
 
-    The library is read and checked once, before the stream starts.
+    The library is read and checked once, before the stream starts. What a micro-batch finished is matched in the library's
+    session: plans of the stream's own are not adaptive, and their many exchanges keep their full number of partitions.
     """
+    spark = library.sparkSession
     library = LoadedLibrary(library, options.get("precision", "double"))
 
     def run(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        finished = batch.where("kind = 'frame'").persist()
+        points, recordings = finished_recordings(batch, spark)
+        if points.isEmpty():
+            return
+        prepared = Prepared(points)
         try:
-            if finished.isEmpty():
-                return
-            points, recordings = finished_recordings(finished)
-            prepared = Prepared(points)
-            try:
-                # One bad attempt must not end the stream.
-                results = match_recordings(prepared, recordings, library, vocab, **{"strict": False, **options})
-                if isinstance(table, Buckets):
-                    table.append_once(attempt_records(results), stream="finished", batch=number)
-                else:
-                    append_attempts(spark, attempt_records(results), table)
-            finally:
-                prepared.release()
+            # One bad attempt must not end the stream.
+            results = match_recordings(prepared, recordings, library, vocab, **{"strict": False, **options})
+            if isinstance(table, Buckets):
+                table.append_once(attempt_records(results), stream="finished", batch=number)
+            else:
+                append_attempts(spark, attempt_records(results), table)
         finally:
-            finished.unpersist()
+            prepared.release()
 
     return run

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motionmatch.sources.files import is_folder
 from motionmatch.sources.scratch import scratch_path
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, schema, *,
                files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over Parquet files of ``folder`` that match ``pattern``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """File stream over Parquet files of ``folder`` that match ``pattern``; where that names a folder, over the files in it.
+
+    The filter goes by the names of files: it would pass over all the parts of a table that is a folder.
+    """
+    table = f"{folder.rstrip('/')}/{pattern}"
+    whole = not set(pattern) & set("*?[{") and is_folder(spark, table)
+    reader = spark.readStream.schema(schema)
+    if not whole:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(table if whole else folder)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

@@ -20,6 +20,7 @@ from motionmatch.workloads.views import FRAMES, table
 _F = f"f AS ({FRAMES.text})"
 NEVER = 10 ** 9
 FEEDBACK_ROWS = 500_000      # of a file
+SCORED = "attempt_id string, target_word string, decision string, score int, quality_valid boolean, nearest_confusion string"
 
 
 def stream(spark, folder):
@@ -117,11 +118,12 @@ def str7_stream(spark, folder):
     prepared.release()
     library = spark.read.schema("ref_id long, word string, embedding array<float>").parquet(shelf)
     table_path, state = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
+    spark.createDataFrame([], SCORED).write.parquet(table_path)        # there too if nothing is ever finished
     stream_ = attempts(frames, idle_seconds=NEVER, timers=False)
     query = (stream_.writeStream.option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
              .foreachBatch(on_finished(library, scan_vocabulary(spark), table_path)).start())
     query.awaitTermination()
-    return spark.read.parquet(table_path).select("attempt_id", "target_word", "decision", "score", "quality_valid", "nearest_confusion")
+    return spark.read.schema(SCORED).parquet(table_path)
 
 
 def str5_stream(spark, folder):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motionmatch.operators.embedding import embed
 from motionmatch.operators.library import coverage_difference, export_differences, filter_words, library_issues, missing_words
 from motionmatch.operators.search import LoadedLibrary, match_by_key, search, unknown_targets
 
@@ -155,3 +156,22 @@ def test_unused_components_are_not_exchanged(spark):
     short = spark.createDataFrame([(1, "w1", [1.0] * 200)], queries.schema)
     with pytest.raises(Exception, match="200 components"):
         search(short, loaded).collect()
+
+
+def test_vectors_are_cut_before_they_leave_their_task(spark):
+    """Cut by ``embed`` or by ``search``: the same results, bit for bit; only a library that is cut cuts."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, s, k, *map(float, rng.normal(size=3))) for i in range(30) for s in range(4) for k in (1, i % 3)[:1 + (i % 3 != 1)]],
+                                   "sequence_id long, step int, landmark int, x double, y double, z double")
+    whole = embed(points, steps=4, landmarks=10).persist()
+    words = F.concat(F.lit("w"), (F.col("sequence_id") % 4).cast("string"))
+    library = whole.where("sequence_id % 3 = 1").select(F.col("sequence_id").alias("ref_id"), words.alias("word"), "embedding")
+    for way in (LoadedLibrary(library, broadcast_bytes=0), LoadedLibrary(library, broadcast_bytes=2000), LoadedLibrary(library)):
+        cut = embed(points, steps=4, landmarks=10, library=way)
+        assert ("norm" in cut.columns) == (way.columns is not None)
+        assert {len(r["embedding"]) for r in cut.collect()} == {240 if way.columns is None else len(way.columns)}
+        results = [sorted(map(tuple, search(v.select("*", words.alias("target")).withColumnRenamed("sequence_id", "query_id"), way, tile_bytes=400).collect()))
+                   for v in (whole, cut)]
+        assert len(results[0]) == 30 and results[0] == results[1]
+    with pytest.raises(ValueError, match="components"):
+        embed(points, steps=4, landmarks=11, library=LoadedLibrary(library, broadcast_bytes=0))

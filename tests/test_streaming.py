@@ -16,8 +16,9 @@ from motionmatch.operators.sessions import outcomes, thin, used_frames
 from motionmatch.schemas import LANDMARKS
 from motionmatch.sources.sinks import append_attempts
 from motionmatch.streaming.attempts import Head, admit, attempts, judged, late_rows, state_rows
-from motionmatch.streaming.history import apply_feedback, on_finished, recent
+from motionmatch.streaming.history import apply_feedback, finished_recordings, on_finished, recent
 from motionmatch.streaming.runs import drain, read_files
+from motionmatch.workloads.streams import str7_stream
 
 FRAME = "attempt_id string, target string, ts timestamp, event_id long, final boolean, landmarks array<double>"
 START = dt.datetime(2024, 1, 1)
@@ -217,3 +218,49 @@ def test_state_is_freed_and_late_frames_are_counted(spark, tmp_path):
     assert late_rows(query) == 1
     rows = state_rows(query)
     assert max(rows) > 20 and rows[-1] <= 4                              # of c, and its timer
+
+
+def test_a_table_in_a_folder_is_streamed_whole(spark, tmp_path):
+    for name, parts in (("one", 1), ("many", 3)):
+        spark.range(30).repartition(parts).write.parquet(str(tmp_path / name / "events.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "many" / "orders.parquet"))
+    part = next((tmp_path / "one" / "events.parquet").glob("*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "events.parquet").write_bytes(part.read_bytes())
+    for name in ("one", "many", "file"):
+        got = drain(read_files(spark, str(tmp_path / name), "events.parquet", spark.range(1).schema), name)
+        assert sorted(r["id"] for r in got.collect()) == list(range(30))
+
+
+def test_attempts_of_a_table_in_a_folder_are_scored(spark, tmp_path):
+    """User 0 finishes, user 1 does not; where nobody finishes, the result is empty."""
+    rows = [(10 * u + i, START + dt.timedelta(seconds=i), u, "purchase" if (u, i) == (0, 7) else "view", 50.0 * i, '{"k": %d}' % (9 * i))
+            for u in range(2) for i in range(9)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(2).write.parquet(str(tmp_path / "some" / "events.parquet"))
+    events.where("event_type = 'view'").write.parquet(str(tmp_path / "none" / "events.parquet"))
+    got = str7_stream(spark, str(tmp_path / "some")).collect()
+    assert [(r["attempt_id"], r["target_word"], r["quality_valid"]) for r in got] == [("0", "HELLO", True)]
+    assert got[0]["score"] is not None and got[0]["nearest_confusion"] == "PLEASE"
+    assert str7_stream(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_finished_frames_are_computed_once(spark):
+    """Visible points, a point of zeros for a frame without any, nothing of a frame that lacks numbers."""
+    missing = [None] * (3 * LANDMARKS)
+    second = [0.0] * 3 + [0.1, 0.2, 0.3] + [0.0] * (3 * LANDMARKS - 6)
+    ran = spark.sparkContext.accumulator(0)
+    frames = spark.createDataFrame([("a", "frame", "HELLO", 0, second), ("a", "frame", "HELLO", 1, [0.0] * (3 * LANDMARKS)),
+                                    ("a", "late", "HELLO", None, None), ("b", "frame", "YES", 0, missing)],
+                                   "attempt_id string, kind string, target string, position int, landmarks array<double>")
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    points, recordings = finished_recordings(frames.mapInArrow(counted, frames.schema))
+    got = sorted(tuple(r) for r in points.select("sequence_id", "frame", "landmark", "x", "y", "z").collect())
+    assert got == [("a", 0, 1, 0.1, 0.2, 0.3), ("a", 1, 0, 0.0, 0.0, 0.0)]
+    assert [tuple(r) for r in recordings.select("sequence_id", "recording_id", "target_word").collect()] == [("a", "a", "HELLO")]
+    assert ran.value == 4
